@@ -110,12 +110,8 @@ def key_columns(
     single = usage.groupBy(*keys, position).agg(*picks)
     entry = F.struct(position, *pulled.values())
     grouped = single.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    return grouped.select(
-        *keys,
-        *[
-            F.transform("_entries", lambda e, c=c: e[c]).alias(name) for name, c in pulled.items()
-        ],
-    )
+    # A field of an array of structs is the array of that field.
+    return grouped.select(*keys, *[F.col(f"_entries.{c}").alias(n) for n, c in pulled.items()])
 
 
 def catalog_tables(sets: dict[str, DataFrame], database: str) -> DataFrame:
@@ -271,7 +267,7 @@ def forbidden_key_violations(documents: DataFrame, text: str = "value", key: str
     directly by a colon; string values can hold no bare quote.
     """
     canonical = F.to_json(F.try_parse_json(F.col(text)))
-    keys = F.regexp_extract_all(canonical, F.lit(r'(?:[{,])"((?:[^"\\]|\\.)*)":'), 1)
+    keys = F.regexp_extract_all(canonical, F.lit(r'(?:[{,])"((?:[^"\\]++|\\.)*+)":'), 1)
     hits = documents.select(F.col(key).alias("_key"), F.explode(keys).alias("_name")).filter(
         F.lower("_name").isin(*FORBIDDEN_KEYS)
     )

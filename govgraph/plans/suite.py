@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from govgraph.plans import graph_queries  # noqa: F401
+from govgraph.plans import (  # noqa: F401
+    graph_queries,
+    inference_queries,
+    profile_queries,
+    source_queries,
+)
 from govgraph.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

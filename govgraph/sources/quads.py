@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # object, graph.
 STATEMENT = (
     r"^\s*(<[^<>]*>|_:\S+)\s+(<[^<>]*>)\s+"
-    r'(<[^<>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^<>]*>|@[A-Za-z0-9-]+)?)'
+    r'(<[^<>]*>|_:\S+|"(?:[^"\\]++|\\.)*+"(?:\^\^<[^<>]*>|@[A-Za-z0-9-]+)?)'
     r"\s*(<[^<>]*>|_:\S+)?\s*\.\s*$"
 )
 # Escapes inside literals.
