@@ -1,9 +1,11 @@
 """All registered queries."""
 
 from govgraph.plans import (  # noqa: F401
+    governance_queries,
     graph_queries,
     inference_queries,
     profile_queries,
+    release_queries,
     source_queries,
 )
 from govgraph.plans.registry import ORACLES, QUERIES

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govgraph.session import salted_join
+
 
 def classify_append(incoming: DataFrame, existing: DataFrame, keys: list[str], hash_column: str) -> DataFrame:
     """Mark each incoming row NEW, IDENTICAL or CONFLICT against an append-only table.
@@ -20,12 +22,8 @@ def classify_append(incoming: DataFrame, existing: DataFrame, keys: list[str], h
         .when(F.col("_stored").isNull(), "NEW")
         .otherwise("IDENTICAL")
     )
-    return (
-        incoming.dropDuplicates([*keys, hash_column])
-        .join(wanted, keys)
-        .withColumn("append_state", state)
-        .drop("_first", "_stored")
-    )
+    single = incoming.dropDuplicates([*keys, hash_column])
+    return salted_join(single, wanted, keys).withColumn("append_state", state).drop("_first", "_stored")
 
 
 def append_only_sink(
