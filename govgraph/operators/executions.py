@@ -111,7 +111,9 @@ def advance_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
     A source that the batch does not move keeps its row, including a drift mark.
     """
     fields = [c for c in batch.columns if c not in HEAD_KEY]
-    as_observed = heads.select(*HEAD_KEY, *fields)
+    # Whatever its number, the stored head arrived before the batch.
+    first = batch.schema["seq"].dataType
+    as_observed = heads.select(*HEAD_KEY, *fields).withColumn("seq", F.lit(-1).cast(first)).select(*HEAD_KEY, *fields)
     touched = batch.select(*HEAD_KEY).distinct()
     again = profile_heads(
         as_observed.join(touched, HEAD_KEY, "left_semi").unionByName(batch.select(*HEAD_KEY, *fields))

@@ -4,6 +4,7 @@ from govgraph.plans import (  # noqa: F401
     governance_queries,
     graph_queries,
     inference_queries,
+    operations_queries,
     profile_queries,
     release_queries,
     source_queries,
