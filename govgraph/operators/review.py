@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from govgraph.functions.digest import canonical_json_text
-from govgraph.operators.proposals import CONFIDENCE_FIELDS, RISKS, SHA256
+from govgraph.operators.proposals import CONFIDENCE_FIELDS, CONFIDENCE_TYPE, RISKS, SHA256
 from govgraph.operators.verification import (
     GATE_STATES,
     GATES,
@@ -16,6 +16,7 @@ from govgraph.operators.verification import (
     independent,
     run_sha256,
 )
+from govgraph.operators.violations import rule_array
 from govgraph.session import salted_join
 
 POINTERS = ("verification_run_sha256", "frozen_proposal_sha256", "frozen_evidence_index_sha256")
@@ -74,29 +75,30 @@ def bind_review(proposals: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.withColumn("bound", _holds(F.col("_run_ok") & pointers_ok)).drop("_run_ok", "_run_proposal")
 
 
-def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Add ``reason_codes`` and ``eligible`` to bound rows."""
-    frozen = F.try_parse_json("frozen_proposal")
-
-    def of_frozen(name: str) -> Column:
-        return F.try_variant_get(frozen, f"$.{name}", "string")
+# What is read back from a frozen proposal and from a generator trace.
+FROZEN_TYPE = "kind string, risk string, source_locator string, target_iri string, generator string"
+TRACE_TYPE = "provider string, model string"
 
-    generator = F.try_parse_json("models.generator")
 
-    def of_generator(name: str) -> Column:
-        return F.try_variant_get(generator, f"$.{name}", "string")
-
-    same_trace = canonical_json_text(F.col("models.generator")) == canonical_json_text(of_frozen("generator"))
+def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Add ``reason_codes`` and ``eligible`` to bound rows."""
+    read = bound.select(
+        "*",
+        F.from_json("frozen_proposal", FROZEN_TYPE).alias("frozen"),
+        F.from_json("models.generator", TRACE_TYPE).alias("_trace"),
+    )
+    traces = [F.col("models.generator"), F.col("frozen.generator")]
+    same_trace = (traces[0] == traces[1]) | (canonical_json_text(traces[0]) == canonical_json_text(traces[1]))
     separate = independent(
-        of_generator("provider"),
-        of_generator("model"),
+        F.col("_trace.provider"),
+        F.col("_trace.model"),
         F.col("models.verifier.provider"),
         F.col("models.verifier.model"),
         ascii_only,
     )
     checks = [
         ("POLICY_VERSION_NOT_APPROVABLE", F.col("policy_version") == POLICY_VERSION),
-        ("RISK_POLICY_MISMATCH", F.col("risk").isin(*RISKS) & (F.col("risk") == of_frozen("risk"))),
+        ("RISK_POLICY_MISMATCH", F.col("risk").isin(*RISKS) & (F.col("risk") == F.col("frozen.risk"))),
         ("RUN_NOT_AWAITING_HUMAN_ADJUDICATION", F.col("status") == "HUMAN_REVIEW"),
         ("LIVE_VERIFIER_REQUIRED", F.col("models.mode") == "live"),
         ("INDEPENDENT_MODEL_REQUIRED", F.col("models.verifier.independent_model")),
@@ -104,7 +106,7 @@ def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFram
         ("GENERATOR_TRACE_NOT_FROZEN", same_trace),
         ("GENERATOR_VERIFIER_SEPARATION_REQUIRED", separate),
     ]
-    named = F.array_compact(F.array(*[F.when(~_holds(ok), F.lit(name)) for name, ok in checks]))
+    named = rule_array(checks)
     closed = F.filter(
         F.col("gate_results"),
         lambda g: ~(
@@ -115,21 +117,20 @@ def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFram
     reasons = F.when(~F.col("bound"), F.array(F.lit("VERIFICATION_RUN_NOT_HASH_BOUND"))).otherwise(
         F.concat(named, gates)
     )
-    return bound.withColumn("reason_codes", reasons).withColumn("eligible", F.size("reason_codes") == 0)
+    done = read.withColumn("reason_codes", reasons).drop("_trace")
+    return done.withColumn("eligible", F.size("reason_codes") == 0)
 
 
 def review_view(eligible: DataFrame) -> DataFrame:
     """The reviewer's projection of bound proposals."""
-    frozen = F.try_parse_json("frozen_proposal")
-
     def of_frozen(name: str, default: str) -> Column:
-        text = F.try_variant_get(frozen, f"$.{name}", "string")
+        text = F.col(f"frozen.{name}")
         return F.coalesce(F.when(F.length(text) > 0, text), F.lit(default))
 
-    vector = F.try_parse_json("confidence")
+    vector = F.from_json("confidence", CONFIDENCE_TYPE)
     percents = []
     for name in CONFIDENCE_FIELDS:
-        score = F.try_variant_get(vector, f"$.{name}", "double")
+        score = vector[name]
         percents.append(F.when(score.between(0.0, 1.0), F.round(score * 100).cast("int")).alias(name))
     kind = F.lower(of_frozen("kind", "assertion"))
     title = F.when(kind == "drift", "Source drift requires semantic review").otherwise(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govgraph.operators.violations import union_all
+from govgraph.session import scratch_path
 
 # Public vocabulary IRIs and this package's own namespace.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -153,6 +154,13 @@ def read_graph(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*TRIPLE)
 
 
+def stored_graph(triples: DataFrame) -> DataFrame:
+    """The graph written once to the shared folder: for work with many patterns."""
+    path = scratch_path(triples.sparkSession, "graph")
+    write_graph(triples.select(*TRIPLE), path)
+    return read_graph(triples.sparkSession, path)
+
+
 def local_name(iri: Column) -> Column:
     """The text after the last colon, then slash, then hash."""
     return F.substring_index(

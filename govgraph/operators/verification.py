@@ -52,23 +52,21 @@ def _ids(items: Column) -> Column:
 
 def verify_requests(proposals: DataFrame) -> DataFrame:
     """What a verifier is sent; proposals that cannot satisfy that form drop out."""
-    generator = F.try_parse_json("generator")
-
     def trace(name: str, default: str) -> Column:
-        text = F.try_variant_get(generator, f"$.{name}", "string")
+        text = F.col(f"_generator.{name}")
         return F.coalesce(F.when(F.length(text) > 0, text), F.lit(default))
 
     statement = F.concat("kind", F.lit(": "), "source_locator", F.lit(" -> "), "target_iri")
-    made = proposals.select(
+    kept = "provider string, model string, prompt_version string, model_participated boolean"
+    read = proposals.withColumn("_generator", F.from_json("generator", kept))
+    made = read.select(
         "tenant_id",
         "proposal_id",
         F.substring(statement, 1, MAX_STATEMENT).alias("statement"),
         _ids(F.col("evidence")).alias("evidence_ids"),
         _ids(F.col("counterevidence")).alias("counterevidence_ids"),
         F.upper("risk").alias("risk"),
-        F.coalesce(F.try_variant_get(generator, "$.model_participated", "boolean"), F.lit(False)).alias(
-            "model_dependent"
-        ),
+        F.coalesce("_generator.model_participated", F.lit(False)).alias("model_dependent"),
         trace("provider", PROVIDER).alias("generator_provider"),
         trace("model", "unknown").alias("generator_model"),
         trace("prompt_version", "not-applicable").alias("prompt_version"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from govgraph.operators import executions, proposals, review, verification
 from govgraph.plans.registry import table
-from govgraph.session import stored
+from govgraph.session import spread, stored
 
 EVALUATED_AT = "2026-07-01T00:00:00Z"
 K = F.col
@@ -67,7 +67,8 @@ def order_proposals(spark: SparkSession, sf: str) -> DataFrame:
         "status": F.when(k % 41 == 6, "HUMAN_REVIEW").otherwise("PENDING_VERIFICATION"),
         "reason_codes": F.array(F.lit("R")),
     }
-    return table(spark, sf, "orders").select(*[made[f].alias(f) for f in proposals.PROPOSAL_FIELDS])
+    orders = spread(table(spark, sf, "orders"))
+    return orders.select(*[made[f].alias(f) for f in proposals.PROPOSAL_FIELDS])
 
 
 # The same in SQL: key, tenant, id, defects and validity.

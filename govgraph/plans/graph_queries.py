@@ -459,7 +459,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     asked = table(spark, sf, "nation").select(F.concat(F.lit(R + "party-"), "n_nationkey").alias("iri"))
-    return context.concept_context(bank.bank_graph(spark, sf), asked, limit=5)
+    return context.concept_context(triples.stored_graph(bank.bank_graph(spark, sf)), asked, limit=5)
 
 
 @registered(
@@ -482,7 +482,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ids = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"))
-    return context.explain(bank.mapping_graph(spark, sf), ids)
+    return context.explain(triples.stored_graph(bank.mapping_graph(spark, sf)), ids)
 
 
 @registered(

@@ -17,6 +17,7 @@ from govgraph.operators.triples import (
     XSD,
     Mapping,
     rows_to_triples,
+    stored_graph,
 )
 from govgraph.plans import bank
 from govgraph.plans.registry import registered, table
@@ -257,7 +258,7 @@ _INFERRED = (
       CASE WHEN f NOT LIKE '%payment%' THEN '{V}AccountShape' ELSE '{V}PaymentShape' END AS source_shape FROM report""",
 )
 def _(spark, sf):
-    return shapes.validate(shaped_graph(spark, sf), shapes.shape_frame(spark, _constraints()), axioms(spark))
+    return shapes.validate(stored_graph(shaped_graph(spark, sf)), shapes.shape_frame(spark, _constraints()), axioms(spark))
 
 
 @registered(
@@ -267,7 +268,7 @@ def _(spark, sf):
       count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Info') AS infos FROM report""",
 )
 def _(spark, sf):
-    report = shapes.validate(shaped_graph(spark, sf), shapes.shape_frame(spark, _constraints()), axioms(spark))
+    report = shapes.validate(stored_graph(shaped_graph(spark, sf)), shapes.shape_frame(spark, _constraints()), axioms(spark))
     return shapes.conforms(report)
 
 
