@@ -22,7 +22,7 @@ from govgraph.operators.inference import (
 )
 from govgraph.operators.triples import RDF_TYPE, TRIPLE, XSD
 from govgraph.operators.violations import union_all
-from govgraph.session import small_join
+from govgraph.session import checkpointed, small_join
 
 LIST_SEPARATOR = "\x1f"
 MAX_MESSAGE = 2000
@@ -104,13 +104,13 @@ def _facts(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     used = small_join(triples, paths, "p")
     return used.select(
         F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype"
-    ).distinct()
+    )
 
 
 def count_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
     """minCount, maxCount and hasValue; focus nodes without any value are seen too."""
     asked = _with_constraints(targets(types, shapes), shapes, COUNT_COMPONENTS)
-    facts = _facts(triples, shapes.filter(F.col("component").isin(*COUNT_COMPONENTS)))
+    facts = _facts(triples, shapes.filter(F.col("component").isin(*COUNT_COMPONENTS))).distinct()
     # Values are combined per focus and path before the constraints multiply them.
     # A required constant is looked for among the values themselves.
     constants = shapes.filter("component = 'hasValue'").select(
@@ -142,9 +142,12 @@ def _castable(value: Column, datatype: Column) -> Column:
 
 def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
     """datatype, class, nodeKind, bounds, pattern and in, from one pass over the values."""
-    asked = _with_constraints(targets(types, shapes), shapes, VALUE_COMPONENTS)
-    facts = _facts(triples, shapes.filter(F.col("component").isin(*VALUE_COMPONENTS)))
-    rows = asked.join(facts, ["focus", "path"])
+    wanted = shapes.filter(F.col("component").isin(*VALUE_COMPONENTS))
+    # Values meet their focus nodes first; the constraints multiply them afterwards,
+    # by a join that does not move the values again.
+    met_values = _facts(triples, wanted).join(targets(types, wanted), "focus")
+    limits = wanted.drop("target_class").withColumnRenamed("value", "limit")
+    rows = small_join(met_values, limits, ["shape", "path"])
     component, limit, value = F.col("component"), F.col("limit"), F.col("value")
     literal = F.col("o_kind") == "literal"
     number = F.when(literal, value.try_cast("decimal(38,18)"))
@@ -166,7 +169,8 @@ def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
     members = types.select(F.col("node").alias("value"), F.col("cls").alias("limit"))
     outside = classes.join(members, ["value", "limit"], "left_anti")
     columns = ["severity", "focus", "path", "component", "value", "message", "shape", "limit"]
-    return _report(plain.select(*columns).unionByName(outside.select(*columns)))
+    # A value stated twice is reported once.
+    return _report(plain.select(*columns).unionByName(outside.select(*columns)).distinct())
 
 
 def validate(
@@ -192,6 +196,8 @@ def validate(
         ]).distinct()
     else:
         types = types_of(base)
+    # Used for the targets of both passes and for the class constraints.
+    types = checkpointed(types)
     return count_violations(base, types, shapes).unionByName(value_violations(base, types, shapes))
 
 
