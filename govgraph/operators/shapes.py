@@ -112,12 +112,11 @@ def count_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
     asked = _with_constraints(targets(types, shapes), shapes, COUNT_COMPONENTS)
     facts = _facts(triples, shapes.filter(F.col("component").isin(*COUNT_COMPONENTS))).distinct()
     # Values are combined per focus and path before the constraints multiply them.
-    # A required constant is looked for among the values themselves.
-    constants = shapes.filter("component = 'hasValue'").select(
-        "path", F.col("value").alias("limit")
-    ).distinct()
     counts = facts.groupBy("focus", "path").agg(F.count(F.lit(1)).alias("n"))
-    present = small_join(facts, constants, "path").filter("value = limit").select(
+    # A required constant is looked for among the values of its own path only.
+    required = shapes.filter("component = 'hasValue'")
+    constants = required.select("path", F.col("value").alias("limit")).distinct()
+    present = small_join(_facts(triples, required), constants, "path").filter("value = limit").select(
         "focus", "path", "limit", F.lit(True).alias("present")
     ).distinct()
     joined = asked.join(counts, ["focus", "path"], "left").join(present, ["focus", "path", "limit"], "left")
