@@ -7,6 +7,8 @@ one join per rule kind, however deep the hierarchy is.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,45 @@ from govgraph.operators.triples import (
     XSD,
 )
 from govgraph.operators.violations import union_all
-from govgraph.session import small_join
+from govgraph.session import local_frame, settled, small_join
 
 AXIOM_PREDICATES = (SUBCLASS_OF, DOMAIN, RANGE, INVERSE_OF)
 
 
+# Axiom graphs of at most this many edges are closed in one step on the driver, which
+# is also where the broadcast of the result would be built.
+AXIOM_EDGES = 2_000
+
+
 def axioms_of(triples: DataFrame) -> DataFrame:
     """The axiom triples of a graph."""
     symmetric = (F.col("p") == RDF_TYPE) & (F.col("o") == SYMMETRIC)
     return triples.filter(F.col("p").isin(*AXIOM_PREDICATES) | symmetric).select("s", "p", "o").distinct()
 
 
+def axiom_closure(edges: DataFrame) -> DataFrame:
+    """All ``(s, o)`` reachable in an axiom graph; larger graphs take the loop of joins."""
+    rows = edges.select("s", "o").distinct().limit(AXIOM_EDGES + 1).collect()
+    if len(rows) > AXIOM_EDGES:
+        return path_closure(edges)
+    after = defaultdict(set)
+    for s, o in rows:
+        after[s].add(o)
+    pairs = []
+    for start, direct in after.items():
+        seen, waiting = set(), list(direct)
+        while waiting:
+            node = waiting.pop()
+            if node not in seen:
+                seen.add(node)
+                waiting += after.get(node, ())
+        pairs += [(start, node) for node in seen]
+    return local_frame(edges.sparkSession, pairs, "s string, o string")
+
+
 def subclass_closure(axioms: DataFrame) -> DataFrame:
     """Transitive ``(subclass, superclass)`` pairs."""
-    pairs = path_closure(axioms.filter(F.col("p") == SUBCLASS_OF).select("s", "o"))
+    pairs = axiom_closure(axioms.filter(F.col("p") == SUBCLASS_OF).select("s", "o"))
     return pairs.select(F.col("s").alias("subclass"), F.col("o").alias("superclass"))
 
 
@@ -57,12 +84,13 @@ def property_closure(axioms: DataFrame) -> DataFrame:
     steps = union_all([
         swapped.select(node("a", f).alias("s"), node("b", 1 - f).alias("o")) for f in (0, 1)
     ])
-    reached = path_closure(steps).filter("s LIKE '0|%'")
-    return reached.select(
+    reached = axiom_closure(steps).filter("s LIKE '0|%'")
+    pairs = reached.select(
         F.substring("s", 3, 1_000_000).alias("p"),
         F.substring("o", 3, 1_000_000).alias("q"),
         F.col("o").startswith("1|").alias("flip"),
     ).filter("p <> q OR flip")
+    return settled(pairs)
 
 
 def type_rules(axioms: DataFrame, supers: DataFrame, properties: DataFrame) -> DataFrame:
@@ -90,7 +118,7 @@ def type_rules(axioms: DataFrame, supers: DataFrame, properties: DataFrame) -> D
     wider = rules.join(supers.withColumnRenamed("subclass", "cls"), "cls").select(
         "p", "side", F.col("superclass").alias("cls")
     )
-    return rules.unionByName(wider).distinct()
+    return settled(rules.unionByName(wider).distinct())
 
 
 def _typed(df: DataFrame, subject: str, cls: str) -> DataFrame:
@@ -159,7 +187,7 @@ def materialize(
     ``max_inferred`` fails the call when more new triples come out.
     """
     base = triples.select(*TRIPLE)
-    schema = axioms_of(base) if axioms is None else axioms.select("s", "p", "o")
+    schema = settled(axioms_of(base) if axioms is None else axioms.select("s", "p", "o"))
     supers, properties = subclass_closure(schema), property_closure(schema)
     rules = type_rules(schema, supers, properties)
     derived = union_all([

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govgraph.session import checkpointed, is_small
+from govgraph.session import checkpointed, is_small, local_frame
 
 VARIABLE = "?"
 
@@ -158,7 +158,7 @@ def bind(solutions: DataFrame, name: str, value: Column) -> DataFrame:
 def values(solutions: DataFrame, variables: list[str], rows: list[tuple]) -> DataFrame:
     """Join with inline data."""
     schema = ", ".join(f"`{v}` string" for v in variables)
-    inline = solutions.sparkSession.createDataFrame(rows, schema)
+    inline = local_frame(solutions.sparkSession, rows, schema)
     shared = [v for v in variables if v in solutions.columns]
     return solutions.join(F.broadcast(inline), shared)
 

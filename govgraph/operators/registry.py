@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govgraph.functions.text import collapse_spaces, nfkc
-from govgraph.session import salted_join, small_join
+from govgraph.session import local_frame, salted_join, small_join
 
 # Listed states and areas.
 PROPOSAL_STATES = ("PENDING_VERIFICATION", "HUMAN_REVIEW", "ABSTAINED", "APPROVED")
@@ -17,7 +17,7 @@ SOURCE_ID = r"^[a-z][a-z0-9-]{2,63}\z"
 
 def counts_by(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
     """Rows per listed value, zero where there are none; other values are left out."""
-    names = df.sparkSession.createDataFrame([(v,) for v in domain], f"`{column}` string")
+    names = local_frame(df.sparkSession, [(v,) for v in domain], f"`{column}` string")
     counts = df.filter(F.col(column).isin(*domain)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return names.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 

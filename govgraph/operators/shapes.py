@@ -22,7 +22,7 @@ from govgraph.operators.inference import (
 )
 from govgraph.operators.triples import RDF_TYPE, TRIPLE, XSD
 from govgraph.operators.violations import union_all
-from govgraph.session import checkpointed, small_join
+from govgraph.session import checkpointed, local_frame, settled, small_join
 
 LIST_SEPARATOR = "\x1f"
 MAX_MESSAGE = 2000
@@ -59,7 +59,7 @@ def shape_frame(spark: SparkSession, constraints: list[Constraint]) -> DataFrame
     rows = [
         (c.shape, c.target_class, c.path, c.component, c.value, c.severity, c.message) for c in constraints
     ]
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def types_of(triples: DataFrame, supers: DataFrame | None = None) -> DataFrame:
@@ -182,9 +182,9 @@ def validate(
     """
     base = triples.select(*TRIPLE)
     if infer:
-        schema = axioms_of(base) if axioms is None else axioms.select("s", "p", "o")
+        schema = settled(axioms_of(base) if axioms is None else axioms.select("s", "p", "o"))
         supers = subclass_closure(schema)
-        empty = schema.sparkSession.createDataFrame([], "p string, q string, flip boolean")
+        empty = local_frame(schema.sparkSession, [], "p string, q string, flip boolean")
         rules = type_rules(schema, supers, empty)
         types = union_all([
             types_of(base),

@@ -8,6 +8,7 @@ from govgraph.operators import context, patterns, resolve, triples
 from govgraph.operators.triples import PREF_LABEL, RDF_TYPE, RESOURCE, VOCAB
 from govgraph.plans import bank, questions
 from govgraph.plans.registry import registered, table
+from govgraph.session import local_frame
 
 R, V = RESOURCE, VOCAB
 
@@ -385,7 +386,8 @@ def _(spark, sf):
     from govgraph.operators.inference import infer_symmetric
 
     graph = bank.duplicate_graph(spark, sf)
-    axioms = spark.createDataFrame(
+    axioms = local_frame(
+        spark,
         [(questions.POSSIBLE_DUPLICATE_OF, RDF_TYPE, triples.SYMMETRIC)], "s string, p string, o string"
     )
     links = graph.filter(F.col("p") == questions.POSSIBLE_DUPLICATE_OF)

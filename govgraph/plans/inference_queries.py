@@ -21,6 +21,7 @@ from govgraph.operators.triples import (
 )
 from govgraph.plans import bank
 from govgraph.plans.registry import registered, table
+from govgraph.session import local_frame
 
 R, V = RESOURCE, VOCAB
 
@@ -44,7 +45,7 @@ AXIOMS = [
 
 
 def axioms(spark):
-    return spark.createDataFrame(AXIOMS, "s string, p string, o string")
+    return local_frame(spark, AXIOMS, "s string, p string, o string")
 
 
 def small_graph(spark, sf):
@@ -128,7 +129,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     relation = V + "possibleDuplicateOf"
-    axiom = spark.createDataFrame([(relation, RDF_TYPE, SYMMETRIC)], "s string, p string, o string")
+    axiom = local_frame(spark, [(relation, RDF_TYPE, SYMMETRIC)], "s string, p string, o string")
     links = bank.duplicate_graph(spark, sf).filter(F.col("p") == relation)
     return inference.infer_symmetric(links, axiom).select("s", "o")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # A side of at most this many rows may be broadcast. The count is checked with
 # limit(n + 1), so checking costs no more than n + 1 rows.
@@ -51,6 +54,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, max_rows: int = 2_000) -> DataFrame:
+    """Work out a frame that is expected to be tiny once, for use in several plans.
+
+    Up to ``max_rows`` rows it becomes a local relation; a larger one is checkpointed.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return checkpointed(df)
+    return local_frame(df.sparkSession, rows, df.schema)
+
+
+def local_frame(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """A few rows as a local relation, whose size the optimizer knows.
+
+    ``createDataFrame`` on a list makes a distributed collection of unknown size.
+    """
+    types = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(types)
+    columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), types)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on an input of very few partitions.
 
