@@ -464,6 +464,17 @@ def _(spark, sf):
     return context.concept_context(triples.stored_graph(bank.bank_graph(spark, sf)), asked, limit=5)
 
 
+@registered(
+    "concept_cards",
+    f"""SELECT '{V}' || replace(p_name, ' ', '-') AS iri, p_name AS label, p_name AS definition, 'http://www.w3.org/2004/02/skos/core#Concept' AS types FROM part GROUP BY p_name""",
+)
+def _(spark, sf):
+    slug = F.replace("p_name", F.lit(" "), F.lit("-"))
+    asked = table(spark, sf, "part").select(F.concat(F.lit(V), slug).alias("iri"))
+    cards = context.concept_cards_for(bank.concept_graph(spark, sf), asked)
+    return cards.withColumn("types", F.array_join("types", ","))
+
+
 @registered(
     "concept_mappings",
     f"""SELECT '{V}size-' || p_size AS iri, '{R}mapping-' || p_partkey AS mapping, p_type AS field_name,
