@@ -21,7 +21,7 @@ from govgraph.operators.triples import (
     local_name,
 )
 from govgraph.operators.violations import union_all
-from govgraph.session import small_join
+from govgraph.session import small_join, stored
 
 # Predicates that describe rather than relate.
 LABEL_PREDICATES = (RDF_TYPE, RDFS_LABEL, PREF_LABEL, ALT_LABEL, DEFINITION)
@@ -169,9 +169,27 @@ def explain(triples: DataFrame, ids: DataFrame) -> DataFrame:
             "id", F.lit(9).alias("_kind"), "p", "o", fact_text.alias("statement"), none.alias("evidence_iri")
         )
     )
-    order = Window.partitionBy("id").orderBy("_kind", "p", "o")
-    return steps.unionByName(others).select(
-        "id", F.row_number().over(order).alias("step"), "statement", "evidence_iri"
+    return _numbered(steps.unionByName(others), "id", ["_kind", "p", "o"]).select(
+        "id", "step", "statement", "evidence_iri"
+    )
+
+
+def _numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Number the rows of each key in order, without gathering a key in one task.
+
+    Rows are cut into ordered ranges and stored. Each range numbers its own rows and
+    adds how many rows of the key lie in the ranges before it.
+    """
+    ranged = df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    kept = stored(ranged, "steps")
+    counts = kept.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per key and range it touches.
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(key, "_range").orderBy(*order)
+    numbered = kept.withColumn("_local", F.row_number().over(inside))
+    return numbered.join(offsets, [key, "_range"]).withColumn(
+        "step", (F.col("_offset") + F.col("_local")).cast("int")
     )
 
 
