@@ -37,6 +37,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A side of at most so many rows and bytes of text is sent to every task; beyond, the join is a shuffle.
+SMALL_ROWS, SMALL_BYTES = 200_000, 16_000_000
+
+
+def checked_broadcast(side: DataFrame) -> DataFrame:
+    """A stored frame marked for broadcast where its counted rows and bytes are within the bounds.
+
+    Beyond them the frame is returned as it is: the join gives the same rows through a shuffle.
+    """
+    width = sum(
+        (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in side.dtypes),
+        F.lit(8),
+    )
+    rows, size = side.agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(side) if rows <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else side
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     plain = F.octet_length(text) == F.char_length(text)

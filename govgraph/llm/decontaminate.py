@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from govgraph.llm.common import word_array
+from govgraph.llm.common import checked_broadcast, stored, word_array
 
 KEY = ["id_key", "text_key"]
 MOST_WORDS = 62  # of a window: one bit of a long for each of its words
@@ -42,19 +42,21 @@ def _lists(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     phrases = windows.select("phrase", F.size("terms").alias("n"), "terms").dropDuplicates(["phrase"])
     terms = phrases.select("phrase", "n", F.posexplode("terms").alias("off", "term"))
+    wanted = checked_broadcast(stored(terms.select("term").distinct(), "benchmark-terms"))
     counts = (
         _tokens(_keyed(docs)).select("term")
-        .join(terms.select("term").distinct(), "term", "left_semi")
+        .join(wanted, "term", "left_semi")
         .groupBy("term").agg(F.count("*").alias("cf"))
     )
     by_phrase = W.partitionBy("phrase")
-    return (
+    ranked = (
         terms.join(counts, "term")
         .withColumn("rank", F.row_number().over(by_phrase.orderBy("cf", "off")))
         .withColumn("found", F.count("*").over(by_phrase))
         .where("found = n")
         .select("phrase", "n", "off", "term", "rank")
     )
+    return stored(ranked, "benchmark-lists")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -68,19 +70,21 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
 
 
 def _exact(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    rare = lists.where("rank <= 2")
+    rare = checked_broadcast(lists.where("rank <= 2"))
     at = [*KEY, "start", "phrase"]
-    candidates = (
+    candidates = stored(
         _tokens(_keyed(docs)).join(rare, "term")
         .where("pos >= off")
         .groupBy(*KEY, (F.col("pos") - F.col("off")).alias("start"), "phrase")
         .agg(F.bit_or(F.col("rank")).alias("ranks"), F.first("n").alias("n"))
         .where(F.col("ranks") == F.when(F.col("n") > 1, 3).otherwise(1))
-        .select(*at)
+        .select(*at),
+        "benchmark-candidates",
     )
-    wanted = candidates.join(lists, "phrase").select(
+    wanted = candidates.join(checked_broadcast(lists), "phrase").select(
         *at, "n", "off", "term", (F.col("start") + F.col("off")).alias("pos")
     )
+    # The texts of these documents alone are read again.
     some = candidates.select(*KEY).distinct()
     tokens = _tokens(_keyed(docs).join(some, KEY, "left_semi"))
     return (
@@ -102,7 +106,7 @@ def proximity_matches(
     neighbouring cells only, so no document's lists are multiplied out.
     """
     lists = _lists(docs, benchmark_windows(benchmark, window))
-    posted = _tokens(_keyed(docs)).join(lists.where("rank <= 2"), "term")
+    posted = _tokens(_keyed(docs)).join(checked_broadcast(lists.where("rank <= 2")), "term")
     first = posted.where("rank = 1").select(
         *KEY, "phrase", "pos", F.expr("pos div {0}".format(within)).alias("cell")
     )
@@ -124,8 +128,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     each get the same answer; a null id is a value of its own. Empty tables give no hits (or no rows).
     Columns other than doc_id, text and item_id, text are not looked at.
     """
-    windows = benchmark_windows(benchmark, window)
-    found = _exact(docs, _lists(docs, windows))
+    windows = stored(benchmark_windows(benchmark, window), "benchmark-windows")
+    found = stored(_exact(docs, _lists(docs, windows)), "benchmark-found")
     hits = (
         found.select(*KEY, F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos"))
         .distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
