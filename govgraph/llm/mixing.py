@@ -99,7 +99,7 @@ def schedule(blocks: DataFrame, slice_slots: int = 8192) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights=WEIGHTS, most: float = 3.0, block: int = 1024, least: int = 256,
-    rows_per_slice: int = 20_000,
+    rows_per_slice: int = 2_000,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)``, one row per document.
 
@@ -118,7 +118,7 @@ def mix(
         blocks.select(F.col("source").alias("b"), "blocks"), F.col("source").eqNullSafe(F.col("b"))
     ).groupBy("source", F.pmod("rank", "blocks").alias("block")).agg(F.count("*").alias("times"))
 
-    slices = max(16, sizes.count() // rows_per_slice)
+    slices = max(64, sizes.count() // rows_per_slice)
     mark = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
     spot = sizes.withColumn("mark", mark).withColumn("part", F.expr(f"shiftrightunsigned(mark, 1) % {slices}"))
     per_slice = spot.groupBy("source", "part").agg(F.sum("size").alias("c"))

@@ -35,6 +35,7 @@ SIDE_NAMES = set(
     "subscription signup login search form pagination pager tags toc skip copyright legal".split()
 )
 PROSE = set("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+LISTS = set("li dd dt td th caption figcaption".split())
 MAIN_NAMES = set("article content main post story entry body text".split())
 
 TOKEN = re.compile(
@@ -150,12 +151,13 @@ def features(block: Block) -> tuple[tuple[str, str], ...]:
     """What the model sees of a block: element, names, length of its own text, part of it that is linked."""
     tag = block.tag
     group = "side" if tag in SIDE_TAGS else "content" if tag in CONTENT_TAGS else "raw" if tag in RAW else "plain"
-    length = min(7, int(math.log2(block.letters + 1) / 1.5)) if block.letters else -1
-    linked = -1 if not block.letters else min(2, 3 * block.linked // block.letters)
-    return (
-        ("group", group), ("names", block.names), ("length", str(length)), ("linked", str(linked)),
-        ("tag", tag if tag in PROSE else "other"),
-    )
+    out = [("group", group), ("names", block.names)]
+    if block.letters:
+        out.append(("length", str(min(7, int(math.log2(block.letters + 1) / 1.5)))))
+        out.append(("linked", str(min(2, 3 * block.linked // block.letters))))
+        if tag not in LISTS:
+            out.append(("tag", tag if tag in PROSE else "other"))
+    return tuple(out)
 
 
 def kind(block: Block) -> str:
