@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govgraph.llm import decontaminate, language, mixing, pages
+from govgraph.llm import decontaminate, identifiers, language, mixing, pages
 from govgraph.llm.common import LOWER, UPPER, WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers.identifiers(table(spark, sf_dir, "documents"))
