@@ -22,8 +22,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What may be an identifier of a kind without having its full form.
 LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@|\s?[\[(](?:at|AT)[\])]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[\[(](?:dot|DOT)[\])]\s?)[A-Za-z0-9-]+)*"),
-    "card": re.compile(r"[0-9](?:[\x20._-]?[0-9]){13,18}(?![0-9])"),
-    "phone": re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])"),
+    "card": re.compile(r"[0-9](?:[\x20._-]?[0-9]){13,18}(?![0-9A-Za-z])"),
+    "phone": re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])"),
 }
 LEFT = 200  # characters before a span in which its two context words are looked for
 

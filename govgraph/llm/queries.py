@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govgraph.llm import decontaminate, identifiers, language, mixing, pages
+from govgraph.llm import decontaminate, identifiers, language, mixing, pages, urls
 from govgraph.llm.common import LOWER, UPPER, WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,8 @@ def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.identifiers(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
