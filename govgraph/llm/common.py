@@ -128,17 +128,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, dtype=np.uint64)]
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+# Powers of P and of its inverse: the first 2 ** 16, and every 2 ** 16th of as many.
+_LOW, _HIGH = _table(_P, 1 << 16), _table(np.uint64(pow(int(_P), 1 << 16, 1 << 64)), 1 << 15)
+_LOW_INV, _HIGH_INV = _table(_P_INV, 1 << 16), _table(np.uint64(pow(int(_P_INV), 1 << 16, 1 << 64)), 1 << 15)
 
 
 def _powers(n: int) -> np.ndarray:
-    """P ** 0 ... P ** (n - 1) modulo 2 ** 64."""
-    have = _POWERS[0]
-    if len(have) < n:
-        have = np.full(max(n, 1 << 16), _P, dtype=np.uint64)
-        have[0] = 1
-        _POWERS[0] = have = np.multiply.accumulate(have)
-    return have[:n]
+    """P ** 0 ... P ** (n - 1) modulo 2 ** 64, for texts up to 2 GB."""
+    if n <= len(_LOW):
+        return _LOW[:n]
+    return np.multiply.outer(_HIGH[: -(-n // len(_LOW))], _LOW).ravel()[:n]
+
+
+def _inverse(k: np.ndarray) -> np.ndarray:
+    """P ** -k modulo 2 ** 64."""
+    return _LOW_INV[k & 0xFFFF] * _HIGH_INV[k >> 16]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -159,17 +169,6 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mixed(value ^ (end - start).astype(np.uint64))
 
 
-def _inverse(k: np.ndarray) -> np.ndarray:
-    """P ** -k modulo 2 ** 64."""
-    out = np.ones(len(k), dtype=np.uint64)
-    base, left = _P_INV, k.astype(np.uint64)
-    while left.any():
-        out = np.where(left & np.uint64(1), out * base, out)
-        base = np.uint64((int(base) * int(base)) & ((1 << 64) - 1))
-        left = left >> np.uint64(1)
-    return out
-
-
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash per run of ``size`` words; a shorter text is one shingle of all its words."""
     if not len(words):
