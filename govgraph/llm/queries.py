@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govgraph.llm import decontaminate, identifiers, language, mixing, pages, quality, urls
+from govgraph.llm import decontaminate, identifiers, language, mixing, near_text, pages, quality, urls
 from govgraph.llm.common import LOWER, UPPER, WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"))
