@@ -12,12 +12,16 @@ KEY = ["id_key", "text_key"]
 MOST_WORDS = 62  # of a window: one bit of a long for each of its words
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key that is never null: an id that repeats with another text is another key."""
+    return docs.withColumns({
+        "id_key": F.coalesce("doc_id", F.lit(0)),
+        "text_key": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()),
+    })
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    # Rows that repeat an id with another text stay apart; rows that repeat both are one key.
-    return docs.select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id_key"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("text_key"),
-    )
+    return keyed(docs.select("doc_id", "text"))
 
 
 def _tokens(keyed: DataFrame) -> DataFrame:
@@ -66,7 +70,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     intersected; what is left is held against the postings of all terms, read only from
     documents that still have a candidate.
     """
-    return _exact(docs, _lists(docs, benchmark_windows(benchmark, window)))
+    windows = stored(benchmark_windows(benchmark, window), "benchmark-windows")
+    return _exact(docs, _lists(docs, windows))
 
 
 def _exact(docs: DataFrame, lists: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govgraph.llm.common import stored, word_hashes
+from govgraph.llm.decontaminate import keyed
 
 # The kinds in their order, and the forms the contract names.
 KINDS = ("email", "ip", "card", "phone")
@@ -137,11 +138,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in base], found))
             yield pd.DataFrame(rows, columns=["base", "found"])
 
-    return docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(0)).alias("id_key"),
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("text_key"),
-        scan(F.col("text")).alias("s"),
-    ).select("doc_id", "id_key", "text_key", "s.*")
+    return keyed(docs.select("doc_id", "text")).withColumn("s", scan(F.col("text"))).select("doc_id", "id_key", "text_key", "s.*")
 
 
 def context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
