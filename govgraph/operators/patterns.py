@@ -6,12 +6,13 @@ Variables are columns. A solution frame holds one column per variable.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govgraph.session import checkpointed, is_small, local_frame
+from govgraph.session import checkpointed, local_frame
 
 VARIABLE = "?"
 
@@ -37,33 +38,60 @@ def pattern(triples: DataFrame, s: str, p: str, o: str, kind: str | None = None)
     return scanned.select(*[bound[name].alias(name) for name in dict.fromkeys(order)])
 
 
-def bgp(*patterns: DataFrame) -> DataFrame:
+def compatible_join(left: DataFrame, right: DataFrame, how: str = "inner", unbound: tuple[str, ...] = ()) -> DataFrame:
+    """Join on the shared variables; one of ``unbound`` that is null in ``left`` agrees with anything.
+
+    Solutions are parted by which of these variables they lack, and every part is an equi-join on
+    the rest. A part that lacks all shared variables is a product, as the algebra asks.
+    """
+    shared = [c for c in left.columns if c in right.columns]
+    open_ = [c for c in shared if c in unbound]
+    if not open_:
+        return left.join(right, shared, how)
+    parts = []
+    for lacking in (c for n in range(len(open_) + 1) for c in combinations(open_, n)):
+        state = reduce(lambda a, b: a & b, [F.col(c).isNull() if c in lacking else F.col(c).isNotNull() for c in open_])
+        part, keys = left.filter(state), [c for c in shared if c not in lacking]
+        if how == "left_anti":
+            # Nothing bound in common takes nothing away.
+            parts.append(part.join(right, keys, how) if keys else part)
+            continue
+        part = part.drop(*lacking)
+        joined = part.join(right, keys, how) if keys else _product(part, right, how)
+        parts.append(joined)
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _product(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    return left.join(right, F.lit(True), how)
+
+
+def bgp(*patterns: DataFrame, product: bool = False, unbound: tuple[str, ...] = ()) -> DataFrame:
     """Conjunction of solution frames on their shared variables.
 
-    Patterns are joined in the given order, a connected one first. A part without
-    any shared variable is a product; it is allowed only when the part is small.
+    Patterns are joined in the given order, a connected one first. A part without any shared variable is a
+    product; it is refused unless the caller asks for it. ``unbound`` names variables that an
+    optional part may have left without a value.
     """
     left, rest = patterns[0], list(patterns[1:])
     while rest:
         nearest = next((p for p in rest if set(p.columns) & set(left.columns)), None)
-        if nearest is None:
+        if nearest is not None:
+            left = compatible_join(left, nearest, unbound=unbound)
+        elif product:
             nearest = rest[0]
-            if not is_small(nearest, 1000):
-                raise ValueError("patterns share no variable and neither part is small")
-            left = left.crossJoin(F.broadcast(nearest))
+            left = _product(left, nearest, "inner")
         else:
-            shared = [c for c in left.columns if c in nearest.columns]
-            left = left.join(nearest, shared)
+            raise ValueError("patterns share no variable; ask for product=True")
         rest.remove(nearest)
     return left
 
 
-def optional(left: DataFrame, right: DataFrame) -> DataFrame:
+def optional(left: DataFrame, right: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame:
     """Left outer extension; variables only in ``right`` are null where unmatched."""
-    shared = [c for c in left.columns if c in right.columns]
-    if not shared:
-        raise ValueError("an optional part must share a variable")
-    return left.join(right, shared, "left")
+    if not set(left.columns) & set(right.columns):
+        return _product(left, right, "left")
+    return compatible_join(left, right, "left", unbound)
 
 
 def where(solutions: DataFrame, condition: Column) -> DataFrame:
@@ -134,19 +162,27 @@ def pattern_union(*parts: DataFrame) -> DataFrame:
 
 
 def exists(solutions: DataFrame, inner: DataFrame) -> DataFrame:
+    """Solutions with a match in ``inner``; without shared variables all or none."""
     shared = [c for c in solutions.columns if c in inner.columns]
-    return solutions.join(inner, shared, "left_semi")
+    return solutions.join(inner, shared, "left_semi") if shared else _if_any(solutions, inner, True)
 
 
 def not_exists(solutions: DataFrame, inner: DataFrame) -> DataFrame:
+    """Solutions without a match in ``inner``; without shared variables all or none."""
     shared = [c for c in solutions.columns if c in inner.columns]
-    return solutions.join(inner, shared, "left_anti")
+    return solutions.join(inner, shared, "left_anti") if shared else _if_any(solutions, inner, False)
+
 
+def _if_any(solutions: DataFrame, inner: DataFrame, wanted: bool) -> DataFrame:
+    found = inner.limit(1).agg((F.count(F.lit(1)) > 0).alias("_any"))  # one row
+    return solutions.join(F.broadcast(found), F.lit(True)).filter(F.col("_any") == wanted).drop("_any")
 
-def pattern_minus(solutions: DataFrame, other: DataFrame) -> DataFrame:
+
+def pattern_minus(solutions: DataFrame, other: DataFrame, unbound: tuple[str, ...] = ()) -> DataFrame:
     """Solutions without a compatible one in ``other``; unchanged if nothing is shared."""
-    shared = [c for c in solutions.columns if c in other.columns]
-    return solutions.join(other, shared, "left_anti") if shared else solutions
+    if not set(solutions.columns) & set(other.columns):
+        return solutions
+    return compatible_join(solutions, other, "left_anti", unbound)
 
 
 def bind(solutions: DataFrame, name: str, value: Column) -> DataFrame:
@@ -155,23 +191,41 @@ def bind(solutions: DataFrame, name: str, value: Column) -> DataFrame:
     return solutions.withColumn(name, value)
 
 
-def values(solutions: DataFrame, variables: list[str], rows: list[tuple]) -> DataFrame:
-    """Join with inline data."""
+def values(
+    solutions: DataFrame, variables: list[str], rows: list[tuple], unbound: tuple[str, ...] = ()
+) -> DataFrame:
+    """Join with the rows given in the query; without shared variables every solution meets every row.
+
+    A null in a row (UNDEF) agrees with anything, as does a variable of ``unbound`` that a solution lacks.
+    """
     schema = ", ".join(f"`{v}` string" for v in variables)
-    inline = local_frame(solutions.sparkSession, rows, schema)
     shared = [v for v in variables if v in solutions.columns]
-    return solutions.join(F.broadcast(inline), shared)
+    parts = []
+    for given in dict.fromkeys(tuple(v for v, x in zip(variables, r, strict=True) if x is not None or v not in shared) for r in rows):
+        own = [tuple(x for v, x in zip(variables, r, strict=True) if v in given) for r in rows
+               if given == tuple(v for v, x in zip(variables, r, strict=True) if x is not None or v not in shared)]
+        inline = local_frame(solutions.sparkSession, own, ", ".join(f"`{v}` string" for v in given)) if given else None
+        if inline is None:
+            parts.extend([solutions] * len(own))
+        elif set(given) & set(shared):
+            parts.append(compatible_join(solutions, F.broadcast(inline), unbound=unbound))
+        else:
+            parts.append(_product(solutions, F.broadcast(inline), "inner"))
+    if not parts:
+        none = local_frame(solutions.sparkSession, [], schema)
+        return _product(solutions.limit(0), none.drop(*shared), "inner")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def path_closure(edges: DataFrame, min_hops: int = 1, max_rounds: int = 1000) -> DataFrame:
+def path_closure(edges: DataFrame, min_hops: int = 1) -> DataFrame:
     """All ``(s, o)`` joined by one or more ``edges(s, o)``; zero hops with ``min_hops=0``.
 
-    Each round extends the paths found last by one edge in front. The join key is
+    Each round extends the paths found last by one edge in front, until no new path is found. The join key is
     therefore never hotter than a node's in-degree in the edges themselves.
     """
     step = checkpointed(edges.select("s", "o").distinct())
     known = fresh = step
-    for _ in range(max_rounds):
+    while not fresh.isEmpty():
         longer = (
             step.select("s", F.col("o").alias("_mid"))
             .join(fresh.select(F.col("s").alias("_mid"), "o"), "_mid")
@@ -179,11 +233,7 @@ def path_closure(edges: DataFrame, min_hops: int = 1, max_rounds: int = 1000) ->
             .distinct()
         )
         fresh = checkpointed(longer.join(known, ["s", "o"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        known = checkpointed(known.unionByName(fresh))
     if min_hops == 0:
         nodes = edges.select("s").union(edges.select("o")).distinct()
         known = known.unionByName(nodes.select("s", F.col("s").alias("o"))).distinct()

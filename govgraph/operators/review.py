@@ -214,8 +214,8 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
 
     ``decisions`` has ``tenant_id, proposal_id, request_id, arrival, decision, rationale,
     reviewer, roles``. Result is ACCEPTED, IDEMPOTENT, CONFLICT or REJECTED with a
-    reason, and the receipt fields. The first decision per proposal counts; repeats
-    of it are idempotent.
+    reason, and the receipt fields. The first admissible decision per proposal counts;
+    repeats of it are idempotent, and a refused one stands in nobody's way.
     """
     key = ["tenant_id", "proposal_id"]
     text = F.trim("rationale")
@@ -223,12 +223,6 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
     staged = decisions.withColumn("rationale_sha256", F.sha2(text, 256)).withColumn("_valid", _holds(valid))
     content = F.struct("decision", "rationale_sha256", "reviewer")
     staged = staged.withColumn("_content", content)
-    # The earliest valid decision is found by a plain aggregate, so a proposal with
-    # very many deliveries is combined before the shuffle.
-    first = staged.filter("_valid").groupBy(*key).agg(
-        F.min_by("_content", F.struct("arrival", "request_id")).alias("_first"),
-        F.min(F.struct("arrival", "request_id")).alias("_first_at"),
-    )
     stored = receipts.select(*key, F.struct("decision", "rationale_sha256", "reviewer").alias("_stored"))
     state = eligible.select(
         *key,
@@ -242,19 +236,28 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
         "active_ontology_version",
     ).withColumnRenamed("status", "run_status")
     # Everything known per proposal is put together first and then looked up once.
-    lookup = first.join(stored, key, "left").join(state.withColumn("_known", F.lit(True)), key, "left")
-    joined = salted_join(staged, lookup, key, "left")
-    is_first = F.struct("arrival", "request_id") == F.col("_first_at")
-    reason = (
+    asked = staged.select(*key).distinct()
+    lookup = asked.join(stored, key, "left").join(state.withColumn("_known", F.lit(True)), key, "left")
+    refused = (
         F.when(~F.col("_valid"), "INVALID_COMMAND")
         .when(F.col("_stored").isNotNull() & (F.col("_stored") != F.col("_content")), "DIFFERENT_RECEIPT_EXISTS")
         .when(F.col("_stored").isNotNull(), None)
         .when(F.col("_known").isNull(), "UNKNOWN_PROPOSAL")
         .when(F.col("proposal_status") != "HUMAN_REVIEW", "NOT_IN_HUMAN_REVIEW")
         .when(~_holds(F.col("bound") & (F.col("run_status") == "HUMAN_REVIEW")), "NOT_HASH_BOUND")
-        .when((F.col("_first.decision") == "APPROVED") & ~F.col("eligible") & (F.col("decision") == "APPROVED"), "NOT_ELIGIBLE")
-        .when(F.col("_first") != F.col("_content"), "DIFFERENT_DECISION_FIRST")
+        .when((F.col("decision") == "APPROVED") & ~_holds(F.col("eligible")), "NOT_ELIGIBLE")
     )
+    judged = salted_join(staged, lookup, key, "left").withColumn("_refused", refused)
+    # Only a decision that would leave a receipt stands in the way of later ones. The earliest is found by
+    # a plain aggregate, so a proposal with very many deliveries is combined before the shuffle.
+    first = judged.filter("_refused IS NULL AND _stored IS NULL").groupBy(*key).agg(
+        F.min_by("_content", F.struct("arrival", "request_id")).alias("_first"),
+        F.min(F.struct("arrival", "request_id")).alias("_first_at"),
+    )
+    joined = salted_join(judged, first, key, "left")
+    is_first = F.struct("arrival", "request_id") == F.col("_first_at")
+    different = F.col("_stored").isNull() & (F.col("_first") != F.col("_content"))
+    reason = F.coalesce("_refused", F.when(different, "DIFFERENT_DECISION_FIRST"))
     result = (
         F.when(reason.isin("DIFFERENT_RECEIPT_EXISTS", "DIFFERENT_DECISION_FIRST"), "CONFLICT")
         .when(reason.isNotNull(), "REJECTED")

@@ -379,11 +379,15 @@ def _(spark, sf):
 
 
 def order_decisions(spark, sf):
-    """Two deliveries of a decision per order; every ninth changes its mind, every eighth is too short."""
+    """Two deliveries of a decision per order; some change their mind, every eighth is too short."""
     k = F.col("o_orderkey")
     arrivals = table(spark, sf, "orders").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("arrival"))
     wish = F.when(k % 3 == 0, "APPROVED").when(k % 3 == 1, "ABSTAINED").otherwise("REVIEW_REQUIRED")
-    second = F.when((k % 9 == 1) & (F.col("arrival") == 2), "REVIEW_REQUIRED").otherwise(wish)
+    second = (
+        F.when((k % 9 == 1) & (F.col("arrival") == 2), "REVIEW_REQUIRED")
+        .when((k % 9 == 3) & (F.col("arrival") == 2), "ABSTAINED")
+        .otherwise(wish)
+    )
     return arrivals.select(
         F.concat(F.lit("t"), F.col("o_custkey") % 3).alias("tenant_id"),
         F.concat(F.lit("p"), k).alias("proposal_id"),
@@ -399,13 +403,13 @@ def order_decisions(spark, sf):
 @registered(
     "record_decisions",
     REVIEWS
-    + """, d AS (SELECT r.*, a.n AS arrival, CASE WHEN k % 9 = 1 AND a.n = 2 THEN 'REVIEW_REQUIRED' WHEN k % 3 = 0 THEN 'APPROVED' WHEN k % 3 = 1 THEN 'ABSTAINED' ELSE 'REVIEW_REQUIRED' END AS decision
+    + """, d AS (SELECT r.*, a.n AS arrival, CASE WHEN k % 9 = 1 AND a.n = 2 THEN 'REVIEW_REQUIRED' WHEN k % 9 = 3 AND a.n = 2 THEN 'ABSTAINED' WHEN k % 3 = 0 THEN 'APPROVED' WHEN k % 3 = 1 THEN 'ABSTAINED' ELSE 'REVIEW_REQUIRED' END AS decision
       FROM r, (VALUES (1), (2)) AS a(n)),
-    s AS (SELECT *, CASE WHEN k % 8 = 5 THEN 'INVALID_COMMAND' WHEN k % 17 = 2 AND k % 9 = 1 AND arrival = 2 THEN 'DIFFERENT_RECEIPT_EXISTS' WHEN k % 17 = 2 THEN NULL
+    s AS (SELECT *, CASE WHEN k % 8 = 5 THEN 'INVALID_COMMAND' WHEN k % 17 = 2 AND k % 9 IN (1, 3) AND arrival = 2 THEN 'DIFFERENT_RECEIPT_EXISTS' WHEN k % 17 = 2 THEN NULL
       WHEN NOT valid THEN 'NOT_IN_HUMAN_REVIEW' WHEN NOT bound THEN 'NOT_HASH_BOUND' WHEN decision = 'APPROVED' AND reasons <> '' THEN 'NOT_ELIGIBLE'
-      WHEN k % 9 = 1 AND arrival = 2 THEN 'DIFFERENT_DECISION_FIRST' END AS reason FROM d)
+      WHEN (k % 9 = 1 OR k % 9 = 3 AND reasons = '') AND arrival = 2 THEN 'DIFFERENT_DECISION_FIRST' END AS reason FROM d)
     SELECT proposal_id, arrival, reason, CASE WHEN reason IN ('DIFFERENT_RECEIPT_EXISTS', 'DIFFERENT_DECISION_FIRST') THEN 'CONFLICT' WHEN reason IS NOT NULL THEN 'REJECTED'
-      WHEN k % 17 = 2 OR arrival = 2 THEN 'IDEMPOTENT' ELSE 'ACCEPTED' END AS result, 'review-' || sha256(concat(tenant_id, chr(0), proposal_id)) AS receipt_id FROM s""",
+      WHEN k % 17 = 2 OR arrival = 2 AND k % 9 <> 3 THEN 'IDEMPOTENT' ELSE 'ACCEPTED' END AS result, 'review-' || sha256(concat(tenant_id, chr(0), proposal_id)) AS receipt_id FROM s""",
 )
 def _(spark, sf):
     decisions = order_decisions(spark, sf)

@@ -14,7 +14,7 @@ R, V = RESOURCE, VOCAB
 
 # The bank graph in SQL, one branch per predicate that the queries below use.
 BANK = f"""
-WITH graph AS (
+WITH graph AS MATERIALIZED (
   SELECT '{R}sanction-' || r_regionkey AS s, '{RDF_TYPE}' AS p, '{V}SanctionsEntry' AS o, 'iri' AS o_kind FROM region WHERE r_name = 'ASIA'
   UNION SELECT '{R}sanction-' || n_regionkey, '{V}targetsParty', '{R}party-' || n_nationkey, 'iri' FROM nation
   UNION SELECT '{R}party-' || n_nationkey, '{RDF_TYPE}', '{V}Party', 'iri' FROM nation
@@ -276,25 +276,25 @@ def _(spark, sf):
     )
 
 
-_NO_ACCOUNT = f"""SELECT s AS entity FROM graph g WHERE p = '{RDF_TYPE}' AND o = '{V}LegalEntity'
-       AND {{}} (SELECT 1 FROM graph h WHERE h.s = g.s AND h.p = '{V}hasAccount')"""
+_BENEFICIARY = f"""SELECT s AS payment FROM graph g WHERE p = '{RDF_TYPE}' AND o = '{V}Payment'
+       AND {{}} (SELECT 1 FROM graph h WHERE h.s = g.s AND h.p = '{V}toAccount')"""
 
 
-@registered("not_exists", BANK + _NO_ACCOUNT.format("NOT EXISTS"))
+@registered("not_exists", BANK + _BENEFICIARY.format("NOT EXISTS"))
 def _(spark, sf):
-    graph = bank.bank_graph(spark, sf)
+    graph = triples.merge_graphs(bank.bank_graph(spark, sf))
     return patterns.not_exists(
-        patterns.pattern(graph, "?entity", RDF_TYPE, V + "LegalEntity"),
-        patterns.pattern(graph, "?entity", questions.HAS_ACCOUNT, "?account"),
+        patterns.pattern(graph, "?payment", RDF_TYPE, questions.PAYMENT),
+        patterns.pattern(graph, "?payment", questions.TO_ACCOUNT, "?beneficiary"),
     )
 
 
-@registered("exists", BANK + _NO_ACCOUNT.format("EXISTS"))
+@registered("exists", BANK + _BENEFICIARY.format("EXISTS"))
 def _(spark, sf):
-    graph = bank.bank_graph(spark, sf)
+    graph = triples.merge_graphs(bank.bank_graph(spark, sf))
     return patterns.exists(
-        patterns.pattern(graph, "?entity", RDF_TYPE, V + "LegalEntity"),
-        patterns.pattern(graph, "?entity", questions.HAS_ACCOUNT, "?account"),
+        patterns.pattern(graph, "?payment", RDF_TYPE, questions.PAYMENT),
+        patterns.pattern(graph, "?payment", questions.TO_ACCOUNT, "?beneficiary"),
     )
 
 
@@ -325,6 +325,34 @@ def _(spark, sf):
     return patterns.bind(joined, "size", F.length("payment"))
 
 
+@registered(
+    "values_product",
+    BANK
+    + f"""SELECT o AS account, label FROM graph, (VALUES ('first'), ('second')) AS v(label) WHERE p = '{V}hasAccount'""",
+)
+def _(spark, sf):
+    found = patterns.pattern(bank.bank_graph(spark, sf), "?entity", questions.HAS_ACCOUNT, "?account").select("account")
+    return patterns.values(found, ["label"], [("first",), ("second",)])
+
+
+@registered(
+    "optional_unbound",
+    BANK
+    + f""", b AS (SELECT a.s AS payment, b.o AS beneficiary FROM graph a LEFT JOIN graph b ON b.s = a.s AND b.p = '{V}toAccount'
+         WHERE a.p = '{RDF_TYPE}' AND a.o = '{V}Payment')
+       SELECT payment, v.beneficiary, label FROM b JOIN (VALUES ('{R}beneficiary-1', 'one'), ('{R}beneficiary-2', 'two')) AS v(beneficiary, label)
+       ON b.beneficiary IS NULL OR b.beneficiary = v.beneficiary""",
+)
+def _(spark, sf):
+    graph = triples.merge_graphs(bank.bank_graph(spark, sf))
+    found = patterns.optional(
+        patterns.pattern(graph, "?payment", RDF_TYPE, questions.PAYMENT),
+        patterns.pattern(graph, "?payment", questions.TO_ACCOUNT, "?beneficiary"),
+    )
+    rows = [(R + "beneficiary-1", "one"), (R + "beneficiary-2", "two")]
+    return patterns.values(found, ["beneficiary", "label"], rows, unbound=("beneficiary",)).select("payment", "beneficiary", "label")
+
+
 @registered(
     "path_closure",
     f"""WITH RECURSIVE edges AS (
