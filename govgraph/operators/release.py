@@ -10,7 +10,7 @@ from govgraph.functions.times import valid_utc_second
 from govgraph.operators.ledger import BUNDLE
 from govgraph.operators.proposals import SHA256
 from govgraph.operators.violations import finding_rows, rule_array, union_all
-from govgraph.session import is_small, salted_join
+from govgraph.session import salted_join
 
 # State, serving mode and published flag a bundle has per mode, and
 # what release identifiers look like.
@@ -212,20 +212,24 @@ def last_valid(checked: DataFrame) -> DataFrame:
 def rollback_candidates(checked: DataFrame) -> DataFrame:
     """Earlier releases of a tenant that really were active and are not active now.
 
-    One row per release, with the last generation in which it was active.
+    One row per release, with the last generation in which it was active and what a pointer to it must repeat.
     """
     current = active_release(checked).select(
-        "tenant_id", F.col("generation").alias("current_generation"), F.col("manifest_object").alias("current_object")
+        "tenant_id",
+        F.col("generation").alias("current_generation"),
+        F.col("manifest_object").alias("current_object"),
+        F.col("manifest_sha256").alias("current_sha256"),
     )
     earlier = checked.filter(F.size("refused") == 0).groupBy("tenant_id", "manifest_object", "manifest_sha256").agg(
-        F.max("generation").alias("prior_generation")
+        F.max("generation").alias("prior_generation"),
+        F.max_by(F.struct("receipt_sha256", "publisher_subject"), "generation").alias("_prior"),
+    ).select(
+        "tenant_id", "manifest_object", "manifest_sha256", "prior_generation",
+        F.col("_prior.receipt_sha256").alias("receipt_sha256"),
+        F.col("_prior.publisher_subject").alias("target_publisher"),
     )
-    # A tenant may own most of the history.
-    if is_small(current):
-        joined = earlier.join(F.broadcast(current), "tenant_id")
-    else:
-        joined = salted_join(earlier, current, "tenant_id")
-    return joined.filter(
+    # One row per tenant on the right; a tenant may own most of the history.
+    return salted_join(earlier, current, "tenant_id").filter(
         (F.col("prior_generation") < F.col("current_generation"))
         & (F.col("manifest_object") != F.col("current_object"))
     )
@@ -234,10 +238,16 @@ def rollback_candidates(checked: DataFrame) -> DataFrame:
 def build_rollback(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rollback pointers with their audit, or the reasons why a request is refused.
 
-    ``requests`` has ``tenant_id, manifest_object, expected_generation, publisher_subject,
-    target_publisher, authorized_at, activated_at, reason, ticket``.
+    ``requests`` has ``tenant_id, manifest_object, expected_generation, publisher_subject, authorized_at,
+    activated_at, reason, ticket``. Of the admissible requests of a tenant the earliest one wins (ties: the smaller
+    ticket); to the others the generation has changed. A pointer has all that ``pointer_rules`` ask for.
     """
-    joined = requests.join(candidates, ["tenant_id", "manifest_object"], "left")
+    known = candidates.select(
+        "tenant_id", "manifest_object", "manifest_sha256", "receipt_sha256", "target_publisher", "prior_generation",
+        "current_generation", "current_object", "current_sha256",
+    )
+    asked = requests.drop("target_publisher", "manifest_sha256", "receipt_sha256")
+    joined = asked.join(known, ["tenant_id", "manifest_object"], "left")
     reason = F.trim(F.regexp_replace("reason", r"\s+", " "))
     rules = [
         ("TARGET_WAS_NOT_ACTIVE", F.col("prior_generation").isNotNull()),
@@ -261,18 +271,40 @@ def build_rollback(requests: DataFrame, candidates: DataFrame) -> DataFrame:
             "expectedGeneration": F.col("expected_generation"),
             "observedGeneration": F.col("current_generation"),
             "fromManifest": F.col("current_object"),
+            "fromManifestSha256": F.col("current_sha256"),
             "toManifest": F.col("manifest_object"),
+            "toManifestSha256": F.col("manifest_sha256"),
+            "toReceiptSha256": F.col("receipt_sha256"),
             "priorGeneration": F.col("prior_generation"),
         })
     )
-    staged = joined.withColumn("refused", rule_array(rules)).withColumn("audit", audit)
+    staged = joined.withColumn("_rules", rule_array(rules)).withColumn("audit", audit)
+    # Compare-and-set has one winner: a plain aggregate over the admissible requests.
+    winner = staged.filter(F.size("_rules") == 0).groupBy("tenant_id").agg(
+        F.min(F.struct("activated_at", "ticket", "manifest_object")).alias("_winner")
+    )
+    decided = salted_join(staged, winner, "tenant_id", "left")
+    won = F.struct("activated_at", "ticket", "manifest_object") == F.col("_winner")
+    late = (F.size("_rules") == 0) & ~won
+    decided = decided.withColumn(
+        "refused", F.when(late, F.array(F.lit("GENERATION_CHANGED"))).otherwise(F.col("_rules"))
+    )
     ok = F.size("refused") == 0
-    return staged.select(
-        *requests.columns,
+    place = F.concat(
+        F.lit("tenants/"), F.col("tenant_id"), F.lit("/ontology/rollbacks/"), F.col("current_generation") + 1,
+        F.lit("/rollback-audit.json"),
+    )
+    return decided.select(
+        *asked.columns,
         F.when(ok, "ROLLBACK").alias("operation"),
         F.when(ok, F.col("current_generation") + 1).alias("generation"),
         F.when(ok, F.col("current_generation")).alias("replaces_generation"),
+        F.when(ok, F.col("manifest_sha256")).alias("manifest_sha256"),
+        F.when(ok, F.col("receipt_sha256")).alias("receipt_sha256"),
+        F.when(ok, F.col("publisher_subject")).alias("rollback_authorized_by"),
         F.when(ok, F.col("current_object")).alias("previous_manifest_object"),
+        F.when(ok, F.col("current_sha256")).alias("previous_manifest_sha256"),
+        F.when(ok, place).alias("rollback_audit_object"),
         F.when(ok, F.sha2("audit", 256)).alias("rollback_audit_sha256"),
         F.when(ok, F.col("audit")).alias("audit"),
         "refused",

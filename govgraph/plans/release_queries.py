@@ -319,14 +319,22 @@ def order_pointers(spark, sf):
         F.sha2(F.lit("audit"), 256).alias("rollback_audit_sha256"),
         F.sha2(F.lit("previous"), 256).alias("previous_manifest_sha256"),
     )
-    releases = pointers.select("tenant_id", "manifest_object").distinct().select(
+    return release.checked_pointers(pointers, order_releases(spark, sf))
+
+
+def order_releases(spark, sf):
+    """The release that every pointer of an order names."""
+    k = K("o_orderkey")
+    tenant = F.concat(F.lit("c"), K("o_custkey"))
+    name = release.release_object(tenant, F.lit("b"), (k % 3).cast("string"))
+    named = table(spark, sf, "orders").select(tenant.alias("tenant_id"), name.alias("manifest_object"))
+    return named.distinct().select(
         "*",
         F.sha2("manifest_object", 256).alias("manifest_sha256"),
         F.sha2(F.lit("receipt"), 256).alias("receipt_sha256"),
         F.lit("publisher").alias("publisher_subject"),
         F.lit("2026-06-01T00:00:00Z").alias("authorized_at"),
     )
-    return release.checked_pointers(pointers, releases)
 
 
 @registered("checked_pointers", POINTERS + " SELECT tenant_id, generation, refused FROM p")
@@ -372,15 +380,20 @@ def _(spark, sf):
     return found.select("tenant_id", "manifest_object", "prior_generation", "current_generation")
 
 
-@registered(
-    "build_rollback",
+ROLLBACKS = (
     CANDIDATES
-    + """ SELECT p.tenant_id, p.generation AS asked_at, concat_ws(',', CASE WHEN c.tenant_id IS NULL THEN 'TARGET_WAS_NOT_ACTIVE' END,
-       CASE WHEN c.tenant_id IS NULL OR p.generation % 17 = 5 THEN 'GENERATION_CHANGED' END, CASE WHEN p.generation % 19 = 6 THEN 'REASON' END) AS refused,
-      CASE WHEN c.tenant_id IS NOT NULL AND p.generation % 17 <> 5 AND p.generation % 19 <> 6 THEN c.current_generation + 1 END AS generation
-    FROM p LEFT JOIN cand c ON c.tenant_id = p.tenant_id AND c.manifest_object = p.manifest_object""",
+    + """, asked AS (SELECT p.tenant_id, p.generation AS asked_at, p.manifest_object, c.current_generation, concat_ws(',', CASE WHEN c.tenant_id IS NULL THEN 'TARGET_WAS_NOT_ACTIVE' END,
+       CASE WHEN c.tenant_id IS NULL OR p.generation % 17 = 5 THEN 'GENERATION_CHANGED' END, CASE WHEN c.tenant_id IS NULL THEN 'ROLLBACK_ACTOR' END,
+       CASE WHEN p.generation % 19 = 6 THEN 'REASON' END) AS rules
+    FROM p LEFT JOIN cand c ON c.tenant_id = p.tenant_id AND c.manifest_object = p.manifest_object),
+    winner AS (SELECT tenant_id, min('OPS-' || asked_at) AS ticket FROM asked WHERE rules = '' GROUP BY tenant_id),
+    made AS (SELECT asked.*, CASE WHEN rules = '' AND 'OPS-' || asked_at <> ticket THEN 'GENERATION_CHANGED' ELSE rules END AS refused
+      FROM asked LEFT JOIN winner USING (tenant_id))"""
 )
-def _(spark, sf):
+
+
+def order_rollbacks(spark, sf):
+    """A rollback request per pointer, some with an old generation or without a reason."""
     checked = order_pointers(spark, sf)
     candidates = release.rollback_candidates(checked)
     current = candidates.groupBy("tenant_id").agg(F.max("current_generation").alias("seen"))
@@ -390,12 +403,37 @@ def _(spark, sf):
         "manifest_object",
         F.when(k % 17 == 5, -1).otherwise(K("seen")).alias("expected_generation"),
         F.lit("publisher").alias("publisher_subject"),
-        F.lit("publisher").alias("target_publisher"),
         F.lit("2026-06-01T00:00:00Z").alias("authorized_at"),
         F.lit("2026-06-01T00:00:01Z").alias("activated_at"),
         F.when(k % 19 == 6, "  why  ").otherwise(F.concat(F.lit("the release is broken  "), k)).alias("reason"),
         F.concat(F.lit("OPS-"), k).alias("ticket"),
         k.alias("asked_at"),
     )
-    made = release.build_rollback(requests, candidates)
-    return made.select("tenant_id", "asked_at", F.array_join("refused", ",").alias("refused"), "generation")
+    return release.build_rollback(requests, candidates)
+
+
+@registered(
+    "build_rollback",
+    ROLLBACKS
+    + """ SELECT tenant_id, asked_at, refused, CASE WHEN refused = '' THEN current_generation + 1 END AS generation,
+      CASE WHEN refused = '' THEN sha256(manifest_object) END AS manifest_sha256 FROM made""",
+)
+def _(spark, sf):
+    made = order_rollbacks(spark, sf)
+    return made.select("tenant_id", "asked_at", F.array_join("refused", ",").alias("refused"), "generation", "manifest_sha256")
+
+
+@registered(
+    "rollback_round_trip",
+    ROLLBACKS
+    + """ SELECT a.tenant_id, coalesce(m.current_generation + 1, a.generation) AS generation, coalesce(m.manifest_object, a.manifest_object) AS manifest_object
+      FROM active a LEFT JOIN (SELECT * FROM made WHERE refused = '') m USING (tenant_id)""",
+)
+def _(spark, sf):
+    """The issued pointers are read back with the old ones: they are valid and in force."""
+    before = order_pointers(spark, sf)
+    issued = order_rollbacks(spark, sf).filter(F.size("refused") == 0)
+    columns = [c for c in before.columns if c != "refused"]
+    pointers = before.select(*columns).unionByName(issued.select(*columns))
+    after = release.checked_pointers(pointers, order_releases(spark, sf))
+    return release.active_release(after).select("tenant_id", "generation", "manifest_object")
