@@ -7,8 +7,6 @@ one join per rule kind, however deep the hierarchy is.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,45 +22,30 @@ from govgraph.operators.triples import (
     XSD,
 )
 from govgraph.operators.violations import union_all
-from govgraph.session import local_frame, settled, small_join
+from govgraph.session import settled, small_join
 
 AXIOM_PREDICATES = (SUBCLASS_OF, DOMAIN, RANGE, INVERSE_OF)
 
 
-# Axiom graphs of at most this many edges are closed in one step on the driver, which
-# is also where the broadcast of the result would be built.
-AXIOM_EDGES = 2_000
-
-
 def axioms_of(triples: DataFrame) -> DataFrame:
     """The axiom triples of a graph."""
     symmetric = (F.col("p") == RDF_TYPE) & (F.col("o") == SYMMETRIC)
     return triples.filter(F.col("p").isin(*AXIOM_PREDICATES) | symmetric).select("s", "p", "o").distinct()
 
 
-def axiom_closure(edges: DataFrame) -> DataFrame:
-    """All ``(s, o)`` reachable in an axiom graph; larger graphs take the loop of joins."""
-    rows = edges.select("s", "o").distinct().limit(AXIOM_EDGES + 1).collect()
-    if len(rows) > AXIOM_EDGES:
-        return path_closure(edges)
-    after = defaultdict(set)
-    for s, o in rows:
-        after[s].add(o)
-    pairs = []
-    for start, direct in after.items():
-        seen, waiting = set(), list(direct)
-        while waiting:
-            node = waiting.pop()
-            if node not in seen:
-                seen.add(node)
-                waiting += after.get(node, ())
-        pairs += [(start, node) for node in seen]
-    return local_frame(edges.sparkSession, pairs, "s string, o string")
+def with_predicates(triples: DataFrame, declared: DataFrame, column: str = "p") -> DataFrame:
+    """Triples of the predicates that rules or shapes declare, as literals.
+
+    The vocabulary is what reaches the driver. A literal lets the scan be pruned to the columns, branches or
+    folders of these predicates, where a join would read the whole graph.
+    """
+    names = sorted(r[0] for r in declared.select(column).distinct().collect() if r[0] is not None)
+    return triples.filter(F.col("p").isin(*names)) if names else triples.filter(F.lit(False))
 
 
 def subclass_closure(axioms: DataFrame) -> DataFrame:
     """Transitive ``(subclass, superclass)`` pairs."""
-    pairs = axiom_closure(axioms.filter(F.col("p") == SUBCLASS_OF).select("s", "o"))
+    pairs = path_closure(axioms.filter(F.col("p") == SUBCLASS_OF).select("s", "o"))
     return pairs.select(F.col("s").alias("subclass"), F.col("o").alias("superclass"))
 
 
@@ -84,10 +67,10 @@ def property_closure(axioms: DataFrame) -> DataFrame:
     steps = union_all([
         swapped.select(node("a", f).alias("s"), node("b", 1 - f).alias("o")) for f in (0, 1)
     ])
-    reached = axiom_closure(steps).filter("s LIKE '0|%'")
+    reached = path_closure(steps).filter("s LIKE '0|%'")
     pairs = reached.select(
-        F.substring("s", 3, 1_000_000).alias("p"),
-        F.substring("o", 3, 1_000_000).alias("q"),
+        F.expr("substr(s, 3)").alias("p"),
+        F.expr("substr(o, 3)").alias("q"),
         F.col("o").startswith("1|").alias("flip"),
     ).filter("p <> q OR flip")
     return settled(pairs)
@@ -142,20 +125,21 @@ def infer_types(triples: DataFrame, supers: DataFrame) -> DataFrame:
 def infer_domain(triples: DataFrame, rules: DataFrame) -> DataFrame:
     """Subjects of a property get its domain classes; ``rules(p, side, cls)``."""
     wanted = rules.filter("side = 's'").select("p", "cls")
-    return _typed(small_join(triples.select("s", "p"), wanted, "p"), "s", "cls")
+    used = with_predicates(triples, wanted).select("s", "p").distinct()
+    return _typed(small_join(used, wanted, "p"), "s", "cls")
 
 
 def infer_range(triples: DataFrame, rules: DataFrame) -> DataFrame:
     """Objects of a property that are resources get its range classes."""
     wanted = rules.filter("side = 'o'").select("p", "cls")
-    resources = triples.filter("o_kind <> 'literal'").select("p", "o")
+    resources = with_predicates(triples, wanted).filter("o_kind <> 'literal'").select("p", "o").distinct()
     return _typed(small_join(resources, wanted, "p"), "o", "cls")
 
 
 def infer_properties(triples: DataFrame, properties: DataFrame) -> DataFrame:
     """Triples implied by inverse and symmetric properties, both directions."""
     # A literal cannot become a subject, so swapped triples need a resource object.
-    resources = triples.filter("o_kind <> 'literal'").select("s", "p", "o", "o_kind")
+    resources = with_predicates(triples, properties).filter("o_kind <> 'literal'").select("s", "p", "o", "o_kind")
     joined = small_join(resources, properties, "p")
     none = F.lit(None).cast("string")
     subject_kind = F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri")

@@ -19,13 +19,13 @@ from govgraph.operators.inference import (
     infer_types,
     subclass_closure,
     type_rules,
+    with_predicates,
 )
 from govgraph.operators.triples import RDF_TYPE, TRIPLE, XSD
 from govgraph.operators.violations import union_all
 from govgraph.session import checkpointed, local_frame, settled, small_join
 
 LIST_SEPARATOR = "\x1f"
-MAX_MESSAGE = 2000
 COUNT_COMPONENTS = ("minCount", "maxCount", "hasValue")
 VALUE_COMPONENTS = (
     "datatype",
@@ -89,7 +89,7 @@ def _report(broken: DataFrame) -> DataFrame:
         "path",
         "component",
         "value",
-        F.substring(text, 1, MAX_MESSAGE).alias("message"),
+        text.alias("message"),
         F.col("shape").alias("source_shape"),
     )
 
@@ -100,10 +100,9 @@ def _with_constraints(focus: DataFrame, shapes: DataFrame, components: tuple[str
 
 
 def _facts(triples: DataFrame, shapes: DataFrame) -> DataFrame:
-    paths = shapes.select(F.col("path").alias("p")).distinct()
-    used = small_join(triples, paths, "p")
+    used = with_predicates(triples, shapes, "path")
     return used.select(
-        F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype"
+        F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype", "o_lang"
     )
 
 

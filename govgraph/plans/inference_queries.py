@@ -48,11 +48,6 @@ def axioms(spark):
     return local_frame(spark, AXIOMS, "s string, p string, o string")
 
 
-def small_graph(spark, sf):
-    """The bank graph without payments."""
-    return bank.bank_graph(spark, sf).filter(~F.col("s").startswith(R + "payment-"))
-
-
 @registered(
     "subclass_closure",
     f"""WITH RECURSIVE edges AS (
@@ -118,7 +113,7 @@ def _(spark, sf):
     UNION ALL SELECT '{R}entity-' || c_custkey, '{V}hasBeneficialOwner', '{R}party-' || c_nationkey FROM customer""",
 )
 def _(spark, sf):
-    return inference.infer_inverse(small_graph(spark, sf), axioms(spark)).select("s", "p", "o")
+    return inference.infer_inverse(bank.bank_graph(spark, sf), axioms(spark)).select("s", "p", "o")
 
 
 @registered(
@@ -147,18 +142,24 @@ def _(spark, sf):
       UNION SELECT '{R}sanction-' || n_regionkey, '{V}targetsParty', '{R}party-' || n_nationkey FROM nation
       UNION SELECT '{R}sanction-' || r_regionkey, '{RDF_TYPE}', '{V}SanctionsEntry' FROM region WHERE r_name = 'ASIA'
       UNION SELECT '{R}party-' || n_nationkey, 'http://www.w3.org/2004/02/skos/core#prefLabel', n_name FROM nation
-      UNION SELECT '{R}entity-' || c_custkey, 'http://www.w3.org/2004/02/skos/core#prefLabel', c_name FROM customer),
+      UNION SELECT '{R}entity-' || c_custkey, 'http://www.w3.org/2004/02/skos/core#prefLabel', c_name FROM customer
+      UNION SELECT '{R}payment-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, '{RDF_TYPE}', '{V}Payment' FROM lineitem
+      UNION SELECT '{R}payment-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, '{V}fromAccount', '{R}account-' || l_orderkey FROM lineitem
+      UNION SELECT '{R}payment-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, '{V}toAccount', '{R}beneficiary-' || l_suppkey FROM lineitem WHERE l_suppkey % 3 <> 0
+      UNION SELECT '{R}payment-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, '{V}amount', CAST(CAST(l_extendedprice AS DECIMAL(38,2)) AS VARCHAR) FROM lineitem
+      UNION SELECT '{R}payment-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, '{V}currency', l_returnflag FROM lineitem),
     swapped AS (SELECT o AS s, CASE p WHEN '{V}hasAccount' THEN '{V}heldBy' ELSE '{V}hasBeneficialOwner' END AS p, s AS o FROM base WHERE p IN ('{V}hasAccount', '{V}beneficialOwnerOf')),
     ruled AS (
       SELECT s, '{V}LegalEntity' AS c FROM base WHERE p = '{V}hasAccount' UNION SELECT o, '{V}Account' FROM base WHERE p = '{V}hasAccount'
       UNION SELECT s, '{V}Party' FROM base WHERE p = '{V}beneficialOwnerOf' UNION SELECT o, '{V}LegalEntity' FROM base WHERE p = '{V}beneficialOwnerOf'
+      UNION SELECT s, '{V}Payment' FROM base WHERE p = '{V}fromAccount' UNION SELECT o, '{V}Account' FROM base WHERE p IN ('{V}fromAccount', '{V}toAccount')
       UNION SELECT s, o FROM base WHERE p = '{RDF_TYPE}'),
-    supers AS (SELECT * FROM (VALUES ('{V}LegalEntity', '{V}Party'), ('{V}LegalEntity', '{V}BusinessConcept'), ('{V}Party', '{V}BusinessConcept'), ('{V}Account', '{V}BusinessConcept')) AS t(a, b)),
+    supers AS (SELECT * FROM (VALUES ('{V}LegalEntity', '{V}Party'), ('{V}LegalEntity', '{V}BusinessConcept'), ('{V}Party', '{V}BusinessConcept'), ('{V}Account', '{V}BusinessConcept'), ('{V}Payment', '{V}BusinessConcept')) AS t(a, b)),
     everything AS (SELECT * FROM base UNION SELECT * FROM swapped UNION SELECT s, '{RDF_TYPE}', c FROM ruled UNION SELECT s, '{RDF_TYPE}', b FROM ruled JOIN supers ON a = c)
     SELECT s, p, o, NOT EXISTS (SELECT 1 FROM base b WHERE b.s = e.s AND b.p = e.p AND b.o = e.o) AS inferred FROM everything e""",
 )
 def _(spark, sf):
-    full = inference.materialize(small_graph(spark, sf), axioms(spark))
+    full = inference.materialize(bank.bank_graph(spark, sf), axioms(spark))
     return full.select("s", "p", "o", "inferred")
 
 
@@ -292,6 +293,26 @@ for _component in (*shapes.COUNT_COMPONENTS, *shapes.VALUE_COMPONENTS):
     registered(f"shape_{_component}", _of(_component))(_component_query(_component))
 
 
+@registered(
+    "shape_languages",
+    f"""SELECT '{R}entity-' || c_custkey AS focus_node, '{V}name' AS path, CAST(NULL AS VARCHAR) AS value FROM customer WHERE c_custkey % 3 = 1""",
+)
+def _(spark, sf):
+    """One text in two languages is two values; every third customer has both."""
+    rows = table(spark, sf, "customer").withColumn("second", F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")))
+    graph = rows_to_triples(
+        rows,
+        [
+            Mapping(bank.ENTITY, RDF_TYPE, iri=V + "LegalEntity"),
+            Mapping(bank.ENTITY, V + "name", column="c_name", lang="en"),
+            Mapping(bank.ENTITY, V + "name", column="second", lang="es"),
+        ],
+    )
+    one = shapes.Constraint(V + "EntityShape", V + "LegalEntity", V + "name", "maxCount", "1")
+    found = shapes.count_violations(graph, shapes.types_of(graph), shapes.shape_frame(spark, [one]))
+    return found.select("focus_node", "path", "value")
+
+
 @registered(
     "shape_targets",
     f"""SELECT '{V}AccountShape' AS shape, '{R}account-' || o_orderkey AS focus FROM orders
