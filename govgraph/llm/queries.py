@@ -100,8 +100,8 @@ ORACLES["op3_near_vectors"] = """
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, label, embedding::double[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
