@@ -38,7 +38,6 @@ CONFIDENCES = {
     for name in ("lexical", "structural", "instance", "provenance")
 }
 STEP_PREDICATES = (FIELD_NAME, MAPS_TO, DERIVED_RELATION, PROPOSAL_STATUS)
-FALLBACK_FACTS = 10
 DEFAULT_RATIONALE = "The explanation is derived only from the verified graph."
 
 
@@ -123,13 +122,23 @@ def mapping_lookup(triples: DataFrame, ids: DataFrame) -> DataFrame:
     return small_join(names, ids.select("id").distinct(), "id").groupBy("id").agg(F.min("s").alias("s"))
 
 
-def explain(triples: DataFrame, ids: DataFrame) -> DataFrame:
+def resource_lookup(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Asked ids to resources: mappings by any of their names first, else the subject with that IRI."""
+    mappings = mapping_lookup(triples, ids)
+    rest = ids.select("id").distinct().join(mappings, "id", "left_anti")
+    subjects = triples.select(F.col("s").alias("id"))
+    plain = rest.join(subjects, "id", "left_semi").select("id", F.col("id").alias("s"))
+    return mappings.unionByName(plain)
+
+
+def explain(triples: DataFrame, ids: DataFrame, facts_shown: int | None = None) -> DataFrame:
     """Ordered explanation steps of the asked ids: ``id, step, statement, evidence_iri``.
 
     Field, concept, derived relation and status come first, then the evidence with
-    its locator. A resource without any of these gives its first facts.
+    its locator. A resource without any of these, mapping or not, gives its facts besides labels and
+    types, the first ``facts_shown`` of them where that is given.
     """
-    asked = mapping_lookup(triples, ids)
+    asked = resource_lookup(triples, ids)
     facts = small_join(triples, asked.select("id", "s"), "s")
     kind = F.lit(None).cast("int")
     for i, p in enumerate(STEP_PREDICATES):
@@ -161,11 +170,11 @@ def explain(triples: DataFrame, ids: DataFrame) -> DataFrame:
     steps = plain.unionByName(cited_rows)
     bare = asked.select("id").join(steps.select("id").distinct(), "id", "left_anti")
     first = Window.partitionBy("id").orderBy("p", "o")
+    told = ranked.join(bare, "id", "left_semi").filter(~F.col("p").isin(RDF_TYPE, RDFS_LABEL, PREF_LABEL))
+    if facts_shown is not None:
+        told = told.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= facts_shown)
     others = (
-        ranked.join(bare, "id", "left_semi")
-        .withColumn("_n", F.row_number().over(first))
-        .filter((F.col("_n") <= FALLBACK_FACTS) & ~F.col("p").isin(RDF_TYPE, RDFS_LABEL, PREF_LABEL))
-        .select(
+        told.select(
             "id", F.lit(9).alias("_kind"), "p", "o", fact_text.alias("statement"), none.alias("evidence_iri")
         )
     )

@@ -24,16 +24,16 @@ def media_type(content_type: Column) -> Column:
     return F.lower(F.substring_index(content_type, ";", 1))
 
 
-def quarantine(objects: DataFrame) -> DataFrame:
+def quarantine(objects: DataFrame, max_bytes: int = MAX_OBJECT_BYTES) -> DataFrame:
     """Route arriving objects to QUEUED, QUARANTINED (with reason) or IGNORED.
 
     Needs ``object_name, size_bytes, content_type, metadata_tenant``. Size is checked
-    first, then the media type, then the tenant in the metadata.
+    first (1 to ``max_bytes``), then the media type, then the tenant in the metadata.
     """
     parsed = objects.withColumn("_path", parse_object_path(F.col("object_name"))).select(
         *objects.columns, "_path.*"
     )
-    good_size = F.coalesce(F.col("size_bytes").between(1, MAX_OBJECT_BYTES), F.lit(False))
+    good_size = F.coalesce(F.col("size_bytes").between(1, max_bytes), F.lit(False))
     good_type = F.coalesce(
         media_type(F.col("content_type")).isin(*SUPPORTED_MEDIA_TYPES), F.lit(False)
     )

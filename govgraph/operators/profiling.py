@@ -11,18 +11,14 @@ from govgraph.session import salted_join
 from govgraph.sources.files import json_record_count
 
 EXTRACTOR_VERSION = "govgraph-profiler/1.0.0"
-MAX_COLUMN_NAMES = 100
-MAX_COLUMN_NAME_LENGTH = 200
 RATE = "decimal(9,6)"
 
 
-def bounded_column_names(names: Column) -> Column:
-    """Trimmed names without empty and over-long ones, the first hundred."""
+def bounded_column_names(names: Column, most: int | None = None, longest: int | None = None) -> Column:
+    """Trimmed names without empty ones; only where asked for, the first ``most`` up to ``longest`` characters."""
     trimmed = F.transform(names, lambda n: F.regexp_replace(n, r"(?U)^\s+|\s+\z", ""))
-    kept = F.filter(
-        trimmed, lambda n: (F.length(n) > 0) & (F.length(n) <= MAX_COLUMN_NAME_LENGTH)
-    )
-    return F.slice(kept, 1, MAX_COLUMN_NAMES)
+    kept = F.filter(trimmed, lambda n: F.length(n).between(1, 2**31 - 1 if longest is None else longest))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def json_column_names(record: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from govgraph.functions.text import collapse_spaces, nfkc
-from govgraph.session import local_frame, salted_join, small_join
+from govgraph.session import salted_join, small_join
 
 # Listed states and areas.
 PROPOSAL_STATES = ("PENDING_VERIFICATION", "HUMAN_REVIEW", "ABSTAINED", "APPROVED")
@@ -16,10 +17,16 @@ SOURCE_ID = r"^[a-z][a-z0-9-]{2,63}\z"
 
 
 def counts_by(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
-    """Rows per listed value, zero where there are none; other values are left out."""
-    names = local_frame(df.sparkSession, [(v,) for v in domain], f"`{column}` string")
-    counts = df.filter(F.col(column).isin(*domain)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+    """Rows per tenant and listed value, zero where there are none; other values are left out."""
+    counts = df.groupBy("tenant_id").agg(*[F.count_if(F.col(column) == v).alias(v) for v in domain])
+    pairs = F.array(*[F.struct(F.lit(v).alias(column), F.col(f"`{v}`").alias("n")) for v in domain])
+    return counts.select("tenant_id", F.inline(pairs))
+
+
+def _newest(df: DataFrame, n: int, order: list) -> DataFrame:
+    """The first ``n`` rows of every tenant; Spark cuts the ranks in the map tasks already."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy("tenant_id").orderBy(*order)))
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
 def scalar_metrics(proposals: DataFrame, runs: DataFrame, heads: DataFrame, checks: DataFrame) -> DataFrame:
@@ -53,18 +60,18 @@ def scalar_metrics(proposals: DataFrame, runs: DataFrame, heads: DataFrame, chec
     )
 
 
-def gate_histogram(proposals: DataFrame, n: int = 25, per_proposal: int = 16) -> DataFrame:
-    """Gate states over the ``n`` most recently verified proposals."""
-    recent = proposals.filter("verified_at IS NOT NULL").orderBy(F.desc("verified_at"), "proposal_id").limit(n)
-    entries = recent.select(F.explode(F.slice("gate_summary", 1, per_proposal)).alias("entry"))
-    states = entries.select(F.col("entry.status").alias("status"))
-    return states.filter(F.length("status").between(1, 64)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+def gate_histogram(proposals: DataFrame, n: int = 25) -> DataFrame:
+    """Gate states over the ``n`` most recently verified proposals of every tenant."""
+    recent = _newest(proposals.filter("verified_at IS NOT NULL"), n, [F.desc("verified_at"), "proposal_id"])
+    entries = recent.select("tenant_id", F.explode("gate_summary").alias("entry"))
+    states = entries.select("tenant_id", F.col("entry.status").alias("status")).filter("status <> ''")
+    return states.groupBy("tenant_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:
-    """The newest runs."""
-    top = runs.orderBy(F.desc("decided_at"), "verification_run_id").limit(n)
-    return top.select("verification_run_id", "proposal_id", "status", "mode", "decided_at")
+    """The newest runs of every tenant."""
+    top = _newest(runs, n, [F.desc("decided_at"), "verification_run_id"])
+    return top.select("tenant_id", "verification_run_id", "proposal_id", "status", "mode", "decided_at")
 
 
 def source_inventory(connections: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -123,15 +130,15 @@ def register_questions(questions: DataFrame, existing: DataFrame, ascii_only: bo
 
 
 def list_questions(questions: DataFrame, n: int = 50) -> DataFrame:
-    """The newest well-formed questions."""
+    """The newest well-formed questions of every tenant."""
     ok = (
         F.length("text").between(10, 500)
         & F.col("business_area").isin(*BUSINESS_AREAS)
         & (F.col("status") == "PROPOSED")
         & F.col("question_id").rlike(r"^CQT-[a-f0-9]{12}\z")
     )
-    newest = questions.filter(ok).orderBy(F.desc("created_at"), "question_id").limit(n)
-    return newest.select("question_id", "text", "business_area", "status", "created_at")
+    newest = _newest(questions.filter(ok), n, [F.desc("created_at"), "question_id"])
+    return newest.select("tenant_id", "question_id", "text", "business_area", "status", "created_at")
 
 
 def audit_events(changes: DataFrame, event_type: str, subject: str, details: list[str]) -> DataFrame:

@@ -22,7 +22,6 @@ from govgraph.session import salted_join
 POINTERS = ("verification_run_sha256", "frozen_proposal_sha256", "frozen_evidence_index_sha256")
 DECISIONS = {"APPROVED": "APPROVED", "ABSTAINED": "ABSTAINED", "REVIEW_REQUIRED": "HUMAN_REVIEW"}
 QUEUE_STATES = ("HUMAN_REVIEW", "ABSTAINED")
-MAX_PAGE = 50
 
 
 def _holds(c: Column) -> Column:
@@ -161,21 +160,21 @@ def review_view(eligible: DataFrame) -> DataFrame:
 
 
 def review_page(proposals: DataFrame, after: str | None = None, page: int = 25) -> DataFrame:
-    """One page of ids by keyset, with ``next_cursor`` where more follow."""
-    size = max(1, min(MAX_PAGE, page))
+    """One page of ids of every tenant by keyset, with ``next_cursor`` where more follow.
+
+    ``after`` is the cursor of a tenant's page before; ``page`` rows are given per tenant.
+    """
+    if page < 1:
+        raise ValueError("a page has at least one row")
     waiting = proposals.filter(F.col("status").isin(*QUEUE_STATES))
     if after is not None:
         waiting = waiting.filter(F.col("proposal_id") > after)
-    # At most one page and one row reach the window.
-    top = waiting.orderBy("proposal_id").limit(size + 1)
-    whole = Window.partitionBy(F.lit(1))
-    numbered = top.select(
-        "*",
-        F.row_number().over(whole.orderBy("proposal_id")).alias("_rank"),
-        F.count(F.lit(1)).over(whole).alias("_found"),
-    ).filter(F.col("_rank") <= size)
-    last = F.max("proposal_id").over(whole)
-    return numbered.withColumn("next_cursor", F.when(F.col("_found") > size, last)).drop("_rank", "_found")
+    own = Window.partitionBy("tenant_id")
+    # The rank limit is applied in the map tasks, so one page and one row per tenant and task are shuffled.
+    ranked = waiting.withColumn("_rank", F.row_number().over(own.orderBy("proposal_id"))).filter(F.col("_rank") <= page + 1)
+    found = ranked.withColumn("_found", F.count(F.lit(1)).over(own)).filter(F.col("_rank") <= page)
+    last = F.max("proposal_id").over(own)
+    return found.withColumn("next_cursor", F.when(F.col("_found") > page, last)).drop("_rank", "_found")
 
 
 def review_queue(

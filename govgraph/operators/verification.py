@@ -10,7 +10,6 @@ from govgraph.functions.identity import normalize_model, normalize_provider
 from govgraph.operators.proposals import PROPOSAL_FIELDS, PROVIDER, RISKS, proposal_errors
 
 POLICY_VERSION = "semantic-verification-policy-v1"
-MAX_STATEMENT = 10_000
 # The gates in order, their possible states, verdicts and policy terms.
 GATES = (
     "CONTRACT",
@@ -62,7 +61,7 @@ def verify_requests(proposals: DataFrame) -> DataFrame:
     made = read.select(
         "tenant_id",
         "proposal_id",
-        F.substring(statement, 1, MAX_STATEMENT).alias("statement"),
+        statement.alias("statement"),
         _ids(F.col("evidence")).alias("evidence_ids"),
         _ids(F.col("counterevidence")).alias("counterevidence_ids"),
         F.upper("risk").alias("risk"),
@@ -118,7 +117,7 @@ def gate_array(valid: Column, errors: Column, recorded: Column, evidence_ids: Co
         "CONTRACT": (
             F.when(valid, "PASSED").otherwise("FAILED"),
             F.when(valid, "The proposal fulfils its contract.").otherwise(
-                F.concat(F.lit("Abstained: "), F.array_join(F.slice(errors, 1, 5), "; "))
+                F.concat(F.lit("Abstained: "), F.array_join(errors, "; "))
             ),
             none,
         ),

@@ -84,7 +84,7 @@ def _(spark, sf):
     resolved = document_snapshots(spark, sf).select(
         "*",
         F.lit("lang").alias("column_name"),
-        F.concat(F.lit("urn:x:"), F.substring("tenant_id", 3, 10)).alias("iri"),
+        F.concat(F.lit("urn:x:"), F.expr("substr(tenant_id, 3)")).alias("iri"),
         F.lit("Language").alias("label"),
         F.lit(0.84).alias("score"),
         F.lit("prefLabel").alias("matched_on"),
@@ -359,12 +359,13 @@ def _(spark, sf):
 @registered(
     "review_queue",
     REVIEWS
-    + """, page AS (SELECT *, max(proposal_id) OVER () AS last_id FROM (SELECT * FROM r WHERE proposal_id > 'p1' ORDER BY proposal_id LIMIT 50))
-    SELECT proposal_id, reasons = '' AS eligible, last_id AS next_cursor FROM page WHERE bound""",
+    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY proposal_id) AS rank, count(*) OVER (PARTITION BY tenant_id) AS found FROM r WHERE proposal_id > 'p1'),
+     page AS (SELECT *, max(proposal_id) OVER (PARTITION BY tenant_id) AS last_id FROM ranked WHERE rank <= 60)
+    SELECT tenant_id, proposal_id, reasons = '' AS eligible, CASE WHEN found > 60 THEN last_id END AS next_cursor FROM page WHERE bound""",
 )
 def _(spark, sf):
     own, runs = reviewable(spark, sf)
-    return review.review_queue(own, runs, after="p1", page=50, ascii_only=True).select("proposal_id", "eligible", "next_cursor")
+    return review.review_queue(own, runs, after="p1", page=60, ascii_only=True).select("tenant_id", "proposal_id", "eligible", "next_cursor")
 
 
 @registered(

@@ -236,8 +236,8 @@ def _(spark, sf):
 @registered(
     "counts_by_kind",
     PROPOSALS
-    + """ SELECT d.kind AS kind, coalesce(n, 0) AS n FROM (SELECT unnest(['concept','relation','alias','mapping','duplicate','constraint','assertion','drift']) AS kind) d
-      LEFT JOIN (SELECT kind, count(*) AS n FROM p GROUP BY kind) USING (kind)""",
+    + """ SELECT tenant_id, d.kind AS kind, count(p.kind) AS n FROM (SELECT unnest(['concept','relation','alias','mapping','duplicate','constraint','assertion','drift']) AS kind) d
+      CROSS JOIN (SELECT DISTINCT tenant_id FROM p) t LEFT JOIN p USING (tenant_id, kind) GROUP BY ALL""",
 )
 def _(spark, sf):
     return registry.counts_by(order_proposals(spark, sf), "kind", PROPOSAL_KINDS)
@@ -245,8 +245,9 @@ def _(spark, sf):
 
 @registered(
     "counts_by_status",
-    """SELECT d.status AS status, coalesce(n, 0) AS n FROM (SELECT unnest(['PENDING_VERIFICATION','HUMAN_REVIEW','ABSTAINED','APPROVED']) AS status) d
-      LEFT JOIN (SELECT CASE WHEN o_orderkey % 41 = 6 THEN 'HUMAN_REVIEW' ELSE 'PENDING_VERIFICATION' END AS status, count(*) AS n FROM orders GROUP BY 1) USING (status)""",
+    """WITH p AS (SELECT 't' || (o_custkey % 3) AS tenant_id, CASE WHEN o_orderkey % 41 = 6 THEN 'HUMAN_REVIEW' ELSE 'PENDING_VERIFICATION' END AS status FROM orders)
+    SELECT tenant_id, d.status AS status, count(p.status) AS n FROM (SELECT unnest(['PENDING_VERIFICATION','HUMAN_REVIEW','ABSTAINED','APPROVED']) AS status) d
+      CROSS JOIN (SELECT DISTINCT tenant_id FROM p) t LEFT JOIN p USING (tenant_id, status) GROUP BY ALL""",
 )
 def _(spark, sf):
     return registry.counts_by(order_proposals(spark, sf), "status", registry.PROPOSAL_STATES)
@@ -280,16 +281,18 @@ def _(spark, sf):
 
 @registered(
     "gate_histogram",
-    """SELECT t.s AS status, count(*) AS n FROM (SELECT * FROM orders ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, 'p' || o_orderkey LIMIT 25),
-      LATERAL (VALUES (CASE WHEN o_orderkey % 2 = 0 THEN 'PASSED' ELSE 'FAILED' END), ('SKIPPED')) AS t(s) GROUP BY 1""",
+    """SELECT tenant_id, t.s AS status, count(*) AS n FROM (SELECT *, 't' || (o_custkey % 3) AS tenant_id FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, 'p' || o_orderkey) <= 25),
+      LATERAL (SELECT unnest([CASE WHEN o_orderkey % 2 = 0 THEN 'PASSED' ELSE 'FAILED' END] || list_value('SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED', 'SKIPPED')) AS s) t GROUP BY ALL""",
 )
 def _(spark, sf):
     k = K("o_orderkey")
     summary = F.array(
         F.struct(F.lit("CONTRACT").alias("gate"), F.when(k % 2 == 0, "PASSED").otherwise("FAILED").alias("status")),
-        F.struct(F.lit("SEMANTIC").alias("gate"), F.lit("SKIPPED").alias("status")),
+        *[F.struct(F.lit(f"G{i}").alias("gate"), F.lit("SKIPPED").alias("status")) for i in range(20)],
     )
     verified = table(spark, sf, "orders").select(
+        F.concat(F.lit("t"), K("o_custkey") % 3).alias("tenant_id"),
         F.concat(F.lit("p"), k).alias("proposal_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("verified_at"), summary.alias("gate_summary")
     )
     return registry.gate_histogram(verified)
@@ -297,8 +300,8 @@ def _(spark, sf):
 
 @registered(
     "recent_runs",
-    """SELECT 'run' || o_orderkey AS verification_run_id, 'p' || o_orderkey AS proposal_id, CASE WHEN o_orderkey % 3 = 0 THEN 'ABSTAINED' ELSE 'HUMAN_REVIEW' END AS status,
-      CASE WHEN o_orderkey % 2 = 0 THEN 'live' ELSE 'disabled' END AS mode, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS decided_at FROM orders ORDER BY o_orderdate DESC, 'run' || o_orderkey LIMIT 10""",
+    """SELECT 't' || (o_custkey % 3) AS tenant_id, 'run' || o_orderkey AS verification_run_id, 'p' || o_orderkey AS proposal_id, CASE WHEN o_orderkey % 3 = 0 THEN 'ABSTAINED' ELSE 'HUMAN_REVIEW' END AS status,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'live' ELSE 'disabled' END AS mode, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS decided_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderdate DESC, 'run' || o_orderkey) <= 10""",
 )
 def _(spark, sf):
     return registry.recent_runs(run_table(spark, sf))
@@ -374,13 +377,13 @@ def _(spark, sf):
 
 @registered(
     "list_questions",
-    QUESTIONS + " SELECT question_id, arrival AS created_at FROM s WHERE state = 'REGISTERED' ORDER BY arrival DESC, question_id LIMIT 50",
+    QUESTIONS + " SELECT tenant_id, question_id, arrival AS created_at FROM s WHERE state = 'REGISTERED' QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY arrival DESC, question_id) <= 50",
 )
 def _(spark, sf):
     kept = _questions(spark, sf).filter("state = 'REGISTERED'").select(
-        "question_id", "text", "business_area", F.lit("PROPOSED").alias("status"), K("arrival").alias("created_at")
+        "tenant_id", "question_id", "text", "business_area", F.lit("PROPOSED").alias("status"), K("arrival").alias("created_at")
     )
-    return registry.list_questions(kept).select("question_id", "created_at")
+    return registry.list_questions(kept).select("tenant_id", "question_id", "created_at")
 
 
 @registered(

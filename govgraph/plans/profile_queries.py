@@ -368,7 +368,8 @@ def _(spark, sf):
       UNION ALL SELECT 'LIMIT_EXCEEDED', 'columns' WHERE (SELECT count(*) FROM col) > 2000""",
 )
 def _(spark, sf):
-    return catalog.domain_violations(order_catalog(spark, sf)).select("rule", "key")
+    limits = {"schemas": 16, "tables": 200, "columns": 2000}
+    return catalog.domain_violations(order_catalog(spark, sf), limits).select("rule", "key")
 
 
 @registered(

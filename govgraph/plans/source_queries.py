@@ -49,7 +49,7 @@ def _(spark, sf):
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return files.read_csv_source(spark, path).select(
+    return files.read_csv_source(spark, path, multi_line=True).select(
         "doc_id", "lang", F.sha2("text", 256).alias("text_hash")
     )
 

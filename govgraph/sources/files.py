@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from govgraph.functions.paths import line_locator
 
-MAX_HEADER_FIELDS = 256
-MAX_HEADER_LENGTH = 256
 BOM = "﻿"
 PDF_SIGNATURE = b"%PDF-"
 
@@ -28,25 +26,26 @@ class SourceFormatError(ValueError):
     """The source breaks its format contract."""
 
 
-def check_header(names: list[str]) -> list[str]:
-    """Header names: 1 to 256 of them, none empty or over-long, none repeated."""
+def check_header(names: list[str], most: int | None = None, longest: int | None = None) -> list[str]:
+    """Header names: none empty, none repeated; bounds on their number and length only where given."""
     trimmed = [name.removeprefix(BOM).strip() for name in names]
-    if not 1 <= len(trimmed) <= MAX_HEADER_FIELDS:
-        raise SourceFormatError(f"a header needs 1 to {MAX_HEADER_FIELDS} fields")
-    if any(not 0 < len(name) <= MAX_HEADER_LENGTH for name in trimmed):
-        raise SourceFormatError("header fields must be named and at most 256 characters long")
+    if not trimmed or most is not None and len(trimmed) > most:
+        raise SourceFormatError("a header needs fields, and no more than allowed")
+    if any(not name or longest is not None and len(name) > longest for name in trimmed):
+        raise SourceFormatError("header fields must be named and no longer than allowed")
     if len(set(trimmed)) != len(trimmed):
         raise SourceFormatError("header fields must be unique")
     return trimmed
 
 
 def read_csv_source(
-    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """CSV with a header; quotes, doubled quotes and embedded newlines are honoured.
+    """CSV with a header; quotes and doubled quotes are honoured.
 
-    Blank records are dropped and an empty cell is null. ``multi_line=False`` lets
-    Spark split large files whose cells hold no newlines.
+    Records of white space only are dropped; a comma is content, so a record of empty cells stays, and
+    an empty cell is null. A file whose header differs from that of the first fails the read. Large files are
+    split among tasks; ``multi_line=True`` is for cells that hold line breaks and reads a file in one task.
     """
     header_row = (
         spark.read.option("multiLine", multi_line)
@@ -58,26 +57,26 @@ def read_csv_source(
     )
     if not header_row:
         raise SourceFormatError("the file has no header")
-    names = check_header([cell or "" for cell in header_row[0]])
-    reader = (
+    raw = [cell or "" for cell in header_row[0]]
+    names = check_header(raw)
+    broken = "_broken_record"
+    wanted = StructType([StructField(n, StringType()) for n in raw]) if schema is None else schema
+    frame = (
         spark.read.option("multiLine", multi_line)
         .option("escape", '"')
         .option("header", True)
-        .option("enforceSchema", schema is None)
+        .option("enforceSchema", False)
         .option("encoding", "UTF-8")
+        .option("columnNameOfCorruptRecord", broken)
+        .schema(StructType([*wanted.fields, StructField(broken, StringType())]))
+        .csv(path)
     )
     if schema is None:
-        text = StructType()
-        for name in names:
-            text = text.add(name, "string")
-        frame = reader.schema(text).csv(path)
-    else:
-        frame = reader.schema(schema).csv(path)
-    blank = F.lit(True)
-    for name in frame.columns:
-        cell = F.col(f"`{name}`")
-        blank = blank & (cell.isNull() | (F.trim(cell.cast("string")) == ""))
-    return frame.filter(~blank)
+        frame = frame.toDF(*names, broken)
+    # A record without a comma where several fields are due is kept as text beside its cells.
+    text = F.col(broken) if len(wanted.fields) > 1 else F.col(f"`{frame.columns[0]}`").cast("string")
+    blank = F.coalesce(~text.rlike(r"(?U)\S"), F.lit(len(wanted.fields) == 1))
+    return frame.filter(~blank).drop(broken)
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:

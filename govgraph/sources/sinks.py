@@ -53,21 +53,25 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+BUNDLE_PARTITIONS = ("tenant_id", "source_id", "snapshot_id")
+
+
 def write_profile_bundle(
-    artifacts: dict[str, DataFrame], path: str, partition_by: tuple[str, ...] = ("tenant_id", "source_id")
+    artifacts: dict[str, DataFrame], path: str, partition_by: tuple[str, ...] = BUNDLE_PARTITIONS
 ) -> None:
-    """Each artifact as Parquet below its name, one partition per tenant and source.
+    """Each artifact as Parquet below its name, one partition per tenant, source and snapshot.
 
-    Only the partitions in the input are replaced, so the same input leaves the
-    same content.
+    Only the partitions in the input are replaced: the same input leaves the same content, and older
+    snapshots stay. Rows are rebalanced, so a source with most of the rows is written by many tasks.
     """
     for name in sorted(artifacts):
         frame = artifacts[name]
+        keys = [c for c in partition_by if c in frame.columns]
         (
             frame.select(*sorted(frame.columns))
-            .repartition(*partition_by, *[c for c in ("snapshot_id",) if c in frame.columns])
+            .hint("rebalance", *keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_by)
+            .partitionBy(*keys)
             .parquet(f"{path.rstrip('/')}/{name}")
         )
