@@ -7,7 +7,6 @@ only suffixes that start at anchors are exchanged, and of these only those whose
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +51,16 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed(grams[at] ^ np.uint64(0x452821E638D01377))
 
 
+def _sent(x: np.ndarray) -> bytes:
+    """Numbers for an exchange: byte by byte of their width, so that leading zeros pack well."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _got(raw: bytes, kind) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
@@ -67,7 +76,7 @@ def _groups(ordered: np.ndarray) -> np.ndarray:
 
 
 def gram_runs(docs: DataFrame, ranges: int) -> DataFrame:
-    """``(range, hashes, places, ids)``: per task and range of hashes a sorted run of its anchors.
+    """``(range, hashes, places, ids, owners)``: per task and range of hashes a sorted run of its anchors.
 
     A gram that several documents of the task have is known to repeat: it is sent once without a place, and its
     places go straight to the result (rows without hashes). So a gram that everyone has is one entry a task.
@@ -85,7 +94,7 @@ def gram_runs(docs: DataFrame, ranges: int) -> DataFrame:
         own = table[doc]
         several = np.repeat(np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin), size)
         yield from (
-            (int(r), None, at[s].astype(np.uint32).tobytes(), own[s].tobytes())
+            (int(r), None, _sent(at[s].astype(np.uint32)), _sent(own[s]), None)
             for r, s in enumerate(np.array_split(np.flatnonzero(several), ranges)) if len(s)
         )
         first = np.zeros(len(value), dtype=bool)
@@ -96,19 +105,20 @@ def gram_runs(docs: DataFrame, ranges: int) -> DataFrame:
         part = ((value >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(ranges + 1))
-        packed = zlib.compress(np.diff(table, prepend=0).tobytes(), 1)
+        packed = _sent(np.diff(table, prepend=0))
         low = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         for r in range(ranges):
             s = order[cut[r] : cut[r + 1]]
             if len(s):
                 s = s[np.argsort(low[s], kind="stable")]
-                yield r, low[s].tobytes(), at[s].tobytes() + doc[s].tobytes(), packed
+                steps = np.diff(low[s].astype(np.int64), prepend=0).astype(np.uint32)
+                yield r, _sent(steps), _sent(at[s]), packed, _sent(doc[s])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        names = ["range", "hashes", "places", "ids"]
+        names = ["range", "hashes", "places", "ids", "owners"]
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = _bytes(text)
@@ -122,23 +132,24 @@ def gram_runs(docs: DataFrame, ranges: int) -> DataFrame:
         if ids:
             yield pd.DataFrame(list(flush(ids, parts)), columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "range int, hashes binary, places binary, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(
+        run, "range int, hashes binary, places binary, ids binary, owners binary"
+    )
 
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """``(doc_id, at)`` of the anchors of one range whose gram several documents have."""
     out_doc, out_at, low, at, doc = [], [], [], [], []
-    for hashes, places, ids in zip(rows["hashes"], rows["places"], rows["ids"], strict=True):
+    for hashes, places, ids, owners in zip(*(rows[c] for c in ("hashes", "places", "ids", "owners")), strict=True):
         if hashes is None:
-            out_doc.append(np.frombuffer(ids, dtype=np.int64))
-            out_at.append(np.frombuffer(places, dtype=np.uint32))
+            out_doc.append(_got(ids, np.int64))
+            out_at.append(_got(places, np.uint32))
             continue
-        own = np.frombuffer(hashes, dtype=np.uint32)
-        index = np.frombuffer(places, dtype=np.uint16, offset=4 * len(own))
-        table = np.append(np.cumsum(np.frombuffer(zlib.decompress(ids), dtype=np.int64)), 0)
+        index = _got(owners, np.uint16)
+        table = np.append(np.cumsum(_got(ids, np.int64)), 0)
         known = index == 65_535
-        low.append(own)
-        at.append(np.where(known, np.uint32(0xFFFFFFFF), np.frombuffer(places, dtype=np.uint32, count=len(own))))
+        low.append(np.cumsum(_got(hashes, np.uint32), dtype=np.int64))
+        at.append(np.where(known, np.uint32(0xFFFFFFFF), _got(places, np.uint32)))
         doc.append(table[np.where(known, len(table) - 1, index)])
     if low:
         value, place, own = map(np.concatenate, (low, at, doc))
@@ -294,11 +305,12 @@ def suffix_runs(docs: DataFrame, ranges: int) -> DataFrame:
     names = ["range", "shared", "rest", "ids", "texts", "places"]
 
     def flush(parts: list[tuple[np.ndarray, int, int, np.ndarray]]) -> Iterator[tuple]:
+        press = zstandard.ZstdCompressor(level=3)
         rows = np.concatenate([p[0] for p in parts])
         count = [len(p[3]) for p in parts]
         doc = np.repeat(np.array([p[1] for p in parts], dtype=np.int64), count)
-        text = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), count)
-        at = np.concatenate([p[3] for p in parts])
+        text = np.repeat(np.array([p[2] for p in parts], dtype=np.int32), count)
+        at = np.concatenate([p[3] for p in parts]).astype(np.int64)
         order = np.argsort(doc, kind="stable")
         order = order[np.argsort(rows[order].view(f"S{KEY}")[:, 0], kind="stable")]
         rows, doc, text, at = rows[order], doc[order], text[order], at[order]
@@ -313,7 +325,7 @@ def suffix_runs(docs: DataFrame, ranges: int) -> DataFrame:
             own, which = doc[later][some], text[later][some]
             for r, s in enumerate(np.array_split(np.arange(len(own)), ranges)):
                 if len(s):
-                    yield r, None, start[s].tobytes(), own[s].tobytes(), which[s].tobytes(), end[s].tobytes()
+                    yield r, None, _sent(start[s]), _sent(own[s]), _sent(which[s]), _sent(end[s])
         rows, doc, text, at = rows[~later], doc[~later], text[~later], at[~later]
         gram = np.ascontiguousarray(rows[:, :GRAM]).view(np.uint64)
         part = (mixed(mixed(gram[:, 0]) ^ gram[:, 1]) % np.uint64(ranges)).astype(np.int64)
@@ -323,7 +335,7 @@ def suffix_runs(docs: DataFrame, ranges: int) -> DataFrame:
             s = order[cut[r] : cut[r + 1]]
             if len(s):
                 shared, rest = front_coded(rows[s])
-                yield r, shared.tobytes(), rest, doc[s].tobytes(), text[s].tobytes(), at[s].tobytes()
+                yield r, _sent(shared), press.compress(rest), _sent(doc[s]), _sent(text[s]), _sent(at[s])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple[np.ndarray, int, int, np.ndarray]] = []
@@ -353,15 +365,16 @@ def _stretches(rows: pd.DataFrame) -> pd.DataFrame:
     """``(doc_id, text_key, start, end)`` of one range: bytes that an earlier document has too."""
     out: list[tuple[np.ndarray, ...]] = []
     runs, doc, text, at = [], [], [], []
-    number = lambda raw: np.frombuffer(raw, dtype=np.int64)
+    number = lambda raw: _got(raw, np.int64)
+    unpack = zstandard.ZstdDecompressor()
     for shared, rest, ids, texts, places in zip(*(rows[c] for c in ("shared", "rest", "ids", "texts", "places")), strict=True):
         if shared is None:
-            out.append((number(ids), number(texts), number(rest), number(places)))
+            out.append((number(ids), _got(texts, np.int32).astype(np.int64), number(rest), number(places)))
         else:
-            length = np.frombuffer(shared, dtype=np.uint8)
-            runs.append((decoded(length, rest), length.tolist()))
+            length = _got(shared, np.uint8)
+            runs.append((decoded(length, unpack.decompress(rest)), length.tolist()))
             doc.append(number(ids))
-            text.append(number(texts))
+            text.append(_got(texts, np.int32).astype(np.int64))
             at.append(number(places))
     if runs:
         run, place, shared = map(np.array, merged(runs))
@@ -400,12 +413,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def pack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for part in parts:
             yield pd.Series([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in part], dtype=object)
 
     return docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), pack(F.col("text")).alias("packed")
+        "doc_id", F.hash(F.coalesce("text", F.lit(""))).cast("long").alias("text_key"), pack(F.col("text")).alias("packed")
     )
 
 
