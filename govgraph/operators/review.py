@@ -132,8 +132,8 @@ def review_view(eligible: DataFrame) -> DataFrame:
         score = vector[name]
         percents.append(F.when(score.between(0.0, 1.0), F.round(score * 100).cast("int")).alias(name))
     kind = F.lower(of_frozen("kind", "assertion"))
-    title = F.when(kind == "drift", "Source drift requires semantic review").otherwise(
-        F.concat(F.lit("Review "), kind, F.lit(" proposal"))
+    title = F.when(kind == "drift", "Check meaning after source drift").otherwise(
+        F.concat(F.lit("Decide on "), kind)
     )
     state = (
         F.when(F.col("proposal_status") == "ABSTAINED", "Abstained")
@@ -145,8 +145,8 @@ def review_view(eligible: DataFrame) -> DataFrame:
         "proposal_id",
         F.initcap(kind).alias("kind"),
         title.alias("title"),
-        of_frozen("source_locator", "No source locator recorded").alias("detail"),
-        of_frozen("target_iri", "No target IRI recorded").alias("target_iri"),
+        of_frozen("source_locator", "source unknown").alias("detail"),
+        of_frozen("target_iri", "target unknown").alias("target_iri"),
         F.initcap(of_frozen("risk", "medium")).alias("risk"),
         F.struct(*percents).alias("confidence_percent"),
         F.coalesce(percents[-1], F.lit(0)).alias("evidence_coverage"),

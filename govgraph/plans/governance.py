@@ -76,13 +76,13 @@ PROPOSALS = """WITH p AS (SELECT o_orderkey AS k, 't' || (o_custkey % 3) AS tena
     o_orderpriority, o_orderdate,
     CASE WHEN o_orderkey % 37 = 5 THEN 'unknown' ELSE (['concept','relation','alias','mapping','duplicate','constraint','assertion','drift'])[o_orderkey % 8 + 1] END AS kind,
     CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS risk,
-    concat_ws('; ', CASE WHEN o_orderkey % 37 = 5 THEN 'kind is invalid' END, CASE WHEN o_orderkey % 41 = 6 THEN 'proposal is not pending verification' END,
-      CASE WHEN o_orderkey % 53 = 9 THEN 'deterministic_input_hash does not match deterministic_input' END,
-      CASE WHEN o_orderkey % 61 = 11 THEN 'confidence contains an unexplained dimension or scalar' END,
-      CASE WHEN o_orderkey % 59 = 10 THEN 'confidence.lexical must be between zero and one' END,
-      CASE WHEN o_orderkey % 67 = 12 THEN 'generator.mode is invalid' END,
-      CASE WHEN o_orderkey % 43 = 7 THEN 'evidence[0] tenant mismatch' END,
-      CASE WHEN o_orderkey % 47 = 8 THEN 'evidence[0] has invalid content_sha256' END) AS errors FROM orders),
+    concat_ws('; ', CASE WHEN o_orderkey % 37 = 5 THEN 'kind INVALID' END, CASE WHEN o_orderkey % 41 = 6 THEN 'status NOT_PENDING' END,
+      CASE WHEN o_orderkey % 53 = 9 THEN 'deterministic_input_hash DIFFERENT' END,
+      CASE WHEN o_orderkey % 61 = 11 THEN 'confidence UNKNOWN_FIELD' END,
+      CASE WHEN o_orderkey % 59 = 10 THEN 'confidence.lexical OUT_OF_RANGE' END,
+      CASE WHEN o_orderkey % 67 = 12 THEN 'generator.mode INVALID' END,
+      CASE WHEN o_orderkey % 43 = 7 THEN 'evidence[0] OTHER_TENANT' END,
+      CASE WHEN o_orderkey % 47 = 8 THEN 'evidence[0] CONTENT_SHA256_FORM' END) AS errors FROM orders),
   v AS (SELECT *, errors = '' AS valid, k % 2 = 0 AND errors = '' AS recorded, (['SUPPORTED','REJECTED','ABSTAINED'])[k % 3 + 1] AS verdict, k % 5 <> 0 AS independent,
      CASE k % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS agreement FROM p)"""
 

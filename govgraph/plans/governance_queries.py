@@ -132,8 +132,8 @@ def _(spark, sf):
 @registered(
     "evidence_errors",
     PROPOSALS
-    + """ SELECT proposal_id, concat_ws('; ', CASE WHEN k % 43 = 7 THEN 'e[0] tenant mismatch' END, CASE WHEN k % 47 = 8 THEN 'e[0] has invalid content_sha256' END,
-      CASE WHEN k % 43 = 7 THEN 'e[1] tenant mismatch' END, CASE WHEN k % 47 = 8 THEN 'e[1] has invalid content_sha256' END, 'e contains duplicate evidence_id values') AS errors FROM p""",
+    + """ SELECT proposal_id, concat_ws('; ', CASE WHEN k % 43 = 7 THEN 'e[0] OTHER_TENANT' END, CASE WHEN k % 47 = 8 THEN 'e[0] CONTENT_SHA256_FORM' END,
+      CASE WHEN k % 43 = 7 THEN 'e[1] OTHER_TENANT' END, CASE WHEN k % 47 = 8 THEN 'e[1] CONTENT_SHA256_FORM' END, 'e EVIDENCE_ID_REPEATED') AS errors FROM p""",
 )
 def _(spark, sf):
     twice = F.concat("evidence", "evidence")
@@ -144,7 +144,7 @@ def _(spark, sf):
 @registered(
     "confidence_errors",
     PROPOSALS
-    + """ SELECT proposal_id, concat_ws('; ', CASE WHEN k % 61 = 11 THEN 'confidence contains an unexplained dimension or scalar' END, CASE WHEN k % 59 = 10 THEN 'confidence.lexical must be between zero and one' END) AS errors FROM p""",
+    + """ SELECT proposal_id, concat_ws('; ', CASE WHEN k % 61 = 11 THEN 'confidence UNKNOWN_FIELD' END, CASE WHEN k % 59 = 10 THEN 'confidence.lexical OUT_OF_RANGE' END) AS errors FROM p""",
 )
 def _(spark, sf):
     errors = proposals.confidence_errors(F.col("confidence"))
@@ -153,7 +153,7 @@ def _(spark, sf):
 
 @registered(
     "generator_errors",
-    PROPOSALS + " SELECT proposal_id, CASE WHEN k % 67 = 12 THEN 'generator.mode is invalid' ELSE '' END AS errors FROM p",
+    PROPOSALS + " SELECT proposal_id, CASE WHEN k % 67 = 12 THEN 'generator.mode INVALID' ELSE '' END AS errors FROM p",
 )
 def _(spark, sf):
     errors = proposals.generator_errors(F.col("generator"))
@@ -346,7 +346,7 @@ def _(spark, sf):
     "review_view",
     REVIEWS
     + """ SELECT proposal_id, upper(substr(kind, 1, 1)) || substr(kind, 2) AS kind, upper(substr(risk, 1, 1)) || substr(risk, 2) AS risk,
-      CASE WHEN kind = 'drift' THEN 'Source drift requires semantic review' ELSE 'Review ' || kind || ' proposal' END AS title,
+      CASE WHEN kind = 'drift' THEN 'Check meaning after source drift' ELSE 'Decide on ' || kind END AS title,
       100 AS evidence_coverage, CASE WHEN k % 59 = 10 THEN NULL ELSE 50 END AS lexical, 1 AS evidence_count, CASE WHEN valid THEN 'Human review' ELSE 'Abstained' END AS status FROM r WHERE bound""",
 )
 def _(spark, sf):

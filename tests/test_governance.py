@@ -61,19 +61,19 @@ def test_built_proposals_fulfil_their_contract(spark):
 @pytest.mark.parametrize(
     ("column", "value", "error"),
     [
-        ("schema_version", "2.0", "schema_version is unsupported"),
-        ("kind", "rumour", "kind is invalid"),
-        ("risk", None, "risk is invalid"),
-        ("target_iri", "", "target_iri is required"),
-        ("status", "APPROVED", "proposal is not pending verification"),
-        ("confidence", '{"lexical":"0.5"}', "confidence.lexical must be between zero and one"),
-        ("confidence", "[]", "confidence must be an object"),
-        ("confidence", '{"overall":1}', "confidence contains an unexplained dimension or scalar"),
-        ("generator", '{"mode":"live"}', "generator.provider is required"),
-        ("generator", '{"provider":5}', "generator.provider is required"),
-        ("generator", '{"latency_ms":1.5}', "generator.latency_ms is invalid"),
-        ("generator", '{"secret":1}', "generator contains unexpected fields"),
-        ("deterministic_input", "[1]", "deterministic_input must be an object"),
+        ("schema_version", "2.0", "schema_version UNSUPPORTED"),
+        ("kind", "rumour", "kind INVALID"),
+        ("risk", None, "risk INVALID"),
+        ("target_iri", "", "target_iri EMPTY"),
+        ("status", "APPROVED", "status NOT_PENDING"),
+        ("confidence", '{"lexical":"0.5"}', "confidence.lexical OUT_OF_RANGE"),
+        ("confidence", "[]", "confidence NO_OBJECT"),
+        ("confidence", '{"overall":1}', "confidence UNKNOWN_FIELD"),
+        ("generator", '{"mode":"live"}', "generator.provider EMPTY"),
+        ("generator", '{"provider":5}', "generator.provider EMPTY"),
+        ("generator", '{"latency_ms":1.5}', "generator.latency_ms INVALID"),
+        ("generator", '{"secret":1}', "generator UNKNOWN_FIELD"),
+        ("deterministic_input", "[1]", "deterministic_input NO_OBJECT"),
     ],
 )
 def test_proposal_errors(spark, column, value, error):
@@ -84,11 +84,11 @@ def test_proposal_errors(spark, column, value, error):
 def test_evidence_errors(spark):
     made = proposals.ingestion_proposals(snapshots(spark))
     twice = made.withColumn("evidence", F.concat("evidence", "evidence"))
-    assert proposals.proposal_errors(twice).first()["errors"] == ["evidence contains duplicate evidence_id values"]
+    assert proposals.proposal_errors(twice).first()["errors"] == ["evidence EVIDENCE_ID_REPEATED"]
     none = made.withColumn("evidence", proposals.no_evidence())
-    assert proposals.proposal_errors(none).first()["errors"] == ["at least one evidence item is required"]
+    assert proposals.proposal_errors(none).first()["errors"] == ["evidence EMPTY"]
     moved = proposals.proposal_errors(made, tenant=F.lit("other"), path_id=F.lit("else")).first()["errors"]
-    assert "proposal_id does not match path" in moved and "evidence[0] tenant mismatch" in moved
+    assert "proposal_id OTHER_PATH" in moved and "evidence[0] OTHER_TENANT" in moved
 
 
 def outcomes(spark, made, **changes):
