@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows to a Python worker at a time: a batch of texts is then a few MB, in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
