@@ -15,13 +15,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govgraph.llm.common import _inverse, _powers, mixed
+from govgraph.llm.common import _inverse, _powers, mixed, modest_batches
 
 WINDOW, GRAM = 50, 16
 BEFORE = WINDOW - GRAM  # bytes before an anchor that its strings can reach
 KEY = WINDOW + BEFORE + 2  # a suffix, what stands before it backwards, and how much of both there is
 BLOCK_BYTES = 8_000_000  # text behind one range of gram hashes
-RUN_BYTES, RUN_DOCUMENTS, RUN_SUFFIXES = 32_000_000, 60_000, 200_000
+RUN_BYTES, RUN_DOCUMENTS, RUN_SUFFIXES = 12_000_000, 60_000, 64_000
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -397,7 +397,7 @@ def _stretches(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("doc_id", "text_key", "start", "end"), columns, strict=True)))
 
 
-def _bounded(group: np.ndarray, most: int = 50_000) -> Iterator[slice]:
+def _bounded(group: np.ndarray, most: int = 16_000) -> Iterator[slice]:
     """Slices of whole groups of about ``most`` entries."""
     begin = 0
     cuts = _groups(group)
@@ -422,15 +422,15 @@ def _packed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_stretches(docs: DataFrame, ranges: int) -> DataFrame:
+def repeated_stretches(docs: DataFrame, packed: DataFrame, ranges: int) -> DataFrame:
     """``(doc_id, text_key, start, end)``: stretches of bytes whose strings start in an earlier document too."""
-    known = docs.where("doc_id is not null and text is not null")
+    known = docs.where("doc_id is not null")
     at = (
         gram_runs(known, ranges).groupBy("range").applyInPandas(_repeated, "doc_id long, at long")
         .groupBy("doc_id").agg(F.collect_list("at").alias("at"))  # places in one document
     )
     return (
-        suffix_runs(_packed(known).join(at, "doc_id"), ranges)
+        suffix_runs(packed.join(at, "doc_id"), ranges)
         .groupBy("range").applyInPandas(_stretches, "doc_id long, text_key long, start long, end long")
     )
 
@@ -442,24 +442,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     empty text; texts under 50 bytes lose nothing; rows that repeat an id are judged by the other ids
     only and alike; a null id is neither smaller nor larger than any. An empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, size // BLOCK_BYTES)
-    per_text = repeated_stretches(docs, int(ranges)).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "end")).alias("stretches")  # stretches of one document
+    # Both joins deal the packed texts by the same key, so Spark makes this exchange once.
+    packed = _packed(docs.where("doc_id is not null"))
+    per_document = repeated_stretches(docs, packed, int(ranges)).groupBy("doc_id").agg(
+        F.collect_list(F.struct("text_key", "start", "end")).alias("found")  # stretches of one document
     )
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
+        names = ("doc_id", "text_key", "packed", "keys", "starts", "ends")
         for batch in batches:
             rows = []
-            for doc, packed, starts, ends in zip(*(batch[c] for c in ("doc_id", "packed", "starts", "ends")), strict=True):
-                data = unpack.decompress(packed)
-                if starts is None or not len(starts):
+            for doc, key, raw, keys_, starts, ends in zip(*(batch[c] for c in names), strict=True):
+                data = unpack.decompress(raw)
+                own = np.zeros(0, dtype=bool) if keys_ is None else np.asarray(keys_, dtype=np.int64) == key
+                if not own.any():
                     rows.append((doc, len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                     continue
                 edge = np.zeros(len(data) + 1, dtype=np.int64)
-                np.add.at(edge, np.asarray(starts, dtype=np.int64), 1)
-                np.add.at(edge, np.asarray(ends, dtype=np.int64), -1)
+                np.add.at(edge, np.asarray(starts, dtype=np.int64)[own], 1)
+                np.add.at(edge, np.asarray(ends, dtype=np.int64)[own], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
@@ -467,9 +472,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield out.astype({"doc_id": "Int64"})
 
-    joined = _packed(docs).join(per_text, ["doc_id", "text_key"], "left").select(
-        "doc_id", "packed", F.col("stretches.start").alias("starts"), F.col("stretches.end").alias("ends")
+    none = F.lit(None).cast("array<long>")
+    joined = packed.join(per_document, "doc_id", "left").select(
+        "doc_id", "text_key", "packed", F.col("found.text_key").alias("keys"),
+        F.col("found.start").alias("starts"), F.col("found.end").alias("ends"),
     )
-    return joined.mapInPandas(
+    nameless = _packed(docs.where("doc_id is null")).select(
+        "doc_id", "text_key", "packed", none.alias("keys"), none.alias("starts"), none.alias("ends")
+    )
+    return joined.unionByName(nameless).mapInPandas(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
