@@ -9,7 +9,7 @@ from govgraph.functions.digest import canonical_json, canonical_struct
 from govgraph.functions.times import valid_utc_second
 from govgraph.operators.ledger import BUNDLE
 from govgraph.operators.proposals import SHA256
-from govgraph.operators.violations import finding_rows, rule_array, union_all
+from govgraph.operators.violations import rule_array, union_all
 from govgraph.session import salted_join
 
 # State, serving mode and published flag a bundle has per mode, and
@@ -39,7 +39,14 @@ def manifest_violations(manifests: DataFrame, mode: str) -> DataFrame:
     ]
     if mode == "published":
         rules += publication_rules()
-    return finding_rows(manifests, bundle_key(), rules)
+    return bundle_findings(manifests, bundle_key(), rules)
+
+
+def bundle_findings(df: DataFrame, key: Column, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Findings that carry their tenant and bundle as columns."""
+    return df.select(*BUNDLE, F.explode(rule_array(rules)).alias("rule"), key.cast("string").alias("key")).withColumn(
+        "detail", F.lit(None).cast("string")
+    )
 
 
 def publication_rules() -> list[tuple[str, Column]]:
@@ -58,20 +65,20 @@ def publication_gate(
 ) -> DataFrame:
     """One row per bundle: number of findings, mapping states, golden totals, ``passed``.
 
-    ``others`` are further finding frames whose key starts with tenant and bundle;
-    ``golden`` has the totals per bundle.
+    ``others`` are further finding frames with tenant and bundle as columns; ``golden`` has the totals per
+    bundle. Findings of a bundle that has no manifest get a row of their own, which does not pass.
     """
-    found = union_all([manifest_violations(manifests, mode), *others])
-    parts = F.split("key", "/")
-    per_bundle = found.groupBy(
-        F.get(parts, 0).alias("tenant_id"), F.get(parts, 1).alias("bundle_version")
-    ).agg(F.count(F.lit(1)).alias("violations"))
+    columns = [*BUNDLE, "rule", "key", "detail"]
+    found = union_all([manifest_violations(manifests, mode).select(*columns), *[o.select(*columns) for o in others]])
+    per_bundle = found.groupBy(*BUNDLE).agg(F.count(F.lit(1)).alias("violations"))
     counts = states.groupBy(*BUNDLE).agg(
         F.count(F.lit(1)).alias("mapping_count"),
         F.count_if(F.col("status").isin("APPROVED", "PUBLISHED")).alias("resolved_count"),
         F.count_if(F.col("status") == "HUMAN_REVIEW").alias("human_review_count"),
     )
-    joined = manifests.select(*BUNDLE, "state", "serving_mode", "is_published")
+    known = manifests.select(*BUNDLE, "state", "serving_mode", "is_published")
+    unknown = per_bundle.join(known, BUNDLE, "left_anti").select(*BUNDLE)
+    joined = known.unionByName(unknown, allowMissingColumns=True)
     for part in (per_bundle, counts, golden.select(*BUNDLE, "total", "passed", "complete")):
         joined = joined.join(part, BUNDLE, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("violations", "mapping_count", "resolved_count", "human_review_count")}

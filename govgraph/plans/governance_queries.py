@@ -114,13 +114,14 @@ def _(spark, sf):
 
 @registered(
     "drift_evidence",
-    HEADS
-    + """ SELECT 'evidence-' || sha256('{"current":"' || sha || '","previous":"' || previous || '","snapshotId":"' || source_id || '@sha256:' || sha || '","sourceId":"' || source_id || '"}') AS evidence_id,
-      tenant_id, source_id, sha AS content_sha256 FROM heads WHERE changed""",
+    DRIFT
+    + """ SELECT proposal_id, 'evidence-' || sha256('{"current":"' || sha || '","previous":"' || previous || '","snapshotId":"' || source_id || '@sha256:' || sha || '","sourceId":"' || source_id || '"}') AS evidence_id,
+      tenant_id, source_id, sha AS content_sha256 FROM heads JOIN drift USING (tenant_id) WHERE changed""",
 )
 def _(spark, sf):
-    rows = proposals.drift_evidence(event_heads(spark, sf))
-    return rows.select("evidence_id", "tenant_id", "source_id", "content_sha256")
+    heads = event_heads(spark, sf)
+    rows = proposals.drift_evidence(heads, proposals.drift_proposals(heads, "1.0", EVALUATED_AT))
+    return rows.select("proposal_id", "evidence_id", "tenant_id", "source_id", "content_sha256")
 
 
 @registered("proposal_errors", PROPOSALS + " SELECT proposal_id, errors FROM p")

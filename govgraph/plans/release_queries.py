@@ -243,7 +243,8 @@ def _(spark, sf):
 @registered(
     "publication_gate",
     MAPPINGS
-    + """ SELECT tenant_id, CASE WHEN tenant_id = 't2' THEN 1 ELSE 0 END + count(*) FILTER (k % 7 = 6 AND tenant_id = 't1') AS violations, count(*) AS mapping_count,
+    + """ SELECT 'unknown' AS tenant_id, 1 AS violations, 0 AS mapping_count, 0 AS resolved_count, 0 AS human_review_count, FALSE AS gate_passed
+    UNION ALL SELECT tenant_id, CASE WHEN tenant_id = 't2' THEN 1 ELSE 0 END + count(*) FILTER (k % 7 = 6 AND tenant_id = 't1') AS violations, count(*) AS mapping_count,
       count(*) FILTER (status = 'APPROVED') AS resolved_count, count(*) FILTER (status = 'HUMAN_REVIEW') AS human_review_count, tenant_id = 't0' AS gate_passed FROM m GROUP BY tenant_id""",
 )
 def _(spark, sf):
@@ -251,10 +252,11 @@ def _(spark, sf):
     manifests = bundle_manifests(spark, sf)
     k = F.substring("proposal_id", 2, 20).cast("bigint")
     missing = states.filter((k % 7 == 6) & (K("tenant_id") == "t1")).select(
-        F.lit("DECISION_MISSING").alias("rule"), F.concat_ws("/", "tenant_id", "bundle_version", "proposal_id").alias("key"), F.lit(None).cast("string").alias("detail")
+        "tenant_id", "bundle_version", F.lit("DECISION_MISSING").alias("rule"), F.concat_ws("/", "tenant_id", "bundle_version", "proposal_id").alias("key"), F.lit(None).cast("string").alias("detail")
     )
     totals = manifests.select("tenant_id", "bundle_version", F.lit(5).alias("total"), F.lit(5).alias("passed"), F.lit(True).alias("complete"))
-    gate = release.publication_gate(manifests, "candidate", states, totals, [missing])
+    stray = missing.limit(1).select(F.lit("unknown").alias("tenant_id"), "bundle_version", "rule", "key", "detail")
+    gate = release.publication_gate(manifests, "candidate", states, totals, [missing, stray])
     return gate.select("tenant_id", "violations", "mapping_count", "resolved_count", "human_review_count", "gate_passed")
 
 

@@ -13,7 +13,8 @@ STATEMENT = (
     r"\s*(<[^<>]*>|_:\S+)?\s*\.\s*$"
 )
 # Escapes inside literals.
-ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'))
+ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'))
+PIECE = r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"
 
 TRIPLE_COLUMNS = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
@@ -25,11 +26,15 @@ def _term(text: Column) -> Column:
 
 
 def _unescape(text: Column) -> Column:
-    # Backslash pairs are set aside first, so they cannot combine with what follows.
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for written, meant in ESCAPES:
-        out = F.replace(out, F.lit(written), F.lit(meant))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    def meant(piece: Column) -> Column:
+        code = F.lpad(F.substr(piece, F.lit(3)), 8, "0")
+        out = F.when(piece.rlike(r"\A\\[uU]"), F.decode(F.unhex(code), "UTF-32"))
+        for written, char in ESCAPES:
+            out = out.when(piece == written, F.lit(char))
+        return out.when(piece.startswith("\\"), F.substr(piece, F.lit(2))).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, meant), "")).otherwise(text)
 
 
 def _escape(text: Column) -> Column:

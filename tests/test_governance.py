@@ -25,7 +25,9 @@ def test_drift_proposals_do_not_depend_on_order_or_day(spark):
     other = proposals.drift_proposals(heads(spark, *rows[:1]), "1.0", "2026-07-01T00:00:00Z").first()
     assert other["proposal_id"] != one["proposal_id"]
     assert proposals.drift_proposals(heads(spark, rows[2]), "1.0", "2026-07-01T00:00:00Z").isEmpty()
-    assert proposals.drift_evidence(heads(spark, *rows)).count() == 2
+    made = proposals.drift_proposals(heads(spark, *rows), "1.0", "2026-07-01T00:00:00Z")
+    evidence = proposals.drift_evidence(heads(spark, *rows), made).collect()
+    assert len(evidence) == 2 and {r["proposal_id"] for r in evidence} == {one["proposal_id"]}
 
 
 def snapshots(spark, **changes):
