@@ -18,6 +18,7 @@ from govgraph.plans.governance import (
 )
 from govgraph.plans.governance_queries import DRIFT
 from govgraph.plans.registry import registered, table
+from govgraph.plans.source_queries import document_files, file_document
 from govgraph.plans.source_queries import QUARANTINE, uploaded_objects
 from govgraph.session import scratch_path, stored
 from govgraph.streaming import jobs
@@ -129,10 +130,10 @@ def _(spark, sf):
     return both.select("doc_id", "reason", "status")
 
 
-@registered("stream_arrivals")
+@registered("stream_arrivals", "SELECT doc_id, strlen(text) + 1 AS size_bytes FROM documents")
 def _(spark, sf):
     sink = scratch_path(spark, "arrivals")
-    stream = jobs.object_stream(spark, sf, "*.parquet")
+    stream = jobs.object_stream(spark, document_files(spark, sf), "*.txt")
     (
         stream.writeStream.format("parquet")
         .option("path", sink)
@@ -141,7 +142,7 @@ def _(spark, sf):
         .start()
         .awaitTermination()
     )
-    return spark.read.parquet(sink).select(F.substring_index("path", "/", -1).alias("file_name"), "size_bytes")
+    return spark.read.parquet(sink).select(file_document("path").alias("doc_id"), "size_bytes")
 
 
 def _in_two_parts(spark, df, split, run):

@@ -102,12 +102,25 @@ def _(spark, sf):
     return lines.groupBy(F.sha2("value", 256).alias("line_hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("objects")
+def document_files(spark, sf):
+    """The folder of text files that documents are written to, one file each."""
+    path = scratch_path(spark, "documents")
+    table(spark, sf, "documents").select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
+    return path
+
+
+def file_document(path):
+    return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("bigint")
+
+
+@registered(
+    "objects",
+    """SELECT doc_id, strlen(text) + 1 AS byte_size, sha256(text || chr(10)) AS sha256, 'text/plain' AS media_type, starts_with(text, '%PDF-') AS has_pdf_signature
+    FROM documents""",
+)
 def _(spark, sf):
-    objects = files.read_objects(spark, sf, glob="*.parquet")
-    return objects.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "byte_size", "sha256", "has_pdf_signature"
-    )
+    objects = files.read_objects(spark, document_files(spark, sf), glob="*.txt")
+    return objects.select(file_document("path").alias("doc_id"), "byte_size", "sha256", "media_type", "has_pdf_signature")
 
 
 @registered(
