@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from govgraph.llm.common import checked_broadcast, stored
+
 # Bound of the labelled sample: pages with an article or main element, by the hash of their id.
 SAMPLE_PAGES = 2_000
 
@@ -297,10 +299,11 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict:
     """
     rows = pages.where(F.lower("html").rlike("<(article|main)\\b"))
     mark = F.xxhash64("page_id")
-    ids = (
+    ids = stored(
         rows.groupBy(F.pmod(mark, F.lit(sample)).alias("slot"))
         .agg(F.min_by("page_id", F.struct(F.xxhash64("page_id", F.lit(1)), "page_id")).alias("page_id"))
-        .select("page_id")
+        .select("page_id"),
+        "page-sample",
     )
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,7 +314,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict:
             )
 
     counts = (
-        rows.join(ids, "page_id", "left_semi").select("html")
+        rows.join(checked_broadcast(ids), "page_id", "left_semi").select("html")
         .mapInPandas(count, "name string, value string, y int, c double")
         .groupBy("name", "value", "y").agg(F.sum("c").alias("c")).collect()
     )
