@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govgraph.llm.common import held_out
+from govgraph.llm.common import checked_broadcast, held_out, stored
 
 # Bounds of the labelled sample, per language: texts, and letters in all of them together.
 SAMPLE_TEXTS = 40
@@ -28,13 +28,14 @@ def labelled_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, letters: int = S
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     mark = F.xxhash64("doc_id")
-    ids = (
+    ids = stored(
         rows.select("lang", "doc_id", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(texts)).alias("slot"))
         .groupBy("lang", "slot").agg(F.min_by("doc_id", F.struct("mark", "doc_id")).alias("doc_id"))
-        .select("lang", "doc_id")
+        .select("lang", "doc_id"),
+        "language-sample",
     )
     picked = (
-        rows.join(ids, ["lang", "doc_id"], "left_semi")
+        rows.join(checked_broadcast(ids), ["lang", "doc_id"], "left_semi")
         .select("lang", F.xxhash64("doc_id").alias("mark"), F.substring("text", 1, letters).alias("text"))
         .collect()
     )
