@@ -257,3 +257,33 @@ def test_near_duplicates(spark, odd_documents):
     assert all(got[str(i)]["class_id"] == i for i in (100, 101, 102)) and got["None"]["class_id"] is None and got["None"]["kept"]
     assert got["104"]["class_id"] == 3 and not got["104"]["kept"]
     assert near_text.near_duplicates(frame(spark, [])).collect() == []
+
+
+def plain_classes(texts, table):
+    """The smallest id reachable over links, from all pairs."""
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and near_text.similarity(texts[a], texts[b], table) >= near_text.SIMILARITY:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_near_duplicates_in_a_boilerplate_family(spark):
+    """Texts that share most of their words, with chains of copies among them: every band is a crowd."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, texts = fresh(520), {}
+    for _ in range(110):
+        words = shared + fresh(rng.randrange(75, 110))
+        for _ in range(rng.randrange(1, 5)):
+            texts[len(texts)] = " ".join(words)
+            words = list(words)
+            at = rng.randrange(520, len(words) - 35)
+            words[at : at + 35] = fresh(35)
+    docs = frame(spark, list(texts.items()))
+    got = {r["doc_id"]: r["class_id"] for r in near_text.near_duplicates(docs).collect()}
+    truth = plain_classes(texts, near_text.document_weights(docs))
+    assert 1 < len(set(truth.values())) < len(texts)
+    assert got == truth
