@@ -287,3 +287,22 @@ def test_near_duplicates_in_a_boilerplate_family(spark):
     truth = plain_classes(texts, near_text.document_weights(docs))
     assert 1 < len(set(truth.values())) < len(texts)
     assert got == truth
+
+
+def test_near_links_in_the_larger_crowds_only(spark):
+    """Two copies without other links that share only bands that many share, and are in smaller crowds besides."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    n, docs, reps = near_text.SAMPLES // near_text.ROWS, [], []
+    samples = bytes(4 * near_text.SAMPLES)  # all agree, so what meets is read
+    copy = fresh(60)
+    for i in range(70):
+        # 68 and 69 share the first eight bands with all, and the last four with 17 others each; neither is a centre.
+        side = 100 if i == 68 or 3 <= i < 20 else 200 if i == 69 or 20 <= i < 37 else 1000 + i
+        bands = [k + 1 if k < 8 else side * 50 + k for k in range(n)]
+        docs.append((i, " ".join(copy + ["end"] * (i == 69) if i > 67 else fresh(60))))
+        reps.append((i, samples, bands, 180.0))
+    docs = frame(spark, docs)
+    reps = spark.createDataFrame(reps, "doc_id long, samples binary, bands array<long>, size double")
+    links = near_text.near_links(docs, reps, near_text.document_weights(docs), near_text.SIMILARITY)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(68, 69)}
