@@ -306,3 +306,16 @@ def test_near_links_in_the_larger_crowds_only(spark):
     reps = spark.createDataFrame(reps, "doc_id long, samples binary, bands array<long>, size double")
     links = near_text.near_links(docs, reps, near_text.document_weights(docs), near_text.SIMILARITY)
     assert {(r["a"], r["b"]) for r in links.collect()} == {(68, 69)}
+
+
+def test_near_duplicates_with_a_repeated_line(spark):
+    """Copies with a line that repeats until it outweighs the text: alike without weights only."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for i in range(0, 48, 2):
+        words = fresh(200)
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words + fresh(10) * 50)
+    docs = frame(spark, list(texts.items()))
+    got = {r["doc_id"]: r["class_id"] for r in near_text.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in texts}
