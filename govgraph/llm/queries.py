@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govgraph.llm import decontaminate, identifiers, language, mixing, near_text, near_vectors, pages, quality, repeats, urls
+from govgraph.llm import decontaminate, identifiers, language, mixing, near_text, near_vectors, packing, pages, quality, repeats, urls
 from govgraph.llm.common import LOWER, UPPER, WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,8 @@ FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
 @query
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
