@@ -105,10 +105,10 @@ def profile_heads(observations: DataFrame) -> DataFrame:
     )
 
 
-def advance_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
-    """Heads after one more batch of observations; the stored head is the oldest arrival.
+def moved_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
+    """The heads that one more batch of observations replaces; the stored head is the oldest arrival.
 
-    A source that the batch does not move keeps its row, including a drift mark.
+    ``heads`` holds those of the batch's sources at least.
     """
     fields = [c for c in batch.columns if c not in HEAD_KEY]
     # Whatever its number, the stored head arrived before the batch.
@@ -118,11 +118,20 @@ def advance_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
     again = profile_heads(
         as_observed.join(touched, HEAD_KEY, "left_semi").unionByName(batch.select(*HEAD_KEY, *fields))
     )
-    moved = again.join(as_observed.select(*HEAD_KEY, "execution_id"), [*HEAD_KEY, "execution_id"], "left_anti")
+    return again.join(as_observed.select(*HEAD_KEY, "execution_id"), [*HEAD_KEY, "execution_id"], "left_anti")
+
+
+def advance_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
+    """Heads after one more batch of observations.
+
+    A source that the batch does not move keeps its row, including a drift mark.
+    """
+    moved = moved_heads(heads, batch)
     kept = heads.join(moved.select(*HEAD_KEY), HEAD_KEY, "left_anti")
     return kept.unionByName(moved, allowMissingColumns=True)
 
 
+
 def daily_drift(heads: DataFrame, tenants: DataFrame, day: str, ontology_version: str, evaluated_at: str) -> DataFrame:
     """One check row per active tenant and UTC day.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from govgraph.session import checkpointed, local_frame
+from govgraph.session import local_frame, scratch_path
 
 VARIABLE = "?"
 
@@ -220,20 +220,29 @@ def values(
 def path_closure(edges: DataFrame, min_hops: int = 1) -> DataFrame:
     """All ``(s, o)`` joined by one or more ``edges(s, o)``; zero hops with ``min_hops=0``.
 
-    Each round extends the paths found last by one edge in front, until no new path is found. The join key is
-    therefore never hotter than a node's in-degree in the edges themselves.
+    Paths double: the pairs that are more than 2 ** (k - 1) and at most 2 ** k hops apart, found last, are extended by
+    all pairs known, which finds those up to 2 ** (k + 1) apart. Rounds are a logarithm of the longest distance. Each
+    round writes only its new pairs, in the folder that the cluster shares; nothing known is written again.
     """
-    step = checkpointed(edges.select("s", "o").distinct())
-    known = fresh = step
-    while not fresh.isEmpty():
+    spark = edges.sparkSession
+    path = scratch_path(spark, "closure")
+    rounds = [f"{path}/round=0"]
+    steps = edges.select("s", "o").filter("s IS NOT NULL AND o IS NOT NULL").distinct()
+    steps.write.parquet(rounds[0])
+    schema = steps.schema
+    while True:
+        fresh = spark.read.schema(schema).parquet(rounds[-1])
+        known = spark.read.schema(schema).parquet(*rounds)
+        if fresh.isEmpty():
+            break
         longer = (
-            step.select("s", F.col("o").alias("_mid"))
-            .join(fresh.select(F.col("s").alias("_mid"), "o"), "_mid")
+            fresh.select("s", F.col("o").alias("_mid"))
+            .join(known.select(F.col("s").alias("_mid"), "o"), "_mid")
             .select("s", "o")
             .distinct()
         )
-        fresh = checkpointed(longer.join(known, ["s", "o"], "left_anti"))
-        known = checkpointed(known.unionByName(fresh))
+        rounds.append(f"{path}/round={len(rounds)}")
+        longer.join(known, ["s", "o"], "left_anti").write.parquet(rounds[-1])
     if min_hops == 0:
         nodes = edges.select("s").union(edges.select("o")).distinct()
         known = known.unionByName(nodes.select("s", F.col("s").alias("o"))).distinct()

@@ -19,7 +19,9 @@ from govgraph.plans.governance import (
     order_runs,
     reviewable,
 )
+from govgraph.plans.graph_queries import CONCEPT_LABELS
 from govgraph.plans.registry import registered, table
+from govgraph.plans.resolution import resolution_sql
 
 
 def document_snapshots(spark, sf):
@@ -63,13 +65,28 @@ def _(spark, sf):
     )
 
 
-@registered("mapping_proposals")
+_COLUMNS = """SELECT doc_id, unnest(['red widget', 'old bolt ' || (doc_id % 50), 'zzzz', source]) AS column_name FROM documents"""
+
+
+@registered(
+    "mapping_proposals",
+    f"""WITH RECURSIVE {resolution_sql(f"SELECT column_name AS term FROM ({_COLUMNS})", CONCEPT_LABELS, 1)},
+    c AS ({_COLUMNS}),
+    d AS (SELECT doc_id, lang, source, sha256(text) AS sha FROM documents),
+    j AS (SELECT *, CASE WHEN score = 1 THEN '1' ELSE score::varchar END AS lexical FROM d JOIN c USING (doc_id) JOIN resolved ON term = column_name WHERE score >= 0.5),
+    k AS (SELECT *, '{{"algorithmVersion":"govgraph-column-mapping/1.0.0","columnName":"' || column_name || '","ontologyVersion":"1.0","profile":{{"contentSha256":"' || sha || '","extractorVersion":"x/1"}},'
+      || '"resolvedConcept":{{"conceptType":"http://www.w3.org/2004/02/skos/core#Concept","iri":"' || iri || '","label":"' || label || '","matchedOn":"' || matched_on || '","score":' || lexical || '}},"sourceId":"' || source
+      || '","sourceObject":{{"bucket":"lake","generation":"' || doc_id || '","name":"' || doc_id || '.txt"}},"sourceSnapshotIds":["' || source || '@sha256:' || sha || '"],"tenantId":"t-' || lang || '"}}' AS input FROM j)
+    SELECT 'mapping-' || sha256(input) AS proposal_id, 't-' || lang AS tenant_id, iri AS target_iri,
+      'gs://lake/' || doc_id || '.txt#generation=' || doc_id || '#column=' || column_name AS source_locator, score AS lexical FROM k""",
+)
 def _(spark, sf):
     numbered = F.concat(F.lit("old bolt "), F.col("generation") % 50)
     names = F.array(F.lit("red widget"), numbered, F.lit("zzzz"), F.col("source_id"))
     profiles = document_snapshots(spark, sf).withColumn("column_names", names)
     made = proposals.mapping_proposals(profiles, bank.concept_graph(spark, sf))
-    return made.select("proposal_id", "tenant_id", "target_iri", "source_locator", "confidence")
+    lexical = F.get_json_object("confidence", "$.lexical").cast("double")
+    return made.select("proposal_id", "tenant_id", "target_iri", "source_locator", lexical.alias("lexical"))
 
 
 @registered(

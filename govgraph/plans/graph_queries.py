@@ -8,6 +8,7 @@ from govgraph.operators import context, patterns, resolve, triples
 from govgraph.operators.triples import PREF_LABEL, RDF_TYPE, RESOURCE, VOCAB
 from govgraph.plans import bank, questions
 from govgraph.plans.registry import registered, table
+from govgraph.plans.resolution import resolution_sql
 from govgraph.session import local_frame
 
 R, V = RESOURCE, VOCAB
@@ -455,7 +456,16 @@ def _terms(spark, sf):
     return table(spark, sf, "part").select(F.explode(words).alias("term")).select(F.lower("term").alias("term"))
 
 
-@registered("resolve_terms")
+CONCEPT_LABELS = f"""SELECT DISTINCT '{V}' || replace(p_name, ' ', '-') AS iri, 0 AS predicate_rank, 'prefLabel' AS matched_on, lower(p_name) AS norm, p_name AS label FROM part
+       UNION SELECT DISTINCT '{V}' || replace(p_name, ' ', '-'), 1, 'altLabel', lower(p_type), p_name FROM part"""
+
+
+@registered(
+    "resolve_terms",
+    f"""WITH RECURSIVE {resolution_sql(_TERMS, CONCEPT_LABELS, 3)}
+    SELECT term, rank, iri, label, label AS definition, 'http://www.w3.org/2004/02/skos/core#Concept' AS concept_type, score, matched_on
+    FROM resolved""",
+)
 def _(spark, sf):
     return resolve.resolve_terms(_terms(spark, sf), bank.concept_graph(spark, sf), limit=3)
 

@@ -189,7 +189,7 @@ def _(spark, sf):
     path, offsets = scratch_path(spark, "heads"), scratch_path(spark, "offsets")
     middle = observed.agg(F.floor(F.max("seq") / 2).alias("m")).first()["m"]
     _in_two_parts(spark, observed, K("seq") > middle, lambda s: jobs.stream_heads(s, path, offsets))
-    return jobs.latest_heads(spark, path).select(*HEAD_COLUMNS)
+    return jobs.latest_heads(spark, path, observed.schema).select(*HEAD_COLUMNS)
 
 
 @registered(
@@ -230,10 +230,28 @@ def _(spark, sf):
         F.timestamp_seconds(F.unix_timestamp("ts") + K("after")).alias("at"),
     )
     sink, offsets = scratch_path(spark, "leases"), scratch_path(spark, "offsets")
-    _in_two_parts(spark, events, K("seq") > 2, lambda s: jobs.stream_leases(s, sink, offsets))
+    _in_two_parts(spark, events, K("seq") > 2, lambda s: jobs.stream_leases(s, sink, offsets, delay="40 days"))
     return spark.read.parquet(sink).select("execution_id", "seq", "claimed", "status")
 
 
+@registered(
+    "stream_expired_leases",
+    """SELECT 'x' || event_id AS execution_id, 'EXPIRED' AS status, 1 AS attempts FROM events
+    WHERE event_id % 3 <> 0 AND date_trunc('second', ts) + INTERVAL 360 SECOND <= (SELECT max(date_trunc('second', ts)) FROM events) - INTERVAL 1 DAY""",
+)
+def _(spark, sf):
+    k = K("event_id")
+    events = table(spark, sf, "events").select(
+        F.concat(F.lit("x"), k).alias("execution_id"),
+        F.posexplode(F.when(k % 3 == 0, F.array(F.lit("CLAIM"), F.lit("COMPLETED"))).otherwise(F.array(F.lit("CLAIM")))).alias("seq", "kind"),
+        F.timestamp_seconds(F.unix_timestamp("ts")).alias("at"),
+    ).withColumn("seq", K("seq").cast("bigint"))
+    landing, sink, offsets = (scratch_path(spark, n) for n in ("claims", "leases", "offsets"))
+    events.write.parquet(landing)
+    jobs.stream_leases(jobs.table_stream(spark, landing, events.schema), sink, offsets, delay="1 day").awaitTermination()
+    return spark.read.parquet(sink).filter("kind = 'LEASE_OVER'").select("execution_id", "status", "attempts")
+
+
 @registered(
     "counts_by_kind",
     PROPOSALS

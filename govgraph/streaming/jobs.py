@@ -6,19 +6,22 @@ batch is delivered again, so a restarted job leaves every row exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from govgraph.operators.executions import LEASE_SECONDS, advance_heads, dedup_executions, profile_heads
+from govgraph.operators.executions import HEAD_KEY, LEASE_SECONDS, moved_heads
 from govgraph.operators.ingest import quarantine, split_quarantine
 from govgraph.operators.verification import verification_runs
+from govgraph.session import stored
+from govgraph.streaming.segments import active, lookup, merge, newest, segments, write_segment
+from govgraph.streaming.state import LEASE_OUTPUT, LeaseProcessor, first_deliveries, use_rocksdb
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# How long an execution is remembered after its last change.
+KEEP_SECONDS = 30 * 24 * 3600
 
 
 def object_stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -53,17 +56,6 @@ def read_batches(spark: SparkSession, path: str, schema: StructType | str | None
         return spark.createDataFrame([], schema)
 
 
-def _before(spark: SparkSession, path: str, batch: int, schema: StructType) -> DataFrame:
-    # A repeated batch must not see its own earlier output.
-    try:
-        found = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-    return found.filter(F.col("batch") < batch).drop("batch")
-
-
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -85,42 +77,44 @@ def dedup_within(stream: DataFrame, key: list[str], event_time: str, ttl: str) -
     return stream.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(key)
 
 
-def stream_executions(deliveries: DataFrame, executed: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keep the first delivery of every key ever, however late a repeat comes."""
-
-    def work(batch: DataFrame, number: int) -> None:
-        done = _before(batch.sparkSession, executed, number, batch.schema)
-        _write_batch(dedup_executions(batch, done, key, order), executed, number)
+def stream_executions(
+    deliveries: DataFrame, executed: str, key: list[str], order: str, checkpoint: str, completed: DataFrame | None = None
+) -> StreamingQuery:
+    """Keep the first delivery of every key ever, however late a repeat comes.
 
-    return _start(deliveries, work, checkpoint)
+    Which keys were delivered is keyed state; ``completed`` has keys from before the stream. A batch reads its own rows only.
+    """
+    fresh = first_deliveries(deliveries, key, order, completed)
+    return _start(fresh, lambda batch, number: _write_batch(batch, executed, number), checkpoint)
 
 
-def head_version(path: str, number: int) -> str:
-    return f"{path}/version={number}"
+def _head_schema(observations: DataFrame) -> StructType:
+    fields = [observations.schema[c] for c in HEAD_KEY] + [f for f in observations.schema.fields if f.name not in HEAD_KEY]
+    return StructType(fields).add("previous_sha256", "string").add("content_changed", "boolean")
 
 
 def stream_heads(observations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the profile heads: each batch writes the next version of the whole table.
+    """Keep the profile heads as a log of segments.
 
-    Version n is made from version n - 1 and batch n alone, so repeating a batch gives
-    the same version.
+    A batch looks up the heads of its own sources, and writes those that it moves; segments are merged as they
+    get many. Batch n is made from what batches before n left and its own rows, so repeating it gives the same.
     """
+    schema = _head_schema(observations)
 
     def work(batch: DataFrame, number: int) -> None:
-        if number == 0:
-            heads = profile_heads(batch)
-        else:
-            before = batch.sparkSession.read.parquet(head_version(path, number - 1))
-            heads = advance_heads(before, batch)
-        heads.write.mode("overwrite").parquet(head_version(path, number))
+        spark = batch.sparkSession
+        merge(spark, path, schema, HEAD_KEY, number)
+        rows = stored(batch, "observations")
+        heads = lookup(spark, path, schema, rows.select(*HEAD_KEY).distinct(), number)
+        write_segment(moved_heads(heads, rows).select(*schema.names), path, number, number, HEAD_KEY)
 
     return _start(observations, work, checkpoint)
 
 
-def latest_heads(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.option("basePath", path).parquet(f"{path}/version=*")
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(head_version(path, newest))
+def latest_heads(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The heads after the last batch; ``schema`` is that of the observations."""
+    wide = _head_schema(spark.createDataFrame([], schema))
+    return newest(spark, path, wide, HEAD_KEY, active(segments(spark, path)))
 
 
 def stream_verification(
@@ -129,68 +123,31 @@ def stream_verification(
     """Verify newly created pending proposals once; a run is never overwritten."""
 
     def work(batch: DataFrame, number: int) -> None:
-        key = ["tenant_id", "proposal_id"]
-        schema = batch.select(*key).schema
-        done = _before(batch.sparkSession, runs, number, schema).select(*key)
-        pending = batch.filter("status = 'PENDING_VERIFICATION'").dropDuplicates(key)
-        fresh = pending.join(done, key, "left_anti").select(*batch.columns)
-        _write_batch(verification_runs(fresh, outcomes, evaluated_at), runs, number)
-
-    return _start(proposals, work, checkpoint)
-
-
-class LeaseProcessor(StatefulProcessor):
-    """Claims per execution: RUNNING until completed, failed or out of lease."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lease", "status string, attempts int, started_at double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        current = self.state.get() if self.state.exists() else None
-        status, attempts, started = current if current else (None, 0, 0.0)
-        out = []
-        events = pd.concat(list(rows)).sort_values(["at", "seq"])
-        for kind, at, seq in zip(events["kind"], events["at"], events["seq"], strict=True):
-            moment = pd.Timestamp(at).timestamp()
-            prior, claimed = status, False
-            if kind == "CLAIM":
-                live = status == "RUNNING" and moment - started < LEASE_SECONDS
-                claimed = status != "COMPLETED" and not live
-                if claimed:
-                    status, attempts, started = "RUNNING", attempts + 1, moment
-            elif status is not None and status != "COMPLETED":
-                status = kind
-            out.append((key[0], int(seq), kind, claimed, prior, status, attempts))
-        if status is not None:
-            self.state.update((status, int(attempts), float(started)))
-        columns = ["execution_id", "seq", "kind", "claimed", "prior_status", "status", "attempts"]
-        yield pd.DataFrame(out, columns=columns)
-
-    def close(self) -> None:
-        pass
-
-
-LEASE_OUTPUT = (
-    "execution_id string, seq bigint, kind string, claimed boolean, prior_status string, "
-    "status string, attempts int"
-)
-
-
-def lease_stream(events: DataFrame) -> DataFrame:
-    """Claim, completion and failure events to what each of them did.
-
-    ``events`` has ``execution_id, seq, kind`` (CLAIM, COMPLETED or FAILED) and ``at``. One
-    execution has few events, so its group is small.
+        # The state behind the batch is advanced once, whatever the plan reads how often.
+        _write_batch(verification_runs(stored(batch, "pending"), outcomes, evaluated_at), runs, number)
+
+    pending = proposals.filter("status = 'PENDING_VERIFICATION'")
+    return _start(first_deliveries(pending, ["tenant_id", "proposal_id"]), work, checkpoint)
+
+
+def lease_stream(
+    events: DataFrame, delay: str = "10 minutes", lease_seconds: int = LEASE_SECONDS, keep_seconds: int = KEEP_SECONDS
+) -> DataFrame:
+    """Claim, completion and failure events to what each of them did, and leases that ran out.
+
+    ``events`` has ``execution_id, seq, kind`` (CLAIM, COMPLETED or FAILED) and ``at``. Events later than
+    ``delay`` behind the newest are dropped. When the watermark passes the end of a lease, a row LEASE_OVER says so
+    without any event; ``keep_seconds`` after an execution's last change its state is freed.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("execution_id").transformWithStateInPandas(
-        statefulProcessor=LeaseProcessor(),
+    use_rocksdb(events)
+    return events.withWatermark("at", delay).groupBy("execution_id").transformWithStateInPandas(
+        statefulProcessor=LeaseProcessor(lease_seconds, keep_seconds),
         outputStructType=LEASE_OUTPUT,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
-def stream_leases(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    writer = lease_stream(events).writeStream.format("parquet").option("path", path)
+def stream_leases(events: DataFrame, path: str, checkpoint: str, **bounds) -> StreamingQuery:
+    writer = lease_stream(events, **bounds).writeStream.format("parquet").option("path", path)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,10 @@
+import random
 from difflib import SequenceMatcher
 
 import bank_fixture as b
 import pytest
 from govgraph.operators import context, golden, inference, patterns, resolve, shapes, triples
-from govgraph.operators.triples import RDF_TYPE, RESOURCE, VOCAB
+from govgraph.operators.triples import ALT_LABEL, PREF_LABEL, RDF_TYPE, RESOURCE, VOCAB
 from govgraph.plans import questions
 from pyspark.sql import functions as F
 
@@ -136,11 +137,76 @@ def test_resolution_matches_brute_force(spark):
     assert first["label"] == "Ultimate Beneficial Owner" and first["matched_on"] == "altLabel"
 
 
-def test_label_blocks_do_not_change_the_result(spark, monkeypatch):
+def plain_resolution(terms, labels, limit, least):
+    """``labels`` are ``(iri, rank, matched_on, text)``; the display label is the smallest of rank 0, else the name."""
+    shown = {}
+    for iri, rank, _, text in labels:
+        if rank == 0:
+            shown[iri] = min(shown.get(iri, text), text)
+    want = {}
+    for term in set(terms):
+        query, best = term.casefold().strip(), {}
+        for iri, rank, matched_on, text in labels:
+            norm = text.casefold()
+            ratio = SequenceMatcher(None, query, norm).ratio()
+            inside = query in norm or norm in query
+            score = 1.0 if query == norm else max(0.84, ratio) if inside else ratio * 0.78
+            if score >= least:
+                key = (-round(score, 4), rank, norm)
+                best[iri] = min(best.get(iri, (key, matched_on)), (key, matched_on))
+        ranked = sorted((key[0], shown[iri], iri, m) for iri, (key, m) in best.items())[:limit]
+        want.update({(term, n + 1): (iri, label, -low, m) for n, (low, label, iri, m) in enumerate(ranked)})
+    return want
+
+
+@pytest.mark.parametrize(("blocks", "limit", "least"), [((4_096, 2_048), 2, 0.25), ((9, 20), 1, 0.5), ((20, 9), 50, 0.25)])
+def test_top_concepts_equal_brute_force_in_blocks_of_any_size(spark, monkeypatch, blocks, limit, least):
+    monkeypatch.setattr(resolve, "LEFT_BLOCK", blocks[0])
+    monkeypatch.setattr(resolve, "RIGHT_BLOCK", blocks[1])
+    rng = random.Random(7)
+    words = "customer account owner name id legal party éclair Straße ΑΣ payment x".split()
+    labels = [(f"urn:{k}", 0, "prefLabel", " ".join(rng.choices(words, k=rng.randrange(1, 4)))) for k in range(40)]
+    labels += [(f"urn:{rng.randrange(40)}", 1, "altLabel", "".join(rng.choices("abcdeé xyz", k=rng.randrange(0, 9)))) for _ in range(40)]
+    labels += [("urn:3", 1, "altLabel", ""), ("urn:4", 1, "altLabel", "long " * 60)]
+    labels = sorted(set(labels))
+    terms = [" ".join(rng.choices(words, k=rng.randrange(1, 3))) for _ in range(20)] + ["".join(rng.choices("abcdxyzq ", k=5)) for _ in range(15)]
+    terms += ["", "  ", "x", "STRASSE", "q", "\u2003name\t", "ownre", "long " * 70]
+    predicate = {0: PREF_LABEL, 1: ALT_LABEL}
+    rows = [(iri, predicate[rank], text, "literal", None, None) for iri, rank, _, text in labels]
+    graph = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_type string, o_lang string")
+    frame = spark.createDataFrame([(t,) for t in terms] + [(terms[0],), (None,)], "term string")
+    got = {
+        (r["term"], r["rank"]): (r["iri"], r["label"], r["score"], r["matched_on"])
+        for r in resolve.resolve_terms(frame, graph, limit=limit, min_score=least).collect()
+    }
+    assert got == plain_resolution(terms, labels, limit, least)
+
+
+def test_resolution_of_nothing(spark):
+    none = b.graph(spark).filter("1 = 0")
+    terms = spark.createDataFrame([("a",)], "term string")
+    assert resolve.resolve_terms(terms, none).collect() == []
+    assert resolve.resolve_terms(terms.filter("1 = 0"), b.graph(spark)).collect() == []
+
+
+def test_labels_never_pass_through_the_driver(spark, monkeypatch):
     frame = spark.createDataFrame([("customer name",), ("ubo",)], "term string")
-    whole = sorted(map(tuple, resolve.resolve_terms(frame, b.graph(spark)).collect()))
-    monkeypatch.setattr(resolve, "LABEL_BLOCK", 1)
-    assert sorted(map(tuple, resolve.resolve_terms(frame, b.graph(spark)).collect())) == whole
+    graph, kind, sizes = b.graph(spark), type(spark.range(1)), []
+    collect = kind.collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    def refused(*_):
+        raise AssertionError("iterated")
+
+    monkeypatch.setattr(kind, "toLocalIterator", refused)
+    monkeypatch.setattr(kind, "collect", counted)
+    assert resolve.resolve_terms(frame, graph).count() > 0
+    # Only single rows of counts and sizes.
+    assert max(sizes) == 1
 
 
 def test_explanation_steps(spark, full):
