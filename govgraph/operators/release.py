@@ -247,13 +247,17 @@ def build_rollback(requests: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``requests`` has ``tenant_id, manifest_object, expected_generation, publisher_subject, authorized_at,
     activated_at, reason, ticket``. Of the admissible requests of a tenant the earliest one wins (ties: the smaller
-    ticket); to the others the generation has changed. A pointer has all that ``pointer_rules`` ask for.
+    ticket, then whatever else they hold); to the others the generation has changed, and so it has to the second
+    copy of one request. A pointer has all that ``pointer_rules`` ask for.
     """
+    requests = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_copies"))
     known = candidates.select(
         "tenant_id", "manifest_object", "manifest_sha256", "receipt_sha256", "target_publisher", "prior_generation",
         "current_generation", "current_object", "current_sha256",
     )
     asked = requests.drop("target_publisher", "manifest_sha256", "receipt_sha256")
+    fields = [c for c in asked.columns if c != "_copies"]
+    place_in_line = F.struct("activated_at", "ticket", "manifest_object", *[c for c in fields if c not in ("activated_at", "ticket", "manifest_object")])
     joined = asked.join(known, ["tenant_id", "manifest_object"], "left")
     reason = F.trim(F.regexp_replace("reason", r"\s+", " "))
     rules = [
@@ -288,10 +292,10 @@ def build_rollback(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     staged = joined.withColumn("_rules", rule_array(rules)).withColumn("audit", audit)
     # Compare-and-set has one winner: a plain aggregate over the admissible requests.
     winner = staged.filter(F.size("_rules") == 0).groupBy("tenant_id").agg(
-        F.min(F.struct("activated_at", "ticket", "manifest_object")).alias("_winner")
+        F.min(place_in_line).alias("_winner")
     )
-    decided = salted_join(staged, winner, "tenant_id", "left")
-    won = F.struct("activated_at", "ticket", "manifest_object") == F.col("_winner")
+    decided = salted_join(staged, winner, "tenant_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    won = place_in_line.eqNullSafe(F.col("_winner")) & (F.col("_copy") == 1)
     late = (F.size("_rules") == 0) & ~won
     decided = decided.withColumn(
         "refused", F.when(late, F.array(F.lit("GENERATION_CHANGED"))).otherwise(F.col("_rules"))
@@ -302,7 +306,7 @@ def build_rollback(requests: DataFrame, candidates: DataFrame) -> DataFrame:
         F.lit("/rollback-audit.json"),
     )
     return decided.select(
-        *asked.columns,
+        *fields,
         F.when(ok, "ROLLBACK").alias("operation"),
         F.when(ok, F.col("current_generation") + 1).alias("generation"),
         F.when(ok, F.col("current_generation")).alias("replaces_generation"),

@@ -214,9 +214,12 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
     ``decisions`` has ``tenant_id, proposal_id, request_id, arrival, decision, rationale,
     reviewer, roles``. Result is ACCEPTED, IDEMPOTENT, CONFLICT or REJECTED with a
     reason, and the receipt fields. The first admissible decision per proposal counts;
-    repeats of it are idempotent, and a refused one stands in nobody's way.
+    repeats of it are idempotent, and a refused one stands in nobody's way. A request that is delivered several
+    times is judged once: its first copy gets the result, and the others repeat it.
     """
     key = ["tenant_id", "proposal_id"]
+    # Copies are combined before anything is looked up or sorted.
+    decisions = decisions.groupBy(*decisions.columns).agg(F.count(F.lit(1)).alias("_copies"))
     text = F.trim("rationale")
     valid = F.col("decision").isin(*DECISIONS) & F.length(text).between(10, 1000)
     staged = decisions.withColumn("rationale_sha256", F.sha2(text, 256)).withColumn("_valid", _holds(valid))
@@ -249,12 +252,13 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
     judged = salted_join(staged, lookup, key, "left").withColumn("_refused", refused)
     # Only a decision that would leave a receipt stands in the way of later ones. The earliest is found by
     # a plain aggregate, so a proposal with very many deliveries is combined before the shuffle.
+    moment = F.struct("arrival", "request_id", "_content", F.array_sort("roles").alias("roles"), "rationale")
     first = judged.filter("_refused IS NULL AND _stored IS NULL").groupBy(*key).agg(
-        F.min_by("_content", F.struct("arrival", "request_id")).alias("_first"),
-        F.min(F.struct("arrival", "request_id")).alias("_first_at"),
+        F.min_by("_content", moment).alias("_first"),
+        F.min(moment).alias("_first_at"),
     )
     joined = salted_join(judged, first, key, "left")
-    is_first = F.struct("arrival", "request_id") == F.col("_first_at")
+    is_first = moment.eqNullSafe(F.col("_first_at"))
     different = F.col("_stored").isNull() & (F.col("_first") != F.col("_content"))
     reason = F.coalesce("_refused", F.when(different, "DIFFERENT_DECISION_FIRST"))
     result = (
@@ -264,7 +268,9 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
         .otherwise("ACCEPTED")
     )
     results = F.create_map(*[F.lit(x) for pair in DECISIONS.items() for x in pair])
-    return joined.select(
+    copies = joined.withColumn("_result", result).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    result = F.when((F.col("_copy") > 1) & (F.col("_result") == "ACCEPTED"), "IDEMPOTENT").otherwise(F.col("_result"))
+    return copies.select(
         *key,
         "request_id",
         "arrival",

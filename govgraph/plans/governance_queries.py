@@ -428,15 +428,18 @@ def order_decisions(spark, sf):
       WHEN NOT valid THEN 'NOT_IN_HUMAN_REVIEW' WHEN NOT bound THEN 'NOT_HASH_BOUND' WHEN decision = 'APPROVED' AND reasons <> '' THEN 'NOT_ELIGIBLE'
       WHEN (k % 9 = 1 OR k % 9 = 3 AND reasons = '') AND arrival = 2 THEN 'DIFFERENT_DECISION_FIRST' END AS reason FROM d)
     SELECT proposal_id, arrival, reason, CASE WHEN reason IN ('DIFFERENT_RECEIPT_EXISTS', 'DIFFERENT_DECISION_FIRST') THEN 'CONFLICT' WHEN reason IS NOT NULL THEN 'REJECTED'
-      WHEN k % 17 = 2 OR arrival = 2 AND k % 9 <> 3 THEN 'IDEMPOTENT' ELSE 'ACCEPTED' END AS result, 'review-' || sha256(concat(tenant_id, chr(0), proposal_id)) AS receipt_id FROM s""",
+      WHEN k % 17 = 2 OR arrival = 2 AND k % 9 <> 3 OR copy > 0 THEN 'IDEMPOTENT' ELSE 'ACCEPTED' END AS result, 'review-' || sha256(concat(tenant_id, chr(0), proposal_id)) AS receipt_id
+    FROM (SELECT *, unnest(range(CASE WHEN k % 5 = 4 THEN 3 ELSE 1 END)) AS copy FROM s)""",
 )
 def _(spark, sf):
     decisions = order_decisions(spark, sf)
     k = F.substring("proposal_id", 2, 20).cast("bigint")
+    # Every fifth request is delivered three times.
+    delivered = decisions.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(k % 5 == 4, 3).otherwise(1)))).drop("copy")
     stored = decisions.filter("arrival = 1").filter(k % 17 == 2).select(
         "tenant_id", "proposal_id", "decision", F.sha2("rationale", 256).alias("rationale_sha256"), "reviewer"
     )
-    recorded = review.record_decisions(decisions, bound_reviews(spark, sf), stored)
+    recorded = review.record_decisions(delivered, bound_reviews(spark, sf), stored)
     return recorded.select("proposal_id", "arrival", "reason", "result", "receipt_id")
 
 

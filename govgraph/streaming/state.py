@@ -74,7 +74,7 @@ _KINDS = ("CLAIM", "COMPLETED", "FAILED")
 class LeaseProcessor(StatefulProcessor):
     """Claims per execution: RUNNING until completed, failed or out of lease.
 
-    One timer per key is pending: the end of the lease while it runs, afterwards the end of ``keep_seconds``.
+    One timer per key counts: the end of the lease while it runs, afterwards the end of ``keep_seconds``.
     """
 
     def __init__(self, lease_seconds: int, keep_seconds: int):
@@ -85,8 +85,7 @@ class LeaseProcessor(StatefulProcessor):
         self.state = handle.getValueState("lease", "status string, attempts int, started_at double, timer bigint")
 
     def _store(self, status: str, attempts: int, started: float, timer: int, before: int | None) -> None:
-        if before is not None and before != timer:
-            self.handle.deleteTimer(before)
+        # A timer that another one replaced is left to fire and is not heeded then: that is cheaper than to delete it.
         if before != timer:
             self.handle.registerTimer(timer)
         self.state.update((status, int(attempts), float(started), int(timer)))
@@ -99,7 +98,7 @@ class LeaseProcessor(StatefulProcessor):
             seq.append(batch["seq"].to_numpy())
             kind.append(batch["kind"].map(_KINDS.index).to_numpy(dtype=np.int8))
         at, seq, kind = np.concatenate(at), np.concatenate(seq), np.concatenate(kind)
-        status, attempts, started, timer = self.state.get() if self.state.exists() else (None, 0, 0.0, None)
+        status, attempts, started, timer = self.state.get() or (None, 0, 0.0, None)
         out, last = [], None
         for k in np.lexsort((seq, at)):
             moment, what = at[k] / 1e6, _KINDS[kind[k]]
@@ -119,7 +118,7 @@ class LeaseProcessor(StatefulProcessor):
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, started, timer = self.state.get()
+        status, attempts, started, timer = self.state.get() or (None, 0, 0.0, None)
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
         if status == "RUNNING":
