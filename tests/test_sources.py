@@ -272,3 +272,36 @@ def test_quarantine_order(spark):
     ]
 
 
+
+
+def test_an_append_reads_only_files_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    for part in range(4):
+        rows = [(f"k{part}-{n}", n, f"h{n}") for n in range(300)] + [(None, part, "no key")]
+        assert sinks.append_only_sink(spark.createDataFrame(rows, "k string, n int, h string").coalesce(1), path, ["k", "n"], "h").count() == 0
+    files = spark.read.parquet(path).inputFiles()
+    ask = lambda rows: sinks.files_that_may_hold(spark, path, spark.createDataFrame(rows, "k string, n int"), ["k", "n"])
+    assert len(ask([("k2-7", 7)])) < len(files) and len(ask([("zz", 1)])) == 0
+    for k, n in [("k0-0", 0), ("k1-299", 299), ("k3-150", 150)]:
+        held = {r["_p"] for r in spark.read.parquet(path).filter(F.col("k").eqNullSafe(k) & (F.col("n") == n)).select(F.col("_metadata.file_path").alias("_p")).collect()}
+        assert {sinks._file_key(f) for f in held} <= {sinks._file_key(f) for f in ask([(k, n)])}
+    # Files that no index knows are read.
+    spark.createDataFrame([("other", 1, "x")], "k string, n int, h string").write.mode("append").parquet(path)
+    conflict = spark.createDataFrame([("other", 1, "y"), ("k1-5", 5, "h5"), ("new", 1, "z")], "k string, n int, h string")
+    read = []
+    original = sinks.files_that_may_hold
+    monkeypatch.setattr(sinks, "files_that_may_hold", lambda *a: read.append(original(*a)) or read[-1])
+    assert [r["k"] for r in sinks.append_only_sink(conflict, path, ["k", "n"], "h").collect()] == ["other"]
+    assert len(read) == 1 and len(read[0]) < len(files)
+    assert spark.read.parquet(path).count() == 4 * 300 + 2
+
+
+def test_append_to_partitions_and_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "BLOCK_KEYS", 16)
+    path = str(tmp_path / "table")
+    rows = spark.range(500).selectExpr("id AS k", "id % 3 AS part", "cast(id AS string) AS h")
+    assert sinks.append_only_sink(rows, path, ["k"], "h", ["part"]).count() == 0
+    assert sinks.append_only_sink(rows, path, ["k"], "h", ["part"]).count() == 0
+    other = rows.filter("k < 3").withColumn("h", F.lit("other"))
+    assert sinks.append_only_sink(other, path, ["k"], "h", ["part"]).count() == 3
+    assert spark.read.parquet(path).count() == 500
