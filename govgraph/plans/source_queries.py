@@ -83,11 +83,14 @@ def _(spark, sf):
     def record(prefix, name):
         return F.struct(F.concat(F.lit(prefix), "o_orderkey").alias("id"), F.col(name).alias("name"))
 
-    text = F.to_json(F.struct(F.array(record("a-", "o_orderstatus"), record("b-", "o_orderpriority")).alias("records")))
-    docs = orders.select("o_orderkey", text.alias("value"))
-    parsed = F.from_json("value", "records array<struct<id:string,name:string>>")
-    count = files.json_record_count(F.get_json_object("value", "$.records"))
-    return docs.select("o_orderkey", count.alias("record_count"), F.inline(parsed["records"]))
+    path = scratch_path(spark, "json")
+    # One JSON document per order, each record with its order's key.
+    both = F.array(record("a-", "o_orderstatus"), record("b-", "o_orderpriority"))
+    orders.select(F.to_json(F.struct("o_orderkey", both.alias("records"))).alias("value")).write.text(path)
+    schema = "o_orderkey bigint, records array<struct<id:string,name:string>>"
+    count = files.json_record_count(F.to_json("records"))
+    whole = files.read_json_records(spark, path, schema=schema, lines=True)
+    return whole.select("o_orderkey", count.alias("record_count"), F.inline("records"))
 
 
 @registered(
@@ -113,6 +116,16 @@ def file_document(path):
     return F.regexp_extract(path, r"doc_id=(\d+)/", 1).cast("bigint")
 
 
+@registered(
+    "numbered_lines",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
+    SELECT doc_id, n::int AS line, sha256(regexp_replace(line, '\\r$', '')) AS line_hash FROM l WHERE regexp_matches(line, '\\S')""",
+)
+def _(spark, sf):
+    lines = files.read_text_lines(spark, document_files(spark, sf))
+    return lines.select(file_document("path").alias("doc_id"), "line", F.sha2("value", 256).alias("line_hash"))
+
+
 @registered(
     "objects",
     """SELECT doc_id, strlen(text) + 1 AS byte_size, sha256(text || chr(10)) AS sha256, 'text/plain' AS media_type, starts_with(text, '%PDF-') AS has_pdf_signature

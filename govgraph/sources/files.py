@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from govgraph.functions.paths import line_locator
+from govgraph.session import small_join, stored
+from govgraph.sources.lines import BOM, numbered_lines, quoted_records
 
-BOM = "﻿"
 PDF_SIGNATURE = b"%PDF-"
 
 # The media type each upload file ending stands for.
@@ -38,6 +39,9 @@ def check_header(names: list[str], most: int | None = None, longest: int | None
     return trimmed
 
 
+_CSV = {"escape": '"', "encoding": "UTF-8"}
+
+
 def read_csv_source(
     spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
@@ -45,15 +49,11 @@ def read_csv_source(
 
     Records of white space only are dropped; a comma is content, so a record of empty cells stays, and
     an empty cell is null. A file whose header differs from that of the first fails the read. Large files are
-    split among tasks; ``multi_line=True`` is for cells that hold line breaks and reads a file in one task.
+    split among tasks, with ``multi_line=True`` also where cells hold line breaks: splits then learn from those
+    before them whether they begin inside quotes.
     """
     header_row = (
-        spark.read.option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("header", False)
-        .option("inferSchema", False)
-        .csv(path)
-        .head(1)
+        spark.read.options(**_CSV).option("multiLine", multi_line).option("header", False).option("inferSchema", False).csv(path).head(1)
     )
     if not header_row:
         raise SourceFormatError("the file has no header")
@@ -61,16 +61,18 @@ def read_csv_source(
     names = check_header(raw)
     broken = "_broken_record"
     wanted = StructType([StructField(n, StringType()) for n in raw]) if schema is None else schema
-    frame = (
-        spark.read.option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("encoding", "UTF-8")
-        .option("columnNameOfCorruptRecord", broken)
-        .schema(StructType([*wanted.fields, StructField(broken, StringType())]))
-        .csv(path)
-    )
+    full = StructType([*wanted.fields, StructField(broken, StringType())])
+    if multi_line:
+        frame = _parsed_records(quoted_records(spark, path), names, full, broken)
+    else:
+        frame = (
+            spark.read.options(**_CSV)
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("columnNameOfCorruptRecord", broken)
+            .schema(full)
+            .csv(path)
+        )
     if schema is None:
         frame = frame.toDF(*names, broken)
     # A record without a comma where several fields are due is kept as text beside its cells.
@@ -79,26 +81,26 @@ def read_csv_source(
     return frame.filter(~blank).drop(broken)
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    # Whole files are read so that line numbers are those of the file.
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.input_file_name().alias("path"),
-            F.posexplode(F.split(F.regexp_replace("value", f"^{BOM}", ""), r"\r?\n")).alias(
-                "line", "value"
-            ),
-        )
-        .withColumn("line", F.col("line") + 1)
-        .filter(F.col("value").rlike(r"\S"))
-    )
+def _parsed_records(records: DataFrame, names: list[str], full: StructType, broken: str) -> DataFrame:
+    """Cells of records, without the header of each file, which is its first record that is not empty."""
+    options = {**_CSV, "multiLine": "true", "columnNameOfCorruptRecord": broken}
+    filled = records.filter(F.col("value") != "")
+    heads = stored(filled.groupBy("path").agg(F.min_by("value", "line").alias("_head"), F.min("line").alias("_at")), "csv-headers")
+    cells = StructType([StructField(f"c{n}", StringType()) for n in range(len(names))])
+    found = F.from_csv("_head", cells.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    own = F.transform(F.array(*[found[f"c{n}"] for n in range(len(names))]), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    same = own == F.array(*[F.lit(n) for n in names])
+    checked = F.when(same, F.col("_at")).otherwise(F.raise_error(F.concat(F.lit("the header differs in "), "path")).cast("bigint"))
+    body = small_join(filled, heads.select("path", checked.alias("_at")), "path").filter(F.col("line") > F.col("_at"))
+    wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.fields)
+    return body.select(F.from_csv("value", wide, options).alias("_r")).select("_r.*")
 
 
 def read_text_lines(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
-    """Lines that are not blank, with locators; unnumbered reading splits large files."""
+    """Lines that are not blank, numbered within their file and with locators where asked for."""
     if not numbered:
         return spark.read.text(path).filter(F.col("value").rlike(r"\S"))
-    lines = _numbered_lines(spark, path)
+    lines = numbered_lines(spark, path).filter(F.col("value").rlike(r"\S"))
     return lines.withColumn("locator", line_locator(F.col("path"), F.col("line")))
 
 
@@ -137,10 +139,14 @@ def json_record_count(value: Column) -> Column:
 
 
 def read_json_records(
-    spark: SparkSession, path: str, records_field: str | None = None, schema: StructType | None = None
+    spark: SparkSession, path: str, records_field: str | None = None, schema: StructType | str | None = None, lines: bool = False
 ) -> DataFrame:
-    """Records of a JSON file: an array, an object, or an array inside an object."""
-    reader = spark.read.option("multiLine", True)
+    """Records of JSON files: an array, an object, or an array inside an object.
+
+    A document may lie over many lines, so a file is read by one task; with ``lines=True`` every line is a document and
+    files are split among tasks.
+    """
+    reader = spark.read.option("multiLine", not lines)
     frame = (reader.schema(schema) if schema is not None else reader).json(path)
     return frame if records_field is None else frame.select(F.inline(records_field))
 

@@ -1,10 +1,13 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from govgraph.functions import canonical_json_text, valid_utc_day, valid_utc_instant
 from govgraph.operators import catalog, ingest, profiling
 from govgraph.sources import catalog as catalog_source
-from govgraph.sources import files, quads, sinks
+from govgraph.sources import files, lines, quads, sinks
 from pyspark.sql import functions as F
 
 CRM = """cif_no,party_id,party_type,legal_name,country,ubo,source_updated_at
@@ -305,3 +308,81 @@ def test_append_to_partitions_and_blocks(spark, tmp_path, monkeypatch):
     other = rows.filter("k < 3").withColumn("h", F.lit("other"))
     assert sinks.append_only_sink(other, path, ["k"], "h", ["part"]).count() == 3
     assert spark.read.parquet(path).count() == 500
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_are_numbered_by_many_tasks(spark, tmp_path, tiny_splits):
+    rng = random.Random(2)
+    wanted = {}
+    for name in ("a.txt", "b.txt", "c.txt"):
+        lines = ["".join(rng.choices("ab é\t", k=rng.randrange(0, 90))) + rng.choice(["", "\r"]) for _ in range(60)]
+        (tmp_path / name).write_bytes(("\ufeff" * (name == "b.txt") + "\n".join(lines) + "\n" * (name == "c.txt")).encode())
+        wanted.update({(name, n + 1): line.removesuffix("\r") for n, line in enumerate(lines) if line.strip()})
+    got = files.read_text_lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 10
+    rows = got.collect()
+    assert {(r["path"].rsplit("/", 1)[1], r["line"]): r["value"] for r in rows} == wanted and len(rows) == len(wanted)
+    assert all(r["locator"].endswith(f"{r['line']}") for r in rows)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.txt").write_text("")
+    assert files.read_text_lines(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_jsonl_lines_keep_their_numbers_over_splits(spark, tmp_path, tiny_splits):
+    (tmp_path / "x.jsonl").write_text("\n".join(json.dumps({"k": n}) if n % 9 else "[broken" for n in range(1, 150)))
+    rows = files.read_jsonl_source(spark, str(tmp_path)).filter("malformed").collect()
+    assert sorted(r["line"] for r in rows) == list(range(9, 150, 9))
+
+
+def csv_cell(rng):
+    kind = rng.randrange(6)
+    plain = "".join(rng.choices("abc é", k=rng.randrange(0, 12)))
+    if kind == 0:
+        return plain
+    inner = "".join(rng.choices(["a", "b", ",", '""', "\n", "\r\n", " ", "é"], k=rng.choice([3, 8, 120])))
+    return f'"{inner}"' if kind < 4 else plain + rng.choice(["", 'x"y', "'"])
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, tiny_splits):
+    rng, wanted = random.Random(8), []
+    for name in ("a.csv", "b.csv"):
+        rows = [",".join(csv_cell(rng) for _ in range(3)) for _ in range(45)]
+        rows[7:7] = ["", "  ", ",,", '"","",""']
+        ending = "\r\n" if name == "b.csv" else "\n"
+        text = ending.join(["k,l m,n", *rows, ""])
+        (tmp_path / name).write_bytes(("\ufeff" + text if name == "b.csv" else text).encode())
+        wanted += [tuple(c or None for c in r) for r in list(csv.reader(io.StringIO(text, newline="")))[1:] if any(c.strip() for c in r) or len(r) > 1]
+    got = files.read_csv_source(spark, str(tmp_path), multi_line=True)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted))
+    assert lines.split_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+    one_task = spark.read.option("multiLine", True).option("escape", '"').option("header", True).csv(str(tmp_path / "a.csv"))
+    own = files.read_csv_source(spark, str(tmp_path / "a.csv"), multi_line=True)
+    assert sorted(map(str, own.collect())) == sorted(str(r) for r in one_task.collect() if r["l m"] or r["n"] or (r["k"] or "").strip() or r["k"] is None)
+
+
+def test_a_record_over_many_splits_and_other_headers(spark, tmp_path, tiny_splits):
+    cell = "\n".join(f"row {n}, and" for n in range(80))
+    (tmp_path / "a.csv").write_text(f'h1,h2\n1,"{cell}"\n2,"b"\n')
+    rows = {r["h1"]: r["h2"] for r in files.read_csv_source(spark, str(tmp_path / "a.csv"), multi_line=True).collect()}
+    assert rows == {"1": cell, "2": "b"}
+    starts = {r["value"][:2]: r["line"] for r in lines.quoted_records(spark, str(tmp_path / "a.csv")).collect()}
+    assert starts == {"h1": 1, "1,": 2, "2,": 82}
+    (tmp_path / "b.csv").write_text('h1,h3\n1,"x"\n')
+    with pytest.raises(Exception, match="header"):
+        files.read_csv_source(spark, str(tmp_path), multi_line=True).collect()
+
+
+@pytest.mark.parametrize(
+    ("line", "inside", "after"),
+    [("a,b", False, False), ('"a', False, True), ('"a""', False, True), ('"a"', False, False), ('a"b', False, False), ('x,"y', False, True),
+     ('y",z', True, False), ("still", True, True), ('y","z', True, True), ('""', True, True), ('"', True, False), (',"', False, True)],
+)
+def test_quotes_of_a_line(line, inside, after):
+    assert lines.ends_inside(line, inside) is after
