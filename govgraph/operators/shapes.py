@@ -1,8 +1,10 @@
 """Constraint validation of graphs.
 
 A shape frame has one row per constraint: ``shape, target_class, path, component,
-value, severity, message``. ``value`` is text; lists use one row per member of
-``in`` joined by U+001F.
+value, severity, message``. ``value`` is text; the members of an ``in`` list are joined by U+001F.
+
+``hasValue`` and ``in`` compare whole terms, as ``term`` writes them: an IRI in angle brackets, a literal in quotes
+with its datatype or language. A value without such marks is a plain literal.
 """
 
 from __future__ import annotations
@@ -40,6 +42,34 @@ VALUE_COMPONENTS = (
 REPORT = ["severity", "focus_node", "path", "component", "value", "message", "source_shape"]
 
 
+def term(value: str, kind: str = "literal", datatype: str | None = None, lang: str | None = None) -> str:
+    """A term as ``hasValue`` and ``in`` compare it."""
+    if kind == "iri":
+        return f"<{value}>"
+    if kind == "bnode":
+        return value if value.startswith("_:") else f"_:{value}"
+    if lang:
+        return f'"{value}"@{lang.lower()}'
+    return f'"{value}"' if datatype in (None, XSD + "string") else f'"{value}"^^<{datatype}>'
+
+
+def _term_of(value: Column) -> Column:
+    """The same for a row's value with its ``o_kind``, ``o_datatype`` and ``o_lang``."""
+    text = F.concat(F.lit('"'), value, F.lit('"'))
+    typed = F.concat(text, F.lit("^^<"), F.col("o_datatype"), F.lit(">"))
+    literal = (
+        F.when(F.coalesce(F.col("o_lang"), F.lit("")) != "", F.concat(text, F.lit("@"), F.lower("o_lang")))
+        .when(F.coalesce(F.col("o_datatype"), F.lit(XSD + "string")) != XSD + "string", typed)
+        .otherwise(text)
+    )
+    blank = F.when(value.startswith("_:"), value).otherwise(F.concat(F.lit("_:"), value))
+    return F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), value, F.lit(">"))).when(F.col("o_kind") == "bnode", blank).otherwise(literal)
+
+
+def _asked_term(text: Column) -> Column:
+    return F.when(text.rlike('^(<.*>|".*"(@.+|\\^\\^<.*>)?|_:.*)$'), text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 @dataclass(frozen=True)
 class Constraint:
     shape: str
@@ -115,7 +145,7 @@ def count_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
     # A required constant is looked for among the values of its own path only.
     required = shapes.filter("component = 'hasValue'")
     constants = required.select("path", F.col("value").alias("limit")).distinct()
-    present = small_join(_facts(triples, required), constants, "path").filter("value = limit").select(
+    present = small_join(_facts(triples, required), constants, "path").filter(_term_of(F.col("value")) == _asked_term(F.col("limit"))).select(
         "focus", "path", "limit", F.lit(True).alias("present")
     ).distinct()
     joined = asked.join(counts, ["focus", "path"], "left").join(present, ["focus", "path", "limit"], "left")
@@ -160,7 +190,7 @@ def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
         .when(component == "minInclusive", number >= bound)
         .when(component == "maxInclusive", number <= bound)
         .when(component == "pattern", F.rlike(value, limit))
-        .when(component == "in", F.array_contains(F.split(limit, LIST_SEPARATOR), value))
+        .when(component == "in", F.array_contains(F.transform(F.split(limit, LIST_SEPARATOR), _asked_term), _term_of(value)))
     )
     plain = rows.filter(component != "class").filter(~F.coalesce(met, F.lit(False)))
     classes = rows.filter(component == "class")

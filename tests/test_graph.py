@@ -271,3 +271,26 @@ def test_golden_comparison_is_exact(spark):
 def test_axioms_are_closed_over_any_chain(spark):
     closed = {tuple(r) for r in inference.subclass_closure(inference.axioms_of(b.graph(spark))).collect()}
     assert (V + "LegalEntity", V + "BusinessConcept") in closed
+
+
+def test_required_values_are_whole_terms(spark):
+    c, dec = shapes.Constraint, "http://www.w3.org/2001/XMLSchema#decimal"
+    rows = [
+        ("n1", RDF_TYPE, "T", "iri", None, None), ("n1", "p", "x", "literal", None, None), ("n1", "q", "5", "literal", None, None),
+        ("n2", RDF_TYPE, "T", "iri", None, None), ("n2", "p", "x", "iri", None, None), ("n2", "q", "5", "literal", dec, None),
+        ("n3", RDF_TYPE, "T", "iri", None, None), ("n3", "p", "x", "literal", None, "EN"), ("n3", "q", "_:b", "bnode", None, None),
+    ]
+    graph = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+
+    def broken(path, component, value):
+        frame = shapes.shape_frame(spark, [c("S", "T", path, component, value)])
+        return {r["focus_node"] for r in shapes.validate(graph, frame, infer=False).collect()}
+
+    for component in ("hasValue", "in"):
+        assert broken("p", component, "x") == {"n2", "n3"}
+        assert broken("p", component, shapes.term("x", "iri")) == {"n1", "n3"}
+        assert broken("p", component, shapes.term("x", lang="en")) == {"n1", "n2"}
+        assert broken("q", component, shapes.term("5", datatype=dec)) == {"n1", "n3"}
+        assert broken("q", component, "_:b") == {"n1", "n2"}
+    both = shapes.LIST_SEPARATOR.join([shapes.term("x", "iri"), "x"])
+    assert broken("p", "in", both) == {"n3"}
