@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from govgraph.operators.resolve import resolve_terms
 from govgraph.operators.triples import (
     ALT_LABEL,
     DEFINITION,
@@ -21,7 +22,7 @@ from govgraph.operators.triples import (
     local_name,
 )
 from govgraph.operators.violations import union_all
-from govgraph.session import small_join, stored
+from govgraph.session import salted_join, small_join, stored
 
 # Predicates that describe rather than relate.
 LABEL_PREDICATES = (RDF_TYPE, RDFS_LABEL, PREF_LABEL, ALT_LABEL, DEFINITION)
@@ -96,6 +97,21 @@ def concept_context(triples: DataFrame, iris: DataFrame, limit: int) -> DataFram
     )
 
 
+def term_context(terms: DataFrame, triples: DataFrame, limit: int, column: str = "term") -> DataFrame:
+    """The context of the concept that each term resolves to best: ``term, status, iri, score`` and the relations.
+
+    A term without a concept gives one row with status CONCEPT_NOT_FOUND. Terms of one concept share its context, which
+    is looked up once.
+    """
+    best = stored(resolve_terms(terms, triples, limit=1, column=column).select("term", "iri", "score"), "term-concepts")
+    found = concept_context(triples, best.select("iri"), limit)
+    asked = terms.select(F.col(column).alias("term")).filter("term IS NOT NULL").distinct().join(best, "term", "left")
+    status = F.when(F.col("iri").isNull(), "CONCEPT_NOT_FOUND").otherwise("OK")
+    return salted_join(asked.withColumn("status", status), found, "iri", "left").select(
+        "term", "status", "iri", "score", "rank", "direction", "subject", "predicate", "object", "object_label"
+    )
+
+
 def concept_mappings(triples: DataFrame, iris: DataFrame) -> DataFrame:
     """Mapping proposals that point at the asked concepts, with field, source and status."""
     pointing = small_join(

@@ -458,6 +458,27 @@ def _(spark, sf):
     return resolve.resolve_terms(_terms(spark, sf), bank.concept_graph(spark, sf), limit=3)
 
 
+_ASKED = _TERMS + " UNION ALL SELECT 'zzzz'"
+
+
+@registered(
+    "term_context",
+    f"""WITH RECURSIVE {resolution_sql(_ASKED, CONCEPT_LABELS, 1)},
+    sizes AS (SELECT DISTINCT '{V}' || replace(p_name, ' ', '-') AS iri, 'size-' || p_size AS size FROM part),
+    relations AS (SELECT iri, size, row_number() OVER (PARTITION BY iri ORDER BY size) AS n FROM sizes)
+    SELECT t.term, CASE WHEN r.iri IS NULL THEN 'CONCEPT_NOT_FOUND' ELSE 'OK' END AS status, r.iri AS iri, r.score AS score, v.n::int AS rank,
+      CASE WHEN v.n IS NOT NULL THEN '{V}hasSize' END AS predicate, '{V}' || v.size AS object, replace(v.size, '-', ' ') AS object_label
+    FROM terms t LEFT JOIN resolved r ON r.term = t.term LEFT JOIN relations v ON v.iri = r.iri AND v.n <= 5""",
+)
+def _(spark, sf):
+    asked = _terms(spark, sf).unionByName(spark.range(1).select(F.lit("zzzz").alias("term")))
+    slug = F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug")
+    sizes = table(spark, sf, "part").select(slug, "p_size").distinct()
+    related = triples.rows_to_triples(sizes, [triples.Mapping(V + "{slug}", V + "hasSize", iri=V + "size-{p_size}")])
+    found = context.term_context(asked, bank.concept_graph(spark, sf).unionByName(related), limit=5)
+    return found.select("term", "status", "iri", "score", "rank", "predicate", "object", "object_label")
+
+
 @registered(
     "resolve_lexical",
     f"""WITH t AS ({_TERMS}),

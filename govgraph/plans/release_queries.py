@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from govgraph.operators import golden, ledger, release, review
+from govgraph.operators import golden, ledger, publication, release, review
 from govgraph.plans.governance_queries import order_receipts
 from govgraph.plans.registry import registered, table
+from govgraph.session import scratch_path
 
 K = F.col
 
@@ -292,6 +293,31 @@ def _(spark, sf):
     return done.select("tenant_id", F.array_join("refused", ",").alias("refused"), "manifest_object", "receipt_sha256")
 
 
+@registered(
+    "publication_commits",
+    """WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey AS tenant_id FROM customer WHERE c_custkey % 3 <> 1 AND c_custkey % 5 <> 2 AND c_custkey % 7 <> 3)
+    SELECT tenant_id, CASE WHEN k % 4 = 0 THEN 3 WHEN k % 2 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN k % 4 = 0 THEN 'ROLLBACK' ELSE 'PUBLISH' END AS operation,
+      'tenants/' || tenant_id || '/ontology/releases/b' || (CASE WHEN k % 4 = 2 THEN 2 ELSE 1 END) || '-rel-' || k || '/manifest.json' AS manifest_object FROM c""",
+)
+def _(spark, sf):
+    """Two waves of releases, each request delivered twice, and a rollback of every fourth tenant."""
+    root = scratch_path(spark, "published")
+    requests = release_requests(spark, sf)
+    k = F.substring("tenant_id", 2, 20).cast("bigint")
+    for wave, who in ((1, F.lit(True)), (2, k % 2 == 0)):
+        asked = requests.filter(who).withColumn("bundle_version", F.lit(f"b{wave}"))
+        promoted = release.promote(asked.drop("gate_passed"), asked.select("tenant_id", "bundle_version", "gate_passed"))
+        twice = promoted.withColumn("expected_generation", F.lit(wave - 1).cast("bigint"))
+        publication.publish(twice.unionByName(twice), root, f"2026-06-03T00:00:0{wave}Z")
+    back = publication.releases(spark, root).filter((K("bundle_version") == "b1") & (k % 4 == 0)).select(
+        "tenant_id", "manifest_object", F.lit(2).cast("bigint").alias("expected_generation"), "publisher_subject",
+        F.lit("2026-06-04T00:00:00Z").alias("authorized_at"), F.lit("2026-06-04T00:00:01Z").alias("activated_at"),
+        F.lit("the second release is broken").alias("reason"), F.lit("OPS-1").alias("ticket"),
+    )
+    publication.roll_back(back, root)
+    return publication.active(spark, root).select("tenant_id", "generation", "operation", "manifest_object")
+
+
 # Orders as pointers: tenant = customer, generation = order key, release = order key modulo 3.
 POINTERS = """WITH p AS (SELECT 'c' || o_custkey AS tenant_id, o_orderkey AS generation, o_orderkey % 3 AS rel,
      'tenants/c' || o_custkey || '/ontology/releases/b-' || (o_orderkey % 3) || '/manifest.json' AS manifest_object,
