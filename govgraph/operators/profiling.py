@@ -195,6 +195,55 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, approx: bool =
     )
 
 
+# Standard error of a sketch of 2 ** 12 registers, and the rank error of a quantile sketch of size 200.
+DISTINCT_ERROR, RANK_ERROR = 1.04 / 64, 0.0165
+
+
+def column_sketches(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Mergeable sketches per column, to be stored per snapshot: ``column_name, record_count, non_null_count,
+    distinct_sketch, number_sketch``.
+
+    No value is shuffled: a task sends one sketch per column. Numbers are the cells that read as such.
+    """
+    names = columns or df.columns
+    cells = df.select(
+        F.inline(F.array(*[
+            F.struct(F.lit(n).alias("column_name"), F.when(_is_present(df, n), F.col(f"`{n}`").cast("string")).alias("value"))
+            for n in names
+        ]))
+    )
+    return cells.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("record_count"),
+        F.count("value").alias("non_null_count"),
+        F.hll_sketch_agg("value", F.lit(12)).alias("distinct_sketch"),
+        F.kll_sketch_agg_double(F.expr("try_cast(value AS double)"), F.lit(200)).alias("number_sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """The sketches of several snapshots as one per column; the rows themselves are not needed again."""
+    return sketches.groupBy("column_name").agg(
+        F.sum("record_count").alias("record_count"),
+        F.sum("non_null_count").alias("non_null_count"),
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+        F.kll_merge_agg_double("number_sketch").alias("number_sketch"),
+    )
+
+
+def sketched_stats(sketches: DataFrame, ranks: list[float]) -> DataFrame:
+    """Estimates with their bounds (three standard errors): ``distinct_count, distinct_bound, numbers, quantiles``."""
+    count = F.hll_sketch_estimate("distinct_sketch")
+    numbers = F.kll_sketch_get_n_double("number_sketch")
+    quantiles = F.array(*[F.kll_sketch_get_quantile_double("number_sketch", F.lit(float(r))) for r in ranks])
+    return sketches.select(
+        "column_name", "record_count", "non_null_count",
+        count.alias("distinct_count"),
+        F.ceil(count * (3 * DISTINCT_ERROR)).alias("distinct_bound"),
+        numbers.alias("numbers"),
+        F.when(numbers > 0, quantiles).alias("quantiles"),
+    )
+
+
 def pattern_stats(df: DataFrame, column: str, regex: str) -> DataFrame:
     """How many filled cells match a pattern, and the rate."""
     present, hit = _is_present(df, column), F.col(f"`{column}`").rlike(regex)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from govgraph.operators import catalog, profiling
 from govgraph.operators.ingest import media_type
 from govgraph.plans.registry import registered, table
+from govgraph.session import scratch_path
 
 # Customers with empty cells: some balances are null, some segments are empty.
 _GAPS = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
@@ -110,6 +111,38 @@ def _(spark, sf):
     return profiling.column_stats(table(spark, sf, "lineitem"), approx=True)
 
 
+@registered(
+    "column_sketches",
+    """WITH cells AS (SELECT 'l_partkey' AS column_name, l_partkey::double AS v FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity::double FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', l_extendedprice::double FROM lineitem UNION ALL SELECT 'l_returnflag', NULL FROM lineitem)
+    SELECT column_name, count(*) AS record_count, CASE column_name WHEN 'l_returnflag' THEN (SELECT count(DISTINCT l_returnflag) FROM lineitem) ELSE count(DISTINCT v) END AS exact_count,
+      TRUE AS distinct_within, CASE WHEN column_name <> 'l_returnflag' THEN TRUE END AS ranks_within FROM cells GROUP BY column_name""",
+)
+def _(spark, sf):
+    """Sketches of two parts of a table, stored and merged, against exact counts and ranks."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    path = scratch_path(spark, "sketches")
+    for part in (0, 1):
+        own = lines.filter(F.pmod(F.xxhash64("l_partkey", "l_extendedprice"), F.lit(2)) == part)
+        profiling.column_sketches(own).withColumn("snapshot", F.lit(part)).write.mode("append").parquet(path)
+    ranks = [0.1, 0.5, 0.9]
+    found = profiling.sketched_stats(profiling.merged_sketches(spark.read.parquet(path)), ranks)
+    cells = lines.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), F.col(c).try_cast("double").alias("v")) for c in lines.columns
+    ])))
+    exact = cells.groupBy("column_name").agg(F.countDistinct("value").alias("exact_count"))
+    at = found.select("column_name", F.posexplode("quantiles").alias("n", "q"))
+    met = cells.filter("v IS NOT NULL").join(F.broadcast(at), "column_name").groupBy("column_name", "n").agg(
+        F.avg((F.col("v") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("q")).cast("double")).alias("upto")
+    )
+    rank = F.array(*[F.lit(r) for r in ranks])[F.col("n")]
+    inside = (F.col("below") <= rank + profiling.RANK_ERROR) & (F.col("upto") >= rank - profiling.RANK_ERROR)
+    checked = met.groupBy("column_name").agg(F.bool_and(inside).alias("ranks_within"))
+    close = F.abs(F.col("distinct_count") - F.col("exact_count")) <= F.col("distinct_bound")
+    joined = found.join(exact, "column_name").join(checked, "column_name", "left")
+    return joined.select("column_name", "record_count", "exact_count", close.alias("distinct_within"), "ranks_within")
+
+
 @registered(
     "pattern_stats",
     f"""SELECT count(c_mktsegment) AS non_null_count, count(*) FILTER (regexp_matches(c_mktsegment, '^[A-M][A-Z]+$')) AS match_count,

@@ -25,7 +25,7 @@ from govgraph.functions import (
     valid_utc_instant,
 )
 from govgraph.operators import ingest
-from govgraph.operators.triples import RESOURCE, VOCAB
+from govgraph.operators.triples import RESOURCE, VOCAB, Mapping, rows_to_triples
 from govgraph.plans.registry import registered, table
 from govgraph.session import scratch_path
 from govgraph.sources import files, quads, sinks
@@ -157,6 +157,21 @@ def _(spark, sf):
     return inventory.filter("method IS NOT NULL OR NOT valid")
 
 
+@registered(
+    "dump_tree",
+    f"""WITH l AS (SELECT sha256('<{R}account-' || o_orderkey || '> <{V}ownedBy> <{R}entity-' || o_custkey || '> .') AS h, count(*) AS n FROM orders GROUP BY 1),
+    leaves AS (SELECT substr(h, 1, 2) AS prefix, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS digest, sum(n)::bigint AS rows FROM l GROUP BY 1),
+    nodes AS (SELECT substr(prefix, 1, 1) AS prefix, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest, sum(rows)::bigint AS rows FROM leaves GROUP BY 1)
+    SELECT 2 AS level, * FROM leaves UNION ALL SELECT 1, * FROM nodes
+    UNION ALL SELECT 0, '', sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)), sum(rows)::bigint FROM nodes""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "dump")
+    mapping = Mapping(R + "account-{o_orderkey}", V + "ownedBy", iri=R + "entity-{o_custkey}")
+    quads.write_nquads(rows_to_triples(table(spark, sf, "orders"), [mapping]), path, depth=2)
+    return quads.dump_tree(spark, path)
+
+
 @registered(
     "nquads_round_trip",
     f"""SELECT p, o_kind, count(*) AS n, count(o_lang) AS with_lang, count(o_datatype) AS with_datatype, min(o) AS low, max(o) AS high FROM (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govgraph.operators.merkle import differing_leaves, differing_rows, hash_tree, root_digest, tree_depth
+
 # Fixed value: one statement of the line format; groups are subject, predicate,
 # object, graph.
 STATEMENT = (
@@ -100,6 +102,44 @@ def format_nquads(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", *parts, F.lit(".")).alias("value"))
 
 
-def write_nquads(triples: DataFrame, path: str) -> None:
-    """Sorted statement lines; the range sort keeps the write parallel."""
+# Beside the lines of a dump, hidden from readers: the hash tree over them.
+TREE = "_hash_tree"
+
+
+def write_nquads(triples: DataFrame, path: str, depth: int | None = None) -> None:
+    """Sorted statement lines; the range sort keeps the write parallel. A hash tree over the lines as they were written
+    is kept with them."""
     format_nquads(triples).orderBy("value").write.mode("errorifexists").text(path)
+    lines = _line_hashes(triples.sparkSession, path)
+    hash_tree(lines, tree_depth(lines.count()) if depth is None else depth).write.parquet(f"{path}/{TREE}")
+
+
+def _line_hashes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.sha2("value", 256).alias("h"))
+
+
+def dump_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The hash tree that was written with a dump."""
+    return spark.read.parquet(f"{path}/{TREE}")
+
+
+def dump_digest(spark: SparkSession, path: str) -> str | None:
+    """One digest of all lines of a dump, whatever their order and files; null for an empty one."""
+    return root_digest(dump_tree(spark, path))
+
+
+def damaged_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Leaves of the tree that the lines do not match any more; none for a dump as it was written."""
+    kept = dump_tree(spark, path)
+    depth = kept.agg(F.max("level")).first()[0] or 1
+    return differing_leaves(kept, hash_tree(_line_hashes(spark, path), depth), depth)
+
+
+def changed_lines(spark: SparkSession, path: str, other: str) -> DataFrame:
+    """Hashes of the lines in which two dumps differ, found down the trees, with their counts."""
+    left, right = dump_tree(spark, path), dump_tree(spark, other)
+    depth = left.agg(F.max("level")).first()[0] or 1
+    if (right.agg(F.max("level")).first()[0] or 1) != depth:
+        right = hash_tree(_line_hashes(spark, other), depth)
+    leaves = differing_leaves(left, right, depth)
+    return differing_rows(_line_hashes(spark, path), _line_hashes(spark, other), leaves, depth)

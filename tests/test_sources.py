@@ -386,3 +386,27 @@ def test_a_record_over_many_splits_and_other_headers(spark, tmp_path, tiny_split
 )
 def test_quotes_of_a_line(line, inside, after):
     assert lines.ends_inside(line, inside) is after
+
+
+def test_a_changed_line_is_found_down_the_tree(spark, tmp_path):
+    columns = "s string, p string, o string, o_kind string, o_datatype string, o_lang string"
+    rows = [(f"urn:{n}", "urn:p", f"v{n % 50}", "literal", None, None) for n in range(400)] + [("urn:x", "urn:p", "same", "literal", None, None)] * 300
+    first, second = str(tmp_path / "a"), str(tmp_path / "b")
+    quads.write_nquads(spark.createDataFrame(rows, columns), first, depth=2)
+    quads.write_nquads(spark.createDataFrame(rows[::-1], columns).repartition(3), second, depth=2)
+    assert quads.dump_digest(spark, first) == quads.dump_digest(spark, second)
+    assert quads.changed_lines(spark, first, second).collect() == [] and quads.damaged_parts(spark, first).collect() == []
+    changed = [*rows[:7], (*rows[7][:2], "new", *rows[7][3:]), *rows[8:-1]]
+    third = str(tmp_path / "c")
+    quads.write_nquads(spark.createDataFrame(changed, columns), third, depth=3)
+    assert quads.dump_digest(spark, first) != quads.dump_digest(spark, third)
+    found = sorted((r["left_count"], r["right_count"]) for r in quads.changed_lines(spark, first, third).collect())
+    assert found == [(0, 1), (1, 0), (300, 299)]
+    part = next((tmp_path / "a").glob("part-*.txt"))
+    text = part.read_text()
+    part.write_text(text.replace(text.splitlines()[0], "<urn:forged> <urn:p> <urn:q> ."))
+    (tmp_path / "a" / f".{part.name}.crc").unlink(missing_ok=True)
+    assert 1 <= quads.damaged_parts(spark, first).count() <= 2
+    empty = str(tmp_path / "none")
+    quads.write_nquads(spark.createDataFrame([], columns), empty)
+    assert quads.dump_digest(spark, empty) is None and quads.damaged_parts(spark, empty).collect() == []
