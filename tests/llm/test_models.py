@@ -102,6 +102,34 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_and_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, other = rng.normal(size=8).tolist(), rng.normal(size=8).tolist()
+    close = [x + 0.001 for x in base]
+    rows = [(1, 0, base), (1, 0, base), (2, 0, close), (3, 0, other)]
+    rows += [(100 + k, 1, base) for k in range(500)] + [(700 + k, 1, rng.normal(size=8).tolist()) for k in range(60)]
+    rows += [(100, 1, base)] * 50 + [(900, 1, close), (5, 2, base), (5, 2, other), (6, 2, close), (7, 2, other), (8, 3, base), (8, 3, close)]
+    monkeypatch.setattr(near_vectors, "SHARD_VECTORS", 128)
+    monkeypatch.setattr(near_vectors, "QUERY_VECTORS", 200)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(df).collect())
+    single = {(i, label, tuple(v)) for i, label, v in rows}
+    unit = {r: np.array(r[2]) / np.linalg.norm(r[2]) for r in single}
+    links = {(a, b) for a in single for b in single if a[1] == b[1] and a[0] != b[0] and unit[a] @ unit[b] >= 0.98}
+    count, parent = {}, {i: i for i, _, _ in rows}
+    for a, b in links:
+        count[a[0]] = count.get(a[0], 0) + 1
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(parent[a[0]], parent[b[0]])
+            changed |= parent[a[0]] != low or parent[b[0]] != low
+            parent[a[0]] = parent[b[0]] = low
+    assert got == sorted((i, count.get(i, 0), parent[i], parent[i] == i) for i, _, _ in rows)
+    assert count[1] == 1 and count[2] == 1 and count[900] == 500
+
+
 def test_graph_search_finds_what_reading_all_finds():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 24)).astype(np.float32)
