@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from govgraph.functions.text import nfkc
 
@@ -31,8 +32,37 @@ def canonical_struct(fields: dict[str, Column]) -> Column:
     return F.struct(*[fields[name].alias(name) for name in sorted(fields)])
 
 
+def finite(column: Column, kind: DataType) -> Column:
+    """The value as it is; the job fails where a number in it, at any depth, is not finite, since JSON has none such."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        odd = F.isnan(column) | (F.abs(column) == float("inf"))
+        return F.when(odd, F.raise_error(F.lit("a number that is not finite has no canonical form")).cast(kind)).otherwise(column)
+    if isinstance(kind, ArrayType) and _has_floats(kind):
+        return F.transform(column, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType) and _has_floats(kind):
+        return F.transform_values(column, lambda _, v: finite(v, kind.valueType))
+    if isinstance(kind, StructType) and _has_floats(kind):
+        inner = F.struct(*[finite(column[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(column.isNotNull(), inner)
+    return column
+
+
+def _has_floats(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _has_floats(kind.elementType)
+    return _has_floats(kind.valueType) if isinstance(kind, MapType) else isinstance(kind, (DoubleType, FloatType))
+
+
+def canonical_row_sha256(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The canonical hash of columns of ``df``; numbers that are not finite are refused."""
+    names = columns or df.columns
+    return canonical_sha256({c: finite(F.col(f"`{c}`"), df.schema[c].dataType) for c in names})
+
+
 def canonical_json(struct: Column) -> Column:
-    """JSON of a canonical struct: no white space, explicit nulls kept."""
+    """JSON of a canonical struct: no white space, explicit nulls kept. Floating-point numbers go through ``finite`` first."""
     return F.to_json(struct, {"ignoreNullFields": "false"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govgraph.functions.paths import parse_object_path
 from govgraph.operators.violations import findings, rule_array
 
+# Fixed value: the most bytes that an upload of the registered queries may have.
 MAX_OBJECT_BYTES = 20 * 1024 * 1024
 # Media types that can be profiled.
 SUPPORTED_MEDIA_TYPES = (
@@ -24,16 +25,17 @@ def media_type(content_type: Column) -> Column:
     return F.lower(F.substring_index(content_type, ";", 1))
 
 
-def quarantine(objects: DataFrame, max_bytes: int = MAX_OBJECT_BYTES) -> DataFrame:
+def quarantine(objects: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Route arriving objects to QUEUED, QUARANTINED (with reason) or IGNORED.
 
     Needs ``object_name, size_bytes, content_type, metadata_tenant``. Size is checked
-    first (1 to ``max_bytes``), then the media type, then the tenant in the metadata.
+    first (at least 1, at most ``max_bytes`` where given), then the media type, then the tenant in the metadata.
     """
     parsed = objects.withColumn("_path", parse_object_path(F.col("object_name"))).select(
         *objects.columns, "_path.*"
     )
-    good_size = F.coalesce(F.col("size_bytes").between(1, max_bytes), F.lit(False))
+    size = F.col("size_bytes")
+    good_size = F.coalesce(size >= 1 if max_bytes is None else size.between(1, max_bytes), F.lit(False))
     good_type = F.coalesce(
         media_type(F.col("content_type")).isin(*SUPPORTED_MEDIA_TYPES), F.lit(False)
     )

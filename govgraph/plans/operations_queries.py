@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govgraph.operators import executions, registry
+from govgraph.operators.ingest import MAX_OBJECT_BYTES
 from govgraph.operators.proposals import PROPOSAL_KINDS
 from govgraph.plans.governance import (
     EVALUATED_AT,
@@ -125,7 +126,7 @@ def _(spark, sf):
     landing = stored(uploaded_objects(spark, sf), "landing")
     queue, rejected = scratch_path(spark, "queue"), scratch_path(spark, "rejected")
     stream = jobs.table_stream(spark, landing.inputFiles()[0].rsplit("/", 1)[0], landing.schema)
-    jobs.stream_objects(stream, queue, rejected, scratch_path(spark, "offsets")).awaitTermination()
+    jobs.stream_objects(stream, queue, rejected, scratch_path(spark, "offsets"), MAX_OBJECT_BYTES).awaitTermination()
     both = jobs.read_batches(spark, queue).unionByName(jobs.read_batches(spark, rejected))
     return both.select("doc_id", "reason", "status")
 

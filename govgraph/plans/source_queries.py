@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from govgraph.functions.digest import canonical_row_sha256
 from govgraph.functions import (
     canonical_json_text,
     canonical_sha256,
@@ -328,7 +329,7 @@ QUARANTINE = (
 
 @registered("quarantine", QUARANTINE + " SELECT doc_id, reason, status FROM routed")
 def _(spark, sf):
-    return ingest.quarantine(uploaded_objects(spark, sf)).select("doc_id", "reason", "status")
+    return ingest.quarantine(uploaded_objects(spark, sf), ingest.MAX_OBJECT_BYTES).select("doc_id", "reason", "status")
 
 
 @registered(
@@ -354,6 +355,18 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", canonical_sha256(fields).alias("hash"))
 
 
+@registered(
+    "canonical_row_hash",
+    """SELECT p_partkey, sha256('{"p_partkey":' || p_partkey || ',"sizes":[' || p_size || '.5,null],"weight":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE p_size || '.25' END || '}') AS hash FROM part""",
+)
+def _(spark, sf):
+    size = F.col("p_size").cast("double")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.when(F.col("p_partkey") % 3 != 0, size + 0.25).alias("weight"), F.array(size + 0.5, F.lit(None)).alias("sizes")
+    )
+    return rows.select("p_partkey", canonical_row_sha256(rows).alias("hash"))
+
+
 @registered(
     "canonical_json",
     """SELECT event_id, '{"a":{"k":' || event_id || ',"z":null},"event":"' || event_type || '","props":' || replace(props, ' ', '') || '}' AS canonical FROM events""",

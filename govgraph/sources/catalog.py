@@ -61,9 +61,12 @@ JDBC_QUERIES = {
 
 
 def read_catalog(
-    spark: SparkSession, json_path: str | None = None, jdbc_options: dict | None = None
+    spark: SparkSession, json_path: str | None = None, jdbc_options: dict | None = None, queries: dict[str, str] | None = None
 ) -> dict[str, DataFrame]:
-    """The five row sets plus ``header`` (snapshot only), one DataFrame each."""
+    """The five row sets plus ``header`` (snapshot only), one DataFrame each.
+
+    ``queries`` replaces single entries of ``JDBC_QUERIES`` for servers that need another form of them.
+    """
     if json_path is not None:
         snapshot = spark.read.option("multiLine", True).schema(CATALOG_SCHEMA).json(json_path)
         sets = {name: snapshot.select(F.inline(name)) for name in ROW_SETS}
@@ -72,10 +75,12 @@ def read_catalog(
     if jdbc_options is None:
         raise ValueError("read_catalog needs a snapshot path or JDBC options")
 
+    asked = {**JDBC_QUERIES, **(queries or {})}
+
     def query(name: str) -> DataFrame:
-        return (
-            spark.read.format("jdbc").options(**jdbc_options).option("query", JDBC_QUERIES[name]).load()
-        )
+        rows = spark.read.format("jdbc").options(**jdbc_options).option("query", asked[name]).load()
+        # Servers fold the case of names differently.
+        return rows.toDF(*[c.lower() for c in rows.columns])
 
     from govgraph.operators.catalog import key_columns
 

@@ -61,11 +61,11 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     return writer.trigger(availableNow=True).start()
 
 
-def stream_objects(objects: DataFrame, queue: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """Route arriving objects to a queue table and a quarantine table."""
+def stream_objects(objects: DataFrame, queue: str, rejected: str, checkpoint: str, max_bytes: int | None = None) -> StreamingQuery:
+    """Route arriving objects to a queue table and a quarantine table; ``max_bytes`` bounds them where given."""
 
     def work(batch: DataFrame, number: int) -> None:
-        queued, quarantined = split_quarantine(quarantine(batch))
+        queued, quarantined = split_quarantine(quarantine(batch, max_bytes))
         _write_batch(queued, queue, number)
         _write_batch(quarantined, rejected, number)
 

@@ -4,7 +4,8 @@ import json
 import random
 
 import pytest
-from govgraph.functions import canonical_json_text, valid_utc_day, valid_utc_instant
+from govgraph.functions import canonical_json_text, canonical_sha256, valid_utc_day, valid_utc_instant
+from govgraph.functions.digest import canonical_row_sha256
 from govgraph.operators import catalog, ingest, profiling
 from govgraph.sources import catalog as catalog_source
 from govgraph.sources import files, lines, quads, sinks
@@ -410,3 +411,63 @@ def test_a_changed_line_is_found_down_the_tree(spark, tmp_path):
     empty = str(tmp_path / "none")
     quads.write_nquads(spark.createDataFrame([], columns), empty)
     assert quads.dump_digest(spark, empty) is None and quads.damaged_parts(spark, empty).collect() == []
+
+
+def test_catalog_over_jdbc(spark):
+    """A server with the standard views, held in memory by the driver of the tests."""
+    url = "jdbc:derby:memory:catalog;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    run = connection.createStatement().execute
+    text = "VARCHAR(60)"
+    views = {
+        "schemata": ("schema_name", [("sales",), ("pg_catalog",), ("information_schema",)]),
+        "tables": ("table_schema,table_name,table_type", [("sales", "orders", "BASE TABLE"), ("sales", "lines", "BASE TABLE"), ("pg_catalog", "x", "VIEW")]),
+        "columns": (
+            "table_schema,table_name,column_name,ordinal_position,data_type,is_nullable",
+            [("sales", "orders", "tenant", 1, "text", "NO"), ("sales", "orders", "id", 2, "bigint", "NO"), ("sales", "lines", "tenant", 1, "text", "NO"),
+             ("sales", "lines", "order_id", 2, "bigint", "YES"), ("pg_catalog", "x", "y", 1, "text", "YES")],
+        ),
+        "key_column_usage": (
+            "table_schema,table_name,constraint_schema,constraint_name,column_name,ordinal_position,position_in_unique_constraint",
+            # Out of order, and the referenced columns in another order than those that point at them.
+            [("sales", "orders", "sales", "pk_o", "id", 2, None), ("sales", "orders", "sales", "pk_o", "tenant", 1, None),
+             ("sales", "lines", "sales", "fk_l", "order_id", 1, 2), ("sales", "lines", "sales", "fk_l", "tenant", 2, 1)],
+        ),
+        "table_constraints": (
+            "table_name,constraint_schema,constraint_name,constraint_type",
+            [("orders", "sales", "pk_o", "PRIMARY KEY"), ("lines", "sales", "fk_l", "FOREIGN KEY"), ("lines", "sales", "ck", "CHECK")],
+        ),
+        "referential_constraints": (
+            "constraint_schema,constraint_name,unique_constraint_schema,unique_constraint_name", [("sales", "fk_l", "sales", "pk_o")],
+        ),
+    }
+    run("CREATE SCHEMA information_schema")
+    for name, (columns, rows) in views.items():
+        kinds = [f"{c} {'INT' if 'position' in c else text}" for c in columns.split(",")]
+        run(f"CREATE TABLE information_schema.{name} ({', '.join(kinds)})")
+        for row in rows:
+            shown = ["NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row]
+            run(f"INSERT INTO information_schema.{name} VALUES ({', '.join(shown)})")
+    tables = "SELECT table_schema, table_name, table_type, CAST(7 AS BIGINT) AS row_estimate FROM information_schema.tables WHERE table_schema <> 'pg_catalog'"
+    sets = catalog_source.read_catalog(spark, jdbc_options={"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, queries={"tables": tables})
+    assert [r["schema_name"] for r in sets["schemas"].collect()] == ["sales"]
+    assert sorted(r["table_name"] for r in sets["tables"].collect()) == ["lines", "orders"] and sets["columns"].count() == 4
+    key = sets["primary_keys"].first()
+    assert (key["table_name"], key["column_names"]) == ("orders", ["tenant", "id"])
+    foreign = sets["foreign_keys"].first()
+    assert (foreign["column_names"], foreign["referenced_table"], foreign["referenced_columns"]) == (["order_id", "tenant"], "orders", ["id", "tenant"])
+    connection.close()
+
+
+def test_numbers_that_are_not_finite_have_no_hash(spark):
+    kinds = "a double, b array<struct<x: float, t: string>>, m map<string, double>, n int"
+    good = spark.createDataFrame([(1.5, [(0.5, "NaN"), None], {"k": 2.0}, 3), (None, None, None, None)], kinds)
+    hashes = [r[0] for r in good.select(canonical_row_sha256(good)).collect()]
+    assert len(set(hashes)) == 2 and None not in hashes
+    same = good.select(canonical_sha256({c: F.col(c) for c in good.columns}))
+    assert [r[0] for r in same.collect()] == hashes
+    nan, inf = float("nan"), float("inf")
+    for row in [(nan, [], {}, 1), (1.0, [(-inf, "t")], {}, 1), (1.0, [], {"k": nan}, 1)]:
+        bad = spark.createDataFrame([row], kinds)
+        with pytest.raises(Exception, match="not finite"):
+            bad.select(canonical_row_sha256(bad)).collect()
