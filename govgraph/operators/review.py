@@ -183,9 +183,8 @@ def review_queue(
     """The views of one page; proposals whose run is not bound are left out."""
     ids = review_page(proposals, after, page)
     cursor = ids.select("tenant_id", "proposal_id", "next_cursor")
-    needed = runs.join(
-        F.broadcast(ids.select("tenant_id", "verification_run_id")), ["tenant_id", "verification_run_id"], "left_semi"
-    )
+    # A page per tenant grows with the tenants: the size that is found at run time decides how it is joined.
+    needed = runs.join(ids.select("tenant_id", "verification_run_id"), ["tenant_id", "verification_run_id"], "left_semi")
     views = review_view(approval_eligibility(bind_review(ids, needed), ascii_only))
     return views.join(cursor, ["tenant_id", "proposal_id"])
 

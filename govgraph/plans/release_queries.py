@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from govgraph.operators import golden, ledger, publication, release, review
 from govgraph.plans.governance_queries import order_receipts
 from govgraph.plans.registry import registered, table
-from govgraph.session import scratch_path
+from govgraph.session import scratch_path, stored
 
 K = F.col
 
@@ -89,7 +89,10 @@ def _built(spark, sf):
     )
 
 
-@registered("ledger_build_violations", LEDGER + " SELECT rule, tenant_id || '/b1/' || proposal_id AS key FROM broken")
+BUILD_FINDINGS = LEDGER + " SELECT rule, tenant_id || '/b1/' || proposal_id AS key FROM broken"
+
+
+@registered("ledger_build_violations", BUILD_FINDINGS)
 def _(spark, sf):
     return _built(spark, sf)["violations"].select("rule", "key")
 
@@ -138,15 +141,14 @@ def _(spark, sf):
     return ledger.ledger_violations(headers, bundle_manifests(spark, sf), decisions, states, "publish").select("rule", "key")
 
 
-@registered(
-    "reviewer_violations",
-    """WITH d AS (SELECT o_orderkey AS k, 't' || (o_custkey % 3) || '/b1/p' || o_orderkey AS key, o_orderkey % 2 = 0 AS human FROM orders)
+REVIEWER_FINDINGS = """WITH d AS (SELECT o_orderkey AS k, 't' || (o_custkey % 3) || '/b1/p' || o_orderkey AS key, o_orderkey % 2 = 0 AS human FROM orders)
     SELECT t.r AS rule, key FROM d, LATERAL (VALUES (CASE WHEN k % 5 = 1 THEN 'REVIEWER_IS_GENERATOR' END), (CASE WHEN k % 7 = 2 THEN 'VERIFIER_IS_GENERATOR' END),
       (CASE WHEN human AND k % 3 = 0 THEN 'HUMAN_ROLE' END), (CASE WHEN human AND k % 11 = 4 AND k % 5 <> 1 AND k % 7 <> 2 THEN 'HUMAN_IS_VERIFIER' WHEN human AND k % 5 = 1 AND k % 7 = 2 THEN 'HUMAN_IS_VERIFIER' END),
       (CASE WHEN NOT human AND k % 3 <> 0 THEN 'MODEL_ROLE' END), (CASE WHEN NOT human AND NOT (k % 11 = 4 AND k % 5 <> 1 AND k % 7 <> 2) AND NOT (k % 5 = 1 AND k % 7 = 2) THEN 'MODEL_IS_NOT_VERIFIER' END),
-      (CASE WHEN k % 13 = 5 THEN 'REVIEW_TIME' END)) AS t(r) WHERE t.r IS NOT NULL""",
-)
-def _(spark, sf):
+      (CASE WHEN k % 13 = 5 THEN 'REVIEW_TIME' END)) AS t(r) WHERE t.r IS NOT NULL"""
+
+
+def reviewer_findings(spark, sf):
     k = K("o_orderkey")
     decisions = table(spark, sf, "orders").select(
         F.concat(F.lit("t"), K("o_custkey") % 3).alias("tenant_id"),
@@ -164,14 +166,18 @@ def _(spark, sf):
     return ledger.reviewer_violations(decisions).select("rule", "key")
 
 
-@registered(
-    "artifact_chain_violations",
+registered("reviewer_violations", REVIEWER_FINDINGS)(reviewer_findings)
+
+
+CHAIN_FINDINGS = (
     LEDGER
     + """ SELECT rule, tenant_id || '/b1/' || proposal_id AS key FROM broken WHERE rule NOT IN ('RECEIPT_INVALID', 'ONTOLOGY_VERSION', 'STATUS_DIFFERS_FROM_MAPPING', 'REVIEWER_ROLE')
       UNION ALL SELECT 'CITED_PROPOSAL_DIGEST', tenant_id || '/b1/' || proposal_id FROM m WHERE k % 7 <> 6 AND k % 47 = 3
-      UNION ALL SELECT 'CITED_VERIFICATION_DIGEST', tenant_id || '/b1/' || proposal_id FROM m WHERE k % 7 <> 6 AND k % 29 = 5""",
+      UNION ALL SELECT 'CITED_VERIFICATION_DIGEST', tenant_id || '/b1/' || proposal_id FROM m WHERE k % 7 <> 6 AND k % 29 = 5"""
 )
-def _(spark, sf):
+
+
+def chain_findings(spark, sf):
     k = F.substring("proposal_id", 2, 20).cast("bigint")
     decisions = mapping_table(spark, sf).filter(k % 7 != 6).select(
         "tenant_id",
@@ -185,6 +191,9 @@ def _(spark, sf):
     return ledger.artifact_chain_violations(decisions, order_artifacts(spark, sf)).select("rule", "key")
 
 
+registered("artifact_chain_violations", CHAIN_FINDINGS)(chain_findings)
+
+
 def _golden_sides(spark, sf):
     """Order totals per priority as golden rows; some actual rows were changed or lost."""
     k = K("o_orderkey")
@@ -318,6 +327,49 @@ def _(spark, sf):
     return publication.active(spark, root).select("tenant_id", "generation", "operation", "manifest_object")
 
 
+@registered(
+    "gate_to_pointer",
+    f"""WITH a AS ({BUILD_FINDINGS}), b AS ({REVIEWER_FINDINGS}), c AS ({CHAIN_FINDINGS}),
+    f AS (SELECT CAST(substr(split_part(key, '/', 3), 2) AS BIGINT) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)),
+    v AS (SELECT o_custkey, count(*) AS n FROM f JOIN orders ON o_orderkey = k GROUP BY 1),
+    g AS (SELECT 'c' || o_custkey AS tenant_id, o_custkey, coalesce(max(v.n), 0) AS violations, count(*) AS mapping_count, CASE WHEN o_custkey % 6 = 2 THEN 4 ELSE 5 END AS golden_passed
+      FROM orders LEFT JOIN v USING (o_custkey) GROUP BY o_custkey)
+    SELECT tenant_id, violations, mapping_count, golden_passed, violations = 0 AND golden_passed = 5 AS gate_passed, CASE WHEN violations = 0 AND golden_passed = 5 THEN 1 END AS generation FROM g""",
+)
+def _(spark, sf):
+    """Every customer as a tenant: findings of ledger, reviewers and artifact chains, golden results, gate, promotion, pointer."""
+    customer = F.concat(F.lit("c"), "o_custkey").alias("tenant_id")
+    owners = table(spark, sf, "orders").select(F.concat(F.lit("p"), "o_orderkey").alias("proposal_id"), customer)
+    bundle = F.lit("b1").alias("bundle_version")
+    found = _built(spark, sf)["violations"].select("rule", "key").unionByName(reviewer_findings(spark, sf)).unionByName(chain_findings(spark, sf))
+    findings = found.withColumn("proposal_id", F.element_at(F.split("key", "/"), 3)).join(owners, "proposal_id").select(
+        "tenant_id", bundle, "rule", "key", F.lit(None).cast("string").alias("detail")
+    )
+    states = mapping_table(spark, sf).drop("tenant_id").join(owners, "proposal_id")
+    tenants = owners.select("tenant_id").distinct()
+    manifests = tenants.select(
+        "tenant_id", bundle, F.lit("CANDIDATE").alias("state"), F.lit("DEMO_ONLY").alias("serving_mode"), F.lit(False).alias("is_published")
+    )
+    number = F.substring("tenant_id", 2, 20).cast("bigint")
+    results = tenants.select("tenant_id", bundle, F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).select(
+        "tenant_id", "bundle_version", F.format_string("CQ-%03d", K("n")).alias("question_id"),
+        F.when((number % 6 == 2) & (K("n") == 3), "FAIL").otherwise("PASS").alias("derived_status"),
+    )
+    totals = golden.golden_summary(results, ["tenant_id", "bundle_version"])
+    gate = stored(release.publication_gate(manifests, "candidate", states, totals, [findings]), "gate")
+    requests = tenants.select(
+        "tenant_id", bundle, F.lit("1.0").alias("ontology_version"), F.lit("publisher").alias("publisher_subject"),
+        F.lit("2026-06-01T00:00:00Z").alias("authorized_at"), F.lit("2026-06-02T00:00:00Z").alias("published_at"),
+        F.sha2("tenant_id", 256).alias("release_sha"), F.concat(F.lit("rel-"), "tenant_id").alias("release_id"),
+        F.sha2(F.lit("manifest"), 256).alias("source_manifest_sha256"), F.sha2(F.lit("ledger"), 256).alias("review_ledger_sha256"),
+    )
+    promoted = release.promote(requests, gate).withColumn("expected_generation", F.lit(0).cast("bigint"))
+    root = scratch_path(spark, "published")
+    publication.publish(promoted, root, "2026-06-03T00:00:00Z")
+    now = publication.active(spark, root).select("tenant_id", "generation")
+    return gate.join(now, "tenant_id", "left").select("tenant_id", "violations", "mapping_count", "golden_passed", "gate_passed", "generation")
+
+
 # Orders as pointers: tenant = customer, generation = order key, release = order key modulo 3.
 POINTERS = """WITH p AS (SELECT 'c' || o_custkey AS tenant_id, o_orderkey AS generation, o_orderkey % 3 AS rel,
      'tenants/c' || o_custkey || '/ontology/releases/b-' || (o_orderkey % 3) || '/manifest.json' AS manifest_object,
