@@ -22,6 +22,8 @@ from govgraph.streaming.state import LEASE_OUTPUT, LeaseProcessor, first_deliver
 
 # How long an execution is remembered after its last change.
 KEEP_SECONDS = 30 * 24 * 3600
+# How many buckets leases are dealt into: a batch pays for each bucket it touches and for the leases in it.
+LEASE_BUCKETS = 512
 
 
 def object_stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -131,16 +133,22 @@ def stream_verification(
 
 
 def lease_stream(
-    events: DataFrame, delay: str = "10 minutes", lease_seconds: int = LEASE_SECONDS, keep_seconds: int = KEEP_SECONDS
+    events: DataFrame,
+    delay: str = "10 minutes",
+    lease_seconds: int = LEASE_SECONDS,
+    keep_seconds: int = KEEP_SECONDS,
+    buckets: int = LEASE_BUCKETS,
 ) -> DataFrame:
     """Claim, completion and failure events to what each of them did, and leases that ran out.
 
     ``events`` has ``execution_id, seq, kind`` (CLAIM, COMPLETED or FAILED) and ``at``. Events later than
     ``delay`` behind the newest are dropped. When the watermark passes the end of a lease, a row LEASE_OVER says so
-    without any event; ``keep_seconds`` after an execution's last change its state is freed.
+    without any event; ``keep_seconds`` after an execution's last change its state is freed. Executions are dealt into ``buckets``; a batch
+    reads and writes the buckets of its own executions.
     """
     use_rocksdb(events)
-    return events.withWatermark("at", delay).groupBy("execution_id").transformWithStateInPandas(
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("execution_id"), F.lit(buckets)).cast("int"))
+    return dealt.withWatermark("at", delay).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=LeaseProcessor(lease_seconds, keep_seconds),
         outputStructType=LEASE_OUTPUT,
         outputMode="Append",

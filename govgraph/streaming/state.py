@@ -74,7 +74,9 @@ _KINDS = ("CLAIM", "COMPLETED", "FAILED")
 class LeaseProcessor(StatefulProcessor):
     """Claims per execution: RUNNING until completed, failed or out of lease.
 
-    One timer per key counts: the end of the lease while it runs, afterwards the end of ``keep_seconds``.
+    A key is a bucket of executions, so that state and rows are exchanged once per bucket and batch, not per execution.
+    Of each execution one moment counts: the end of the lease while it runs, afterwards the end of ``keep_seconds``.
+    One timer per bucket stands for the earliest of these.
     """
 
     def __init__(self, lease_seconds: int, keep_seconds: int):
@@ -82,27 +84,33 @@ class LeaseProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("lease", "status string, attempts int, started_at double, timer bigint")
+        held = "execution_id string, status string, attempts int, started_at double, due bigint"
+        self.state = handle.getListState("leases", held)
 
-    def _store(self, status: str, attempts: int, started: float, timer: int, before: int | None) -> None:
-        # A timer that another one replaced is left to fire and is not heeded then: that is cheaper than to delete it.
-        if before != timer:
-            self.handle.registerTimer(timer)
-        self.state.update((status, int(attempts), float(started), int(timer)))
+    def _store(self, held: dict[str, tuple], fired: int | None = None) -> None:
+        if not held:
+            self.state.clear()
+            return
+        self.state.put([(key, *row) for key, row in held.items()])
+        # A timer fires once the watermark is past it. One that an earlier end has replaced fires too and finds nothing due.
+        due = min(row[3] for row in held.values())
+        self.handle.registerTimer(due if due - 1 == fired else due - 1)
+
+    def _held(self) -> dict[str, tuple]:
+        return {row[0]: tuple(row[1:]) for row in self.state.get()}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Three numbers per event are kept of a batch, however wide its rows are.
-        at, seq, kind = [], [], []
-        for batch in rows:
-            at.append(batch["at"].astype("datetime64[us]").astype("int64").to_numpy())
-            seq.append(batch["seq"].to_numpy())
-            kind.append(batch["kind"].map(_KINDS.index).to_numpy(dtype=np.int8))
-        at, seq, kind = np.concatenate(at), np.concatenate(seq), np.concatenate(kind)
-        status, attempts, started, timer = self.state.get() or (None, 0, 0.0, None)
-        out, last = [], None
-        for k in np.lexsort((seq, at)):
-            moment, what = at[k] / 1e6, _KINDS[kind[k]]
-            prior, claimed = status, False
+        # Four values per event are kept of a batch, however wide its rows are.
+        events = pd.concat([batch[["execution_id", "at", "seq", "kind"]] for batch in rows], ignore_index=True)
+        moments = events["at"].astype("datetime64[us]").astype("int64")
+        order = np.lexsort((events["seq"].to_numpy(), moments.to_numpy()))
+        columns = (events["execution_id"], moments, events["seq"], events["kind"])
+        held, out = self._held(), []
+        for execution, micros, seq, what in zip(*[c.to_numpy()[order].tolist() for c in columns], strict=True):
+            status, attempts, started, due = held.get(execution, (None, 0, 0.0, None))
+            if what not in _KINDS:
+                raise ValueError(f"an event has the unknown kind {what}")
+            moment, prior, claimed = micros / 1e6, status, False
             if what == "CLAIM":
                 live = status == "RUNNING" and moment - started < self.lease
                 claimed = status != "COMPLETED" and not live
@@ -110,23 +118,28 @@ class LeaseProcessor(StatefulProcessor):
                     status, attempts, started = "RUNNING", attempts + 1, moment
             elif status is not None and status != "COMPLETED":
                 status = what
-            last = moment
-            out.append((key[0], int(seq[k]), what, claimed, prior, status, attempts))
-        if status is not None:
-            ends = started + self.lease if status == "RUNNING" else last + self.keep
-            self._store(status, attempts, started, int(ends * 1000), timer)
+            if status is not None:
+                ends = started + self.lease if status == "RUNNING" else moment + self.keep
+                held[execution] = (status, attempts, started, int(ends * 1000))
+            out.append((execution, seq, what, claimed, prior, status, attempts))
+        self._store(held)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, started, timer = self.state.get() or (None, 0, 0.0, None)
-        if timer != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        if status == "RUNNING":
-            # Claimable from now on; later claims count on from these attempts until the key is forgotten.
-            self._store("EXPIRED", attempts, started, timer + 1000 * self.keep, None)
-            yield self._frame([(key[0], None, "LEASE_OVER", False, "RUNNING", "EXPIRED", attempts)])
-        else:
-            self.state.clear()
+        held, over = self._held(), []
+        now = timerValues.getCurrentWatermarkInMs()
+        for execution, (status, attempts, started, due) in list(held.items()):
+            if due > now:
+                continue
+            if status == "RUNNING":
+                # Claimable from now on; later claims count on from these attempts until the execution is forgotten.
+                held[execution] = ("EXPIRED", attempts, started, due + 1000 * self.keep)
+                over.append((execution, None, "LEASE_OVER", False, "RUNNING", "EXPIRED", attempts))
+            else:
+                del held[execution]
+        self._store(held, expiredTimerInfo.getExpiryTimeInMs())
+        if over:
+            yield self._frame(over)
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:

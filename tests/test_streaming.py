@@ -163,3 +163,13 @@ def test_closure_equals_brute_force(spark):
     edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "s string, o string")
     assert {(int(r["s"]), int(r["o"])) for r in patterns.path_closure(edges).collect()} == reach
     assert patterns.path_closure(edges.filter("1 = 0")).collect() == []
+
+
+def test_executions_of_one_bucket_keep_their_own_leases(spark, tmp_path):
+    """All executions share a bucket and its timer; one completes, one fails, two run out at different times."""
+    first = [("a", 1, "CLAIM", 0), ("b", 1, "CLAIM", 100), ("c", 1, "CLAIM", 0), ("d", 1, "CLAIM", 0), ("c", 2, "COMPLETED", 60), ("d", 2, "FAILED", 60)]
+    later = [("z", 1, "CLAIM", 7_000)], [("z", 2, "CLAIM", 7_100), ("d", 3, "CLAIM", 7_100)]
+    got = leases(spark, tmp_path, [first, *later], delay="10 minutes", buckets=1)
+    over = sorted(row for row in got if row[2] == "LEASE_OVER")
+    assert over == [("a", None, "LEASE_OVER", False, "EXPIRED", 1), ("b", None, "LEASE_OVER", False, "EXPIRED", 1)]
+    assert ("d", 3, "CLAIM", True, "RUNNING", 2) in got and ("c", 2, "COMPLETED", False, "COMPLETED", 1) in got
