@@ -22,7 +22,7 @@ from govgraph.operators.triples import (
     local_name,
 )
 from govgraph.operators.violations import union_all
-from govgraph.session import salted_join, small_join, stored
+from govgraph.session import grown, salted_join, small_join, stored
 
 # Predicates that describe rather than relate.
 LABEL_PREDICATES = (RDF_TYPE, RDFS_LABEL, PREF_LABEL, ALT_LABEL, DEFINITION)
@@ -133,20 +133,11 @@ def mapping_lookup(triples: DataFrame, ids: DataFrame) -> DataFrame:
     names = union_all([
         typed.select("s", F.col("s").alias("id")),
         typed.select("s", local_name(F.col("s")).alias("id")),
-        named.join(typed.distinct(), "s", "left_semi"),
+        named.join(grown(typed.distinct()), "s", "left_semi"),
     ])
     return small_join(names, ids.select("id").distinct(), "id").groupBy("id").agg(F.min("s").alias("s"))
 
 
-def resource_lookup(triples: DataFrame, ids: DataFrame) -> DataFrame:
-    """Asked ids to resources: mappings by any of their names first, else the subject with that IRI."""
-    mappings = mapping_lookup(triples, ids)
-    rest = ids.select("id").distinct().join(mappings, "id", "left_anti")
-    subjects = triples.select(F.col("s").alias("id"))
-    plain = rest.join(subjects, "id", "left_semi").select("id", F.col("id").alias("s"))
-    return mappings.unionByName(plain)
-
-
 def explain(triples: DataFrame, ids: DataFrame, facts_shown: int | None = None) -> DataFrame:
     """Ordered explanation steps of the asked ids: ``id, step, statement, evidence_iri``.
 
@@ -154,24 +145,31 @@ def explain(triples: DataFrame, ids: DataFrame, facts_shown: int | None = None)
     its locator. A resource without any of these, mapping or not, gives its facts besides labels and
     types, the first ``facts_shown`` of them where that is given.
     """
-    asked = resource_lookup(triples, ids)
-    facts = small_join(triples, asked.select("id", "s"), "s")
+    mappings = mapping_lookup(triples, ids)
+    rest = ids.select("id").distinct().join(grown(mappings), "id", "left_anti")
+    # An id that is no subject finds no facts below, so it needs no look at all subjects here.
+    asked = stored(mappings.select("id", "s").unionByName(rest.select("id", F.col("id").alias("s"))), "asked")
+    # Steps name their predicates, so only their columns or folders are read.
+    facts = small_join(triples.filter(F.col("p").isin(*STEP_PREDICATES, EVIDENCE)), asked, "s")
     kind = F.lit(None).cast("int")
     for i, p in enumerate(STEP_PREDICATES):
         kind = F.when(F.col("p") == p, i).otherwise(kind)
     kind = F.when((F.col("p") == EVIDENCE) & (F.col("o_kind") == "iri"), len(STEP_PREDICATES)).otherwise(kind)
-    ranked = facts.withColumn("_kind", kind)
+    ranked = stored(facts.withColumn("_kind", kind).filter("_kind IS NOT NULL").select("id", "_kind", "p", "o"), "ranked")
     evidence = ranked.filter(F.col("_kind") == len(STEP_PREDICATES))
-    cited = triples.join(evidence.select(F.col("o").alias("s")).distinct(), "s", "left_semi")
-    cards = labels(cited).join(
-        cited.filter(F.col("p") == LOCATOR).groupBy("s").agg(F.min("o").alias("locator")), "s", "left"
-    )
+    described = triples.filter(F.col("p").isin(PREF_LABEL, RDFS_LABEL, LOCATOR))
+    cited = small_join(described, evidence.select(F.col("o").alias("s")).distinct(), "s", "left_semi")
+
+    def one(predicate: str) -> Column:
+        return F.min(F.when(F.col("p") == predicate, F.col("o")))
+
+    cards = cited.groupBy("s").agg(F.coalesce(one(PREF_LABEL), one(RDFS_LABEL)).alias("label"), one(LOCATOR).alias("locator"))
     fact_text = F.concat(local_name(F.col("p")), F.lit(" = "), F.col("o"))
     none = F.lit(None).cast("string")
     plain = ranked.filter(F.col("_kind") < len(STEP_PREDICATES)).select(
         "id", "_kind", "p", "o", fact_text.alias("statement"), none.alias("evidence_iri")
     )
-    cited_rows = evidence.join(cards.withColumnRenamed("s", "o"), "o", "left").select(
+    cited_rows = small_join(evidence, cards.withColumnRenamed("s", "o"), "o", "left").select(
         "id",
         "_kind",
         "p",
@@ -184,9 +182,11 @@ def explain(triples: DataFrame, ids: DataFrame, facts_shown: int | None = None)
         F.col("o").alias("evidence_iri"),
     )
     steps = plain.unionByName(cited_rows)
-    bare = asked.select("id").join(steps.select("id").distinct(), "id", "left_anti")
+    # Only resources without steps are looked up in the whole graph.
+    bare = stored(asked.join(grown(ranked.select("id").distinct()), "id", "left_anti"), "bare")
     first = Window.partitionBy("id").orderBy("p", "o")
-    told = ranked.join(bare, "id", "left_semi").filter(~F.col("p").isin(RDF_TYPE, RDFS_LABEL, PREF_LABEL))
+    other = ~F.col("p").isin(*STEP_PREDICATES, RDF_TYPE, RDFS_LABEL, PREF_LABEL)
+    told = small_join(triples.filter(other).select("s", "p", "o"), bare, "s")
     if facts_shown is not None:
         told = told.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= facts_shown)
     others = (
@@ -213,7 +213,7 @@ def _numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     offsets = counts.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(key, "_range").orderBy(*order)
     numbered = kept.withColumn("_local", F.row_number().over(inside))
-    return numbered.join(offsets, [key, "_range"]).withColumn(
+    return numbered.join(grown(offsets), [key, "_range"]).withColumn(
         "step", (F.col("_offset") + F.col("_local")).cast("int")
     )
 

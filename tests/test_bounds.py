@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from govgraph.session import small_join
 from govgraph.operators import context, patterns, profiling, registry, review
 from govgraph.operators.triples import PREF_LABEL, RDF_TYPE
 from govgraph.session import local_frame
@@ -90,3 +91,11 @@ def test_pages_and_lists_are_per_tenant(spark):
     assert len(rest) == 20 and {r["next_cursor"] for r in rest} == {None}
     counts = registry.counts_by(waiting, "status", ("HUMAN_REVIEW", "APPROVED"))
     assert rows(counts) == [("t1", "APPROVED", 0), ("t1", "HUMAN_REVIEW", 70), ("t2", "APPROVED", 0), ("t2", "HUMAN_REVIEW", 70)]
+
+
+def test_a_side_beyond_the_bound_is_never_broadcast(spark):
+    """Sizes of compressed files are no reason: the rows would have to fit on the driver."""
+    rows = spark.range(50).selectExpr("id AS k", "id AS v")
+    joined = small_join(rows, rows.select("k"), "k", max_rows=10)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50
