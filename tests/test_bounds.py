@@ -3,10 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from govgraph.session import small_join
-from govgraph.operators import context, patterns, profiling, registry, review
+from govgraph.operators import context, patterns, profiling, registry, review, shapes
 from govgraph.operators.triples import PREF_LABEL, RDF_TYPE
-from govgraph.session import local_frame
+from govgraph.session import local_frame, small_join
 from govgraph.sources import files, sinks
 
 
@@ -99,3 +98,14 @@ def test_a_side_beyond_the_bound_is_never_broadcast(spark):
     joined = small_join(rows, rows.select("k"), "k", max_rows=10)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 50
+
+
+def test_validation_stores_only_the_classes_that_shapes_ask_for(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(shapes, "stored", lambda df, name: kept.append(df) or df)
+    rows = [("a", RDF_TYPE, "Account"), ("a", RDF_TYPE, "Other"), ("b", RDF_TYPE, "Person"), ("a", "owner", "b"), ("a", "owner", "c")]
+    graph = spark.createDataFrame([(s, p, o, "iri", None, None) for s, p, o in rows], "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    frame = shapes.shape_frame(spark, [shapes.Constraint("S", "Account", "owner", "class", "Person")])
+    report = shapes.validate(graph, frame, local_frame(spark, [], "s string, p string, o string"))
+    assert [(r["focus_node"], r["value"]) for r in report.collect()] == [("a", "c")]
+    assert sorted(r["cls"] for r in kept[0].collect()) == ["Account", "Person"]
