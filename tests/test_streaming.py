@@ -173,3 +173,11 @@ def test_executions_of_one_bucket_keep_their_own_leases(spark, tmp_path):
     over = sorted(row for row in got if row[2] == "LEASE_OVER")
     assert over == [("a", None, "LEASE_OVER", False, "EXPIRED", 1), ("b", None, "LEASE_OVER", False, "EXPIRED", 1)]
     assert ("d", 3, "CLAIM", True, "RUNNING", 2) in got and ("c", 2, "COMPLETED", False, "COMPLETED", 1) in got
+
+
+def test_first_deliveries_in_any_order_need_no_worker(spark, tmp_path):
+    from govgraph.streaming.state import first_deliveries
+
+    stream = jobs.table_stream(spark, str(tmp_path), "k string, v long")
+    plan = first_deliveries(stream, ["k"])._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
