@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from govgraph.functions.paths import line_locator
 from govgraph.session import small_join, stored
-from govgraph.sources.lines import BOM, numbered_lines, quoted_records
+from govgraph.sources.lines import BOM, content_lines, numbered_lines, quoted_records
 
 PDF_SIGNATURE = b"%PDF-"
 
@@ -100,8 +100,17 @@ def read_text_lines(spark: SparkSession, path: str, numbered: bool = True) -> Da
     """Lines that are not blank, numbered within their file and with locators where asked for."""
     if not numbered:
         return spark.read.text(path).filter(F.col("value").rlike(r"\S"))
-    lines = numbered_lines(spark, path).filter(F.col("value").rlike(r"\S"))
-    return lines.withColumn("locator", line_locator(F.col("path"), F.col("line")))
+    return _located(numbered_lines(spark, path))
+
+
+def _located(lines: DataFrame) -> DataFrame:
+    kept = lines.filter(F.col("value").rlike(r"\S"))
+    return kept.withColumn("locator", line_locator(F.col("path"), F.col("line")))
+
+
+def packed_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the objects of packs, each numbered from 1."""
+    return _located(content_lines(spark.read.schema(PACK).parquet(path)))
 
 
 def jsonl_records(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -156,9 +165,28 @@ def read_objects(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
+    return _described(reader.load(path))
+
+
+# Many objects in few files: the rows of Spark's binaryFile reader, kept as Parquet.
+PACK = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def write_packs(objects: DataFrame, path: str) -> None:
+    """``path, modificationTime, content`` of objects as packs, one file per task instead of one per object."""
+    rows = objects.select("path", "modificationTime", F.octet_length("content").cast("bigint").alias("length"), "content")
+    rows.write.mode("append").parquet(path)
+
+
+def read_packed_objects(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_objects`` for the objects of packs."""
+    return _described(spark.read.schema(PACK).parquet(path))
+
+
+def _described(found: DataFrame) -> DataFrame:
     ending = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
     media = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
-    return reader.load(path).select(
+    return found.select(
         "path",
         "modificationTime",
         F.col("length").alias("byte_size"),

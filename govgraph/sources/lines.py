@@ -47,9 +47,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     met = rows.join(F.broadcast(bases), ["path", "split"], "left") if is_small(splits) else salted_join(rows, bases, ["path", "split"], "left")
     checked = F.when(F.col("_base").isNull(), F.raise_error(F.lit("the splits of a file changed while it was read")).cast("bigint"))
     line = (F.col("order") + checked.otherwise(F.col("_base")) + 1).cast("int")
-    return met.select("path", line.alias("line"), "value").select(
-        "path", "line", F.regexp_replace(_without_bom(F.col("value"), F.col("line")), r"\r\z", "").alias("value")
-    )
+    return _trimmed(met.select("path", line.alias("line"), "value"))
+
+
+def _trimmed(lines: DataFrame) -> DataFrame:
+    value = F.regexp_replace(_without_bom(F.col("value"), F.col("line")), r"\r\z", "")
+    return lines.select("path", "line", value.alias("value"))
+
+
+def content_lines(objects: DataFrame) -> DataFrame:
+    """``path, line, value`` of every line of ``path, content`` rows, as ``numbered_lines`` gives them for files."""
+    text = F.col("content").cast("string")
+    # A line end at the end of the content begins no further line.
+    whole = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).when(text != "", text)
+    found = objects.select("path", F.posexplode(F.split(whole, "\n")).alias("_at", "value"))
+    return _trimmed(found.select("path", (F.col("_at") + 1).alias("line"), "value"))
 
 
 def ends_inside(line: str, inside: bool) -> bool:

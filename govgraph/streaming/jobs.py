@@ -17,6 +17,7 @@ from govgraph.operators.executions import HEAD_KEY, LEASE_SECONDS, moved_heads
 from govgraph.operators.ingest import quarantine, split_quarantine
 from govgraph.operators.verification import verification_runs
 from govgraph.session import stored
+from govgraph.sources.files import PACK
 from govgraph.streaming.segments import active, lookup, merge, newest, segments, write_segment
 from govgraph.streaming.state import LEASE_OUTPUT, LeaseProcessor, first_deliveries, use_rocksdb
 
@@ -32,8 +33,16 @@ def object_stream(spark: SparkSession, path: str, glob: str | None = None) -> Da
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    arrived = reader.schema(schema).load(path)
-    return arrived.select("path", "modificationTime", F.col("length").alias("size_bytes"))
+    return _arrivals(reader.schema(schema).load(path))
+
+
+def packed_object_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The objects of arriving packs as the same rows; a pack's column of contents is not read."""
+    return _arrivals(table_stream(spark, path, PACK, files_per_batch))
+
+
+def _arrivals(objects: DataFrame) -> DataFrame:
+    return objects.select("path", "modificationTime", F.col("length").alias("size_bytes"))
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:

@@ -471,3 +471,41 @@ def test_numbers_that_are_not_finite_have_no_hash(spark):
         bad = spark.createDataFrame([row], kinds)
         with pytest.raises(Exception, match="not finite"):
             bad.select(canonical_row_sha256(bad)).collect()
+
+
+def test_objects_of_packs_are_those_of_files(spark, tmp_path):
+    contents = {"a.pdf": b"%PDF-1.4 x\n\ny", "b.txt": "﻿hé\r\n \nlast\r".encode(), "c.txt": b"\n", "d.bin": b"\xff\n\xfe\n", "e.txt": b""}
+    (tmp_path / "files").mkdir()
+    for name, content in contents.items():
+        (tmp_path / "files" / name).write_bytes(content)
+    found = spark.read.format("binaryFile").load(str(tmp_path / "files"))
+    packs = str(tmp_path / "packs")
+    files.write_packs(found.coalesce(1), packs)
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 1
+    columns = ["path", "byte_size", "sha256", "media_type", "has_pdf_signature"]
+    wanted = files.read_objects(spark, str(tmp_path / "files")).select(*columns)
+    assert {tuple(r) for r in files.read_packed_objects(spark, packs).select(*columns).collect()} == {tuple(r) for r in wanted.collect()}
+
+    def rows(lines):
+        return sorted((r["path"].rsplit("/", 1)[1], r["line"], r["value"], r["locator"].rsplit("/", 1)[1]) for r in lines.collect())
+
+    assert rows(files.packed_text_lines(spark, packs)) == rows(files.read_text_lines(spark, str(tmp_path / "files")))
+
+
+@pytest.mark.parametrize("name", ["objects", "numbered_lines", "stream_arrivals"])
+def test_documents_are_not_written_one_file_each(spark, name, monkeypatch):
+    import __spark_entry__ as entry
+    from govgraph.plans import operations_queries, source_queries
+
+    made = []
+
+    def seen(*args):
+        made.append(source(*args))
+        return made[-1]
+
+    source = source_queries.document_packs
+    monkeypatch.setattr(source_queries, "document_packs", seen)
+    monkeypatch.setattr(operations_queries, "document_packs", seen)
+    assert entry.queries()[name](spark, entry.SMOKE_DIR).count() > 0
+    documents = spark.read.parquet(f"{entry.SMOKE_DIR}/documents.parquet")
+    assert len(spark.read.parquet(made[0]).inputFiles()) < documents.count() / 10
