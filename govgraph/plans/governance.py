@@ -108,6 +108,11 @@ def order_runs(spark: SparkSession, sf: str) -> DataFrame:
     return verification.verification_runs(order_proposals(spark, sf), order_outcomes(spark, sf), EVALUATED_AT)
 
 
+def order_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What is waiting for review: ``tenant_id, proposal_id, status`` of all orders, without hashing their runs."""
+    return verification.proposal_updates(order_runs(spark, sf)).select("tenant_id", "proposal_id", "status")
+
+
 def reviewable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Proposals and runs under review.
 

@@ -17,6 +17,7 @@ from govgraph.plans.governance import (
     order_outcomes,
     order_proposals,
     order_runs,
+    order_states,
     reviewable,
 )
 from govgraph.plans.graph_queries import CONCEPT_LABELS
@@ -392,9 +393,8 @@ def _(spark, sf):
     + """ SELECT tenant_id, count(*) FILTER (valid) AS pending_count, count(*) FILTER (NOT valid) AS abstained_count, count(*) FILTER (k % 2 = 0) AS receipt_count FROM v GROUP BY tenant_id""",
 )
 def _(spark, sf):
-    own, _runs = reviewable(spark, sf)
     receipts = order_outcomes(spark, sf).select("tenant_id")
-    return review.queue_counts(own, receipts)
+    return review.queue_counts(order_states(spark, sf), receipts)
 
 
 def order_decisions(spark, sf):

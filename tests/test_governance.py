@@ -305,3 +305,21 @@ def test_require_empty(spark):
     require_empty(spark.createDataFrame([], schema), "nothing")
     with pytest.raises(ViolationError, match="R k"):
         require_empty(spark.createDataFrame([("R", "k", None)], schema), "found")
+
+
+def test_queue_counts_store_no_runs(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from govgraph.plans import governance
+
+    def refused(*_):
+        raise AssertionError("states need no hashed runs")
+
+    monkeypatch.setattr(governance, "stored", refused)
+    assert entry.queries()["queue_counts"](spark, entry.SMOKE_DIR).count() == 3
+
+
+def test_decisions_repeat_no_state_per_salt(spark):
+    import __spark_entry__ as entry
+
+    recorded = entry.queries()["record_decisions"](spark, entry.SMOKE_DIR)
+    assert "_salt" not in recorded._jdf.queryExecution().optimizedPlan().toString()
