@@ -17,7 +17,7 @@ from govgraph.operators.verification import (
     run_sha256,
 )
 from govgraph.operators.violations import rule_array
-from govgraph.session import salted_join
+from govgraph.session import grown, stored
 
 POINTERS = ("verification_run_sha256", "frozen_proposal_sha256", "frozen_evidence_index_sha256")
 DECISIONS = {"APPROVED": "APPROVED", "ABSTAINED": "ABSTAINED", "REVIEW_REQUIRED": "HUMAN_REVIEW"}
@@ -224,8 +224,9 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
     staged = decisions.withColumn("rationale_sha256", F.sha2(text, 256)).withColumn("_valid", _holds(valid))
     content = F.struct("decision", "rationale_sha256", "reviewer")
     staged = staged.withColumn("_content", content)
-    stored = receipts.select(*key, F.struct("decision", "rationale_sha256", "reviewer").alias("_stored"))
-    state = eligible.select(
+    receipted = receipts.select(*key, F.struct("decision", "rationale_sha256", "reviewer").alias("_stored"))
+    # Written once: it is looked up before the first decision is known and after.
+    state = stored(eligible.select(
         *key,
         "bound",
         "eligible",
@@ -235,10 +236,7 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
         "verification_run_id",
         "policy_version",
         "active_ontology_version",
-    ).withColumnRenamed("status", "run_status")
-    # Everything known per proposal is put together first and then looked up once.
-    asked = staged.select(*key).distinct()
-    lookup = asked.join(stored, key, "left").join(state.withColumn("_known", F.lit(True)), key, "left")
+    ).withColumnRenamed("status", "run_status"), "review-state").withColumn("_known", F.lit(True))
     refused = (
         F.when(~F.col("_valid"), "INVALID_COMMAND")
         .when(F.col("_stored").isNotNull() & (F.col("_stored") != F.col("_content")), "DIFFERENT_RECEIPT_EXISTS")
@@ -248,7 +246,10 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
         .when(~_holds(F.col("bound") & (F.col("run_status") == "HUMAN_REVIEW")), "NOT_HASH_BOUND")
         .when((F.col("decision") == "APPROVED") & ~_holds(F.col("eligible")), "NOT_ELIGIBLE")
     )
-    judged = salted_join(staged, lookup, key, "left").withColumn("_refused", refused)
+    # The joins and the aggregate below share one dealing by key; a proposal with very many deliveries is on
+    # the side that adaptive skew joins split, and nothing is repeated for it.
+    asked = staged.join(grown(receipted), key, "left")
+    judged = asked.join(grown(state), key, "left").withColumn("_refused", refused)
     # Only a decision that would leave a receipt stands in the way of later ones. The earliest is found by
     # a plain aggregate, so a proposal with very many deliveries is combined before the shuffle.
     moment = F.struct("arrival", "request_id", "_content", F.array_sort("roles").alias("roles"), "rationale")
@@ -256,7 +257,7 @@ def record_decisions(decisions: DataFrame, eligible: DataFrame, receipts: DataFr
         F.min_by("_content", moment).alias("_first"),
         F.min(moment).alias("_first_at"),
     )
-    joined = salted_join(judged, first, key, "left")
+    joined = judged.join(grown(first), key, "left")
     is_first = moment.eqNullSafe(F.col("_first_at"))
     different = F.col("_stored").isNull() & (F.col("_first") != F.col("_content"))
     reason = F.coalesce("_refused", F.when(different, "DIFFERENT_DECISION_FIRST"))
