@@ -104,7 +104,13 @@ def types_of(triples: DataFrame, supers: DataFrame | None = None) -> DataFrame:
 def targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
     """``(shape, focus)`` for every instance of a target class."""
     wanted = shapes.select("shape", F.col("target_class").alias("cls")).distinct()
-    return small_join(types, wanted, "cls").select("shape", F.col("node").alias("focus")).distinct()
+    return small_join(_of_classes(types, wanted), wanted, "cls").select("shape", F.col("node").alias("focus")).distinct()
+
+
+def _of_classes(types: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Types of the classes that shapes name (``wanted(cls)``), as literals: they reach the scans, below all shuffles."""
+    names = sorted(r[0] for r in wanted.select("cls").distinct().collect() if r[0] is not None)
+    return types.filter(F.col("cls").isin(*names)) if names else types.filter(F.lit(False))
 
 
 def _default_message(component: Column, value: Column) -> Column:
@@ -194,7 +200,8 @@ def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
     )
     plain = rows.filter(component != "class").filter(~F.coalesce(met, F.lit(False)))
     classes = rows.filter(component == "class")
-    members = types.select(F.col("node").alias("value"), F.col("cls").alias("limit"))
+    asked = wanted.filter("component = 'class'").select(F.col("value").alias("cls"))
+    members = _of_classes(types, asked).select(F.col("node").alias("value"), F.col("cls").alias("limit"))
     outside = classes.join(members, ["value", "limit"], "left_anti")
     columns = ["severity", "focus", "path", "component", "value", "message", "shape", "limit"]
     # A value stated twice is reported once.
