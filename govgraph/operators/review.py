@@ -181,7 +181,11 @@ def review_queue(
     proposals: DataFrame, runs: DataFrame, after: str | None = None, page: int = 25, ascii_only: bool = False
 ) -> DataFrame:
     """The views of one page; proposals whose run is not bound are left out."""
-    ids = review_page(proposals, after, page)
+    return page_views(review_page(proposals, after, page), runs, ascii_only)
+
+
+def page_views(ids: DataFrame, runs: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """The views of a page that ``review_page`` found, with its ``next_cursor``."""
     cursor = ids.select("tenant_id", "proposal_id", "next_cursor")
     # A page per tenant grows with the tenants: the size that is found at run time decides how it is joined.
     needed = runs.join(ids.select("tenant_id", "verification_run_id"), ["tenant_id", "verification_run_id"], "left_semi")

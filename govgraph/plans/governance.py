@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from govgraph.operators import executions, proposals, review, verification
 from govgraph.plans.registry import table
-from govgraph.session import spread, stored
+from govgraph.session import small_join, spread, stored
 
 EVALUATED_AT = "2026-07-01T00:00:00Z"
 K = F.col
@@ -104,8 +104,13 @@ def order_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return verification.verification_runs(order_proposals(spark, sf), order_outcomes(spark, sf), EVALUATED_AT)
+def order_runs(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
+    """Runs of all orders, or of those ``asked(tenant_id, proposal_id)`` for."""
+    made, outcomes = order_proposals(spark, sf), order_outcomes(spark, sf)
+    if asked is not None:
+        key = ["tenant_id", "proposal_id"]
+        made, outcomes = (small_join(df, asked.select(*key), key, "left_semi") for df in (made, outcomes))
+    return verification.verification_runs(made, outcomes, EVALUATED_AT)
 
 
 def order_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,13 +118,13 @@ def order_states(spark: SparkSession, sf: str) -> DataFrame:
     return verification.proposal_updates(order_runs(spark, sf)).select("tenant_id", "proposal_id", "status")
 
 
-def reviewable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Proposals and runs under review.
+def reviewable(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Proposals and runs under review, of all orders or of those that ``asked`` names.
 
     Runs of keys with remainder 0 by four pass all gates. By ten, remainder 3 has a
     pointer that is not the run's and remainder 7 a run changed after hashing.
     """
-    runs = order_runs(spark, sf)
+    runs = order_runs(spark, sf, asked)
     k = F.substring("proposal_id", 2, 20).cast("bigint")
     passed = F.transform(
         "gate_results",

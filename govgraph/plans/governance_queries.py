@@ -23,6 +23,7 @@ from govgraph.plans.governance import (
 from govgraph.plans.graph_queries import CONCEPT_LABELS
 from govgraph.plans.registry import registered, table
 from govgraph.plans.resolution import resolution_sql
+from govgraph.session import stored
 
 
 def document_snapshots(spark, sf):
@@ -383,8 +384,11 @@ def _(spark, sf):
     SELECT tenant_id, proposal_id, reasons = '' AS eligible, CASE WHEN found > 60 THEN last_id END AS next_cursor FROM page WHERE bound""",
 )
 def _(spark, sf):
-    own, runs = reviewable(spark, sf)
-    return review.review_queue(own, runs, after="p1", page=60, ascii_only=True).select("tenant_id", "proposal_id", "eligible", "next_cursor")
+    # The page is found among the states of all proposals; only its own runs are hashed and checked.
+    page = stored(review.review_page(stored(order_states(spark, sf), "review-states"), after="p1", page=60), "review-page")
+    own, runs = reviewable(spark, sf, page)
+    ids = own.join(page.drop("status"), ["tenant_id", "proposal_id"])
+    return review.page_views(ids, runs, ascii_only=True).select("tenant_id", "proposal_id", "eligible", "next_cursor")
 
 
 @registered(
