@@ -39,7 +39,8 @@ def check_header(names: list[str], most: int | None = None, longest: int | None
     return trimmed
 
 
-_CSV = {"escape": '"', "encoding": "UTF-8"}
+# A quote is escaped by a quote alone; unset, a null character before a quote would count as an escape too.
+_CSV = {"escape": '"', "charToEscapeQuoteEscaping": '"', "encoding": "UTF-8"}
 
 
 def read_csv_source(

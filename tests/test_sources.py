@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import io
 import json
 import random
@@ -7,6 +8,7 @@ import pytest
 from govgraph.functions import canonical_json_text, canonical_sha256, valid_utc_day, valid_utc_instant
 from govgraph.functions.digest import canonical_row_sha256
 from govgraph.operators import catalog, ingest, profiling
+from govgraph.plans.suite import QUERIES
 from govgraph.sources import catalog as catalog_source
 from govgraph.sources import files, lines, quads, sinks
 from pyspark.sql import functions as F
@@ -368,6 +370,17 @@ def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, tiny_splits)
     assert sorted(map(str, own.collect())) == sorted(str(r) for r in one_task.collect() if r["l m"] or r["n"] or (r["k"] or "").strip() or r["k"] is None)
 
 
+def test_empty_texts_nulls_and_null_characters_go_through_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\n1,"\x00"\n2,"a""\x00""b"\n3,"\x00""x"\n')
+    rows = {r["h1"]: r["h2"] for r in files.read_csv_source(spark, str(tmp_path / "a.csv"), multi_line=True).collect()}
+    assert rows == {"1": "\x00", "2": 'a"\x00"b', "3": '\x00"x'}
+    texts = [None, "", " ", '""', '"\x00"', "a\r\nb", "\n", "\\"]
+    docs = [(n, text, [None, "", "en"][n % 3]) for n, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {(str(n), lang, None if text is None else hashlib.sha256(text.encode()).hexdigest()) for n, text, lang in docs}
+    assert {tuple(r) for r in QUERIES["csv_source"](spark, str(tmp_path)).collect()} == wanted
+
+
 def test_a_record_over_many_splits_and_other_headers(spark, tmp_path, tiny_splits):
     cell = "\n".join(f"row {n}, and" for n in range(80))
     (tmp_path / "a.csv").write_text(f'h1,h2\n1,"{cell}"\n2,"b"\n')
