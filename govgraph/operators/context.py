@@ -79,10 +79,11 @@ def concept_context(triples: DataFrame, iris: DataFrame, limit: int) -> DataFram
         incoming.select(*columns, F.lit("in").alias("direction")),
     ])
     order = Window.partitionBy("iri").orderBy("p", "s", "o", "direction")
-    top = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    # Only the objects that are shown need a label.
+    # At most ``limit`` rows per asked concept, used for the answer and its labels.
+    top = stored(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit), "context")
+    # Only the objects that are shown need a label: a few triples are kept before any is moved.
     shown = top.filter("o_kind = 'iri'").select(F.col("o").alias("s")).distinct()
-    names = labels(triples.join(shown, "s", "left_semi")).select(
+    names = labels(small_join(triples.filter(F.col("p").isin(PREF_LABEL, RDFS_LABEL)), shown, "s", "left_semi")).select(
         F.col("s").alias("o"), F.col("label").alias("_label")
     )
     fallback = F.translate(local_name(F.col("o")), "-_", "  ")
