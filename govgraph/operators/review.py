@@ -55,23 +55,26 @@ def bind_review(proposals: DataFrame, runs: DataFrame) -> DataFrame:
         & (evidence_index_sha256() == F.col("frozen_evidence_index_sha256"))
         & gates_ok
     )
-    checked = runs.withColumn("_run_ok", _holds(run_ok))
+    def pointers() -> Column:
+        # 32 bytes stand for the three texts of 64 letters, which hold no separator where the run is in order.
+        return F.unhex(F.sha2(F.concat(*[x for c in POINTERS for x in (F.lit("\x1f"), F.col(c))]), 256))
+
+    checked = runs.withColumn("_run_ok", _holds(run_ok)).withColumn("_run_pointers", pointers())
     renamed = {c: f"proposal_{c}" for c in (*POINTERS, "status")}
     own = proposals.select(
         "tenant_id",
         "proposal_id",
         "verification_run_id",
         *[F.col(c).alias(n) for c, n in renamed.items()],
+        pointers().alias("_pointers"),
         *[c for c in ("last_review_receipt_id", "human_decision") if c in proposals.columns],
     )
-    # One run per proposal: the join keys hold no hot value.
+    # One run per proposal: the join keys hold no hot value. What only the checks read stays where it is.
     joined = own.join(
         checked.withColumnRenamed("proposal_id", "_run_proposal"), ["tenant_id", "verification_run_id"], "left"
     )
-    pointers_ok = F.col("_run_proposal") == F.col("proposal_id")
-    for c in POINTERS:
-        pointers_ok = pointers_ok & (F.col(c) == F.col(renamed[c]))
-    return joined.withColumn("bound", _holds(F.col("_run_ok") & pointers_ok)).drop("_run_ok", "_run_proposal")
+    same = (F.col("_run_proposal") == F.col("proposal_id")) & (F.col("_run_pointers") == F.col("_pointers"))
+    return joined.withColumn("bound", _holds(F.col("_run_ok") & same)).drop("_run_ok", "_run_proposal", "_run_pointers", "_pointers")
 
 
 # What is read back from a frozen proposal and from a generator trace.
@@ -79,9 +82,12 @@ FROZEN_TYPE = "kind string, risk string, source_locator string, target_iri strin
 TRACE_TYPE = "provider string, model string"
 
 
-def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """Add ``reason_codes`` and ``eligible`` to bound rows."""
-    read = bound.select(
+def run_reasons(runs: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Add ``frozen`` and ``run_reasons``: what in a run itself stands against approval.
+
+    Done before ``bind_review``, so that the join moves these few codes, not the texts they are read from.
+    """
+    read = runs.select(
         "*",
         F.from_json("frozen_proposal", FROZEN_TYPE).alias("frozen"),
         F.from_json("models.generator", TRACE_TYPE).alias("_trace"),
@@ -113,10 +119,14 @@ def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFram
         ),
     )
     gates = F.transform(closed, lambda g: F.concat(F.lit("GATE_"), g["gate"], F.lit("_"), g["status"]))
-    reasons = F.when(~F.col("bound"), F.array(F.lit("VERIFICATION_RUN_NOT_HASH_BOUND"))).otherwise(
-        F.concat(named, gates)
-    )
-    done = read.withColumn("reason_codes", reasons).drop("_trace")
+    return read.withColumn("run_reasons", F.concat(named, gates)).drop("_trace")
+
+
+def approval_eligibility(bound: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """Add ``reason_codes`` and ``eligible`` to bound rows, whose runs may have their ``run_reasons`` already."""
+    read = bound if "run_reasons" in bound.columns else run_reasons(bound, ascii_only)
+    reasons = F.when(~F.col("bound"), F.array(F.lit("VERIFICATION_RUN_NOT_HASH_BOUND"))).otherwise(F.col("run_reasons"))
+    done = read.withColumn("reason_codes", reasons).drop("run_reasons")
     return done.withColumn("eligible", F.size("reason_codes") == 0)
 
 
@@ -189,7 +199,7 @@ def page_views(ids: DataFrame, runs: DataFrame, ascii_only: bool = False) -> Dat
     cursor = ids.select("tenant_id", "proposal_id", "next_cursor")
     # A page per tenant grows with the tenants: the size that is found at run time decides how it is joined.
     needed = runs.join(ids.select("tenant_id", "verification_run_id"), ["tenant_id", "verification_run_id"], "left_semi")
-    views = review_view(approval_eligibility(bind_review(ids, needed), ascii_only))
+    views = review_view(approval_eligibility(bind_review(ids, run_reasons(needed, ascii_only))))
     return views.join(cursor, ["tenant_id", "proposal_id"])
 
 

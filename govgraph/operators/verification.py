@@ -216,8 +216,18 @@ def verification_runs(proposals: DataFrame, outcomes: DataFrame, evaluated_at: s
     ``outcomes`` has ``tenant_id, proposal_id`` and ``OUTCOME_COLUMNS``; it holds one
     row per proposal at most. The gates stay in the row of their run.
     """
+    return judged_runs(with_outcomes(proposals, outcomes), evaluated_at)
+
+
+def with_outcomes(proposals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Rows of proposals, or of what proposals are made from, with the outcome of ``tenant_id, proposal_id`` if there is one."""
     judged = outcomes.select("tenant_id", "proposal_id", *OUTCOME_COLUMNS, F.lit(True).alias("_judged"))
-    checked = proposal_errors(proposals).join(judged, ["tenant_id", "proposal_id"], "left")
+    return proposals.join(judged, ["tenant_id", "proposal_id"], "left")
+
+
+def judged_runs(proposals: DataFrame, evaluated_at: str) -> DataFrame:
+    """``verification_runs`` of proposals that ``with_outcomes`` has given their outcomes: every row stands for itself."""
+    checked = proposal_errors(proposals)
     valid = F.size("errors") == 0
     # A judgment counts only for a valid proposal.
     recorded = valid & F.coalesce("_judged", F.lit(False))

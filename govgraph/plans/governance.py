@@ -16,12 +16,22 @@ EVALUATED_AT = "2026-07-01T00:00:00Z"
 K = F.col
 
 
+def named_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the tenant and id of the proposal that each of them is."""
+    names = {"tenant_id": F.concat(F.lit("t"), K("o_custkey") % 3), "proposal_id": F.concat(F.lit("p"), "o_orderkey")}
+    return table(spark, sf, "orders").withColumns(names)
+
+
 def order_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Each order is a proposal; remainders of its key say which defects it has."""
+    return proposals_of(spread(named_orders(spark, sf)))
+
+
+def proposals_of(orders: DataFrame, *more: str) -> DataFrame:
+    """The proposals of ``named_orders``, with ``more`` of their columns."""
     k = K("o_orderkey")
     kinds = F.array(*[F.lit(v) for v in proposals.PROPOSAL_KINDS])
-    tenant = F.concat(F.lit("t"), K("o_custkey") % 3)
-    name = F.concat(F.lit("p"), k)
+    tenant, name = K("tenant_id"), K("proposal_id")
     snapshot = F.concat(F.lit("src@sha256:"), F.sha2(K("o_orderpriority"), 256))
     item = proposals.evidence_item(
         evidence_id=F.concat(F.lit("e"), k),
@@ -67,8 +77,7 @@ def order_proposals(spark: SparkSession, sf: str) -> DataFrame:
         "status": F.when(k % 41 == 6, "HUMAN_REVIEW").otherwise("PENDING_VERIFICATION"),
         "reason_codes": F.array(F.lit("R")),
     }
-    orders = spread(table(spark, sf, "orders"))
-    return orders.select(*[made[f].alias(f) for f in proposals.PROPOSAL_FIELDS])
+    return orders.select(*[made[f].alias(f) for f in proposals.PROPOSAL_FIELDS], *more)
 
 
 # The same in SQL: key, tenant, id, defects and validity.
@@ -106,11 +115,13 @@ def order_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_runs(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
     """Runs of all orders, or of those ``asked(tenant_id, proposal_id)`` for."""
-    made, outcomes = order_proposals(spark, sf), order_outcomes(spark, sf)
+    # Orders meet their outcomes before proposals, many times as wide, are made from them.
+    orders, outcomes = named_orders(spark, sf), order_outcomes(spark, sf)
     if asked is not None:
         key = ["tenant_id", "proposal_id"]
-        made, outcomes = (small_join(df, asked.select(*key), key, "left_semi") for df in (made, outcomes))
-    return verification.verification_runs(made, outcomes, EVALUATED_AT)
+        orders, outcomes = (small_join(df, asked.select(*key), key, "left_semi") for df in (orders, outcomes))
+    made = proposals_of(verification.with_outcomes(spread(orders), outcomes), *verification.OUTCOME_COLUMNS, "_judged")
+    return verification.judged_runs(made, EVALUATED_AT)
 
 
 def order_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +158,8 @@ def reviewable(spark: SparkSession, sf: str, asked: DataFrame | None = None) ->
 
 
 def bound_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return review.approval_eligibility(review.bind_review(*reviewable(spark, sf)), ascii_only=True)
+    own, runs = reviewable(spark, sf)
+    return review.approval_eligibility(review.bind_review(own, review.run_reasons(runs, ascii_only=True)))
 
 
 # Review state in SQL; reasons in the order of the checks.
