@@ -25,7 +25,7 @@ from govgraph.operators.inference import (
 )
 from govgraph.operators.triples import RDF_TYPE, TRIPLE, XSD
 from govgraph.operators.violations import union_all
-from govgraph.session import local_frame, settled, small_join, stored
+from govgraph.session import grown, local_frame, settled, small_join, stored
 
 LIST_SEPARATOR = "\x1f"
 COUNT_COMPONENTS = ("minCount", "maxCount", "hasValue")
@@ -102,9 +102,14 @@ def types_of(triples: DataFrame, supers: DataFrame | None = None) -> DataFrame:
 
 
 def targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``(shape, focus)`` for every instance of a target class."""
+    """``(shape, focus)`` for every instance of a target class, dealt by focus."""
+    return _instances(types, shapes).repartition("focus").distinct()
+
+
+def _instances(types: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The same with repeats, where they do no harm."""
     wanted = shapes.select("shape", F.col("target_class").alias("cls")).distinct()
-    return small_join(_of_classes(types, wanted), wanted, "cls").select("shape", F.col("node").alias("focus")).distinct()
+    return small_join(_of_classes(types, wanted), wanted, "cls").select("shape", F.col("node").alias("focus"))
 
 
 def _of_classes(types: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -130,13 +135,15 @@ def _report(broken: DataFrame) -> DataFrame:
     )
 
 
-def _with_constraints(focus: DataFrame, shapes: DataFrame, components: tuple[str, ...]) -> DataFrame:
-    rows = shapes.filter(F.col("component").isin(*components)).drop("target_class")
-    return small_join(focus, rows.withColumnRenamed("value", "limit"), "shape")
+def _facts(triples: DataFrame, shapes: DataFrame) -> DataFrame:
+    return _values(with_predicates(triples, shapes, "path"))
 
 
-def _facts(triples: DataFrame, shapes: DataFrame) -> DataFrame:
-    used = with_predicates(triples, shapes, "path")
+def _facts_of(triples: DataFrame, paths: list[str]) -> DataFrame:
+    return _values(triples.filter(F.col("p").isin(*paths) if paths else F.lit(False)))
+
+
+def _values(used: DataFrame) -> DataFrame:
     return used.select(
         F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), "o_kind", "o_datatype", "o_lang"
     )
@@ -144,24 +151,40 @@ def _facts(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def count_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
     """minCount, maxCount and hasValue; focus nodes without any value are seen too."""
-    asked = _with_constraints(targets(types, shapes), shapes, COUNT_COMPONENTS)
-    facts = _facts(triples, shapes.filter(F.col("component").isin(*COUNT_COMPONENTS))).distinct()
-    # Values are combined per focus and path before the constraints multiply them.
-    counts = facts.groupBy("focus", "path").agg(F.count(F.lit(1)).alias("n"))
-    # A required constant is looked for among the values of its own path only.
-    required = shapes.filter("component = 'hasValue'")
-    constants = required.select("path", F.col("value").alias("limit")).distinct()
-    present = small_join(_facts(triples, required), constants, "path").filter(_term_of(F.col("value")) == _asked_term(F.col("limit"))).select(
-        "focus", "path", "limit", F.lit(True).alias("present")
-    ).distinct()
-    joined = asked.join(counts, ["focus", "path"], "left").join(present, ["focus", "path", "limit"], "left")
-    n, limit = F.coalesce("n", F.lit(0)), F.col("limit").try_cast("bigint")
-    met = (
-        F.when(F.col("component") == "minCount", n >= limit)
-        .when(F.col("component") == "maxCount", n <= limit)
-        .otherwise(F.coalesce("present", F.lit(False)))
+    rows = shapes.filter(F.col("component").isin(*COUNT_COMPONENTS)).withColumnRenamed("value", "limit")
+    component, limit = F.col("component"), F.col("limit").try_cast("bigint")
+    # What shapes ask for reaches the driver: paths whose values are counted, paths that need one value, required constants.
+    counted = (component == "maxCount") | ((component == "minCount") & (limit > 1))
+    several = F.max(F.coalesce(counted, F.lit(False))).alias("several")
+    paths = rows.filter((component != "hasValue") & F.col("path").isNotNull()).groupBy("path").agg(several).orderBy("path").collect()
+    wanted = rows.filter(component == "hasValue").select("path", "limit").dropna().distinct()
+    constants = wanted.orderBy("path", "limit").collect()
+    # One value is enough where no more are asked for; only the others need be told apart before they are counted.
+    single = _facts_of(triples, [r["path"] for r in paths if not r["several"]])
+    many = _facts_of(triples, [r["path"] for r in paths if r["several"]]).distinct()
+    required = small_join(_facts_of(triples, sorted({r["path"] for r in constants})), wanted, "path")
+    present = required.filter(_term_of(F.col("value")) == _asked_term(F.col("limit")))
+    none = F.lit(None).cast("string").alias("limit")
+    seen = union_all([single.select("focus", "path", none), many.select("focus", "path", none), present.select("focus", "path", "limit")])
+
+    def entry(path: str, constant: str | None) -> Column:
+        return (F.col("path") == path) & (F.col("limit").isNull() if constant is None else F.col("limit") == constant)
+
+    # All that is known of a focus node is one row, so it meets its shapes by one dealing; constraints multiply it afterwards.
+    entries = [(r["path"], None) for r in paths] + [(r["path"], r["limit"]) for r in constants]
+    numbers = [F.count_if(entry(*e)).alias(f"_n{i}") for i, e in enumerate(entries)] or [F.count(F.lit(1)).alias("_n0")]
+    found = seen.groupBy("focus").agg(*numbers)
+    met_nodes = targets(types, rows).join(found, "focus", "left").select(
+        "shape", "focus", F.array(*[F.coalesce(c, F.lit(0)) for c in found.columns if c != "focus"]).alias("_n")
     )
-    return _report(joined.filter(~met).withColumn("value", F.lit(None).cast("string")))
+    place = F.lit(None).cast("int")
+    for i, (path, constant) in enumerate(entries):
+        own = (component == "hasValue") & (F.col("limit") == constant) if constant is not None else component != "hasValue"
+        place = F.when(own & (F.col("path") == path), i).otherwise(place)
+    asked = small_join(met_nodes, rows.drop("target_class").withColumn("_at", place), "shape")
+    n = F.coalesce(F.get("_n", F.col("_at")), F.lit(0))
+    met = F.when(component == "minCount", n >= limit).when(component == "maxCount", n <= limit).otherwise(n > 0)
+    return _report(asked.filter(~met).withColumn("value", F.lit(None).cast("string")))
 
 
 def _castable(value: Column, datatype: Column) -> Column:
@@ -177,11 +200,9 @@ def _castable(value: Column, datatype: Column) -> Column:
 def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
     """datatype, class, nodeKind, bounds, pattern and in, from one pass over the values."""
     wanted = shapes.filter(F.col("component").isin(*VALUE_COMPONENTS))
-    # Values meet their focus nodes first; the constraints multiply them afterwards,
-    # by a join that does not move the values again.
-    met_values = _facts(triples, wanted).join(targets(types, wanted), "focus")
-    limits = wanted.drop("target_class").withColumnRenamed("value", "limit")
-    rows = small_join(met_values, limits, ["shape", "path"])
+    # Values meet the limits where they are read; only those that break one are moved to be looked for among the targets.
+    limits = wanted.drop("target_class").withColumnRenamed("value", "limit").distinct()
+    rows = small_join(_facts(triples, wanted), limits, "path")
     component, limit, value = F.col("component"), F.col("limit"), F.col("value")
     literal = F.col("o_kind") == "literal"
     number = F.when(literal, value.try_cast("decimal(38,18)"))
@@ -204,8 +225,10 @@ def value_violations(triples: DataFrame, types: DataFrame, shapes: DataFrame) ->
     members = _of_classes(types, asked).select(F.col("node").alias("value"), F.col("cls").alias("limit"))
     outside = classes.join(members, ["value", "limit"], "left_anti")
     columns = ["severity", "focus", "path", "component", "value", "message", "shape", "limit"]
-    # A value stated twice is reported once.
-    return _report(plain.select(*columns).unionByName(outside.select(*columns)).distinct())
+    # A value stated twice is reported once. The join deals by shape and focus, so that the set needs no further dealing.
+    nodes = _instances(types, wanted)
+    broken = [f.select(*columns).join(grown(nodes), ["shape", "focus"], "left_semi").select(*columns).distinct() for f in (plain, outside)]
+    return _report(union_all(broken))
 
 
 def validate(
